@@ -152,10 +152,10 @@ def global_rank(df: DataFrame, order: list[Column], value: str) -> DataFrame:
     numbered = materialize(assign_sequence(df, order, "row_rank"), "ranked")
     span = numbered.groupBy(value).agg(
         (F.min("row_rank") - 1).alias("above"), F.max("row_rank").alias("_last"))
-    total = numbered.agg(F.count(F.lit(1)).alias("total"))
+    total = numbered.count()  # read from the file footers
     return (
         numbered.join(span, value)
-        .join(F.broadcast(total))  # exactly one row
+        .withColumn("total", F.lit(total).cast("long"))
         .withColumn("below", F.col("total") - F.col("_last"))
         .withColumn("rank", F.col("above") + 1)
         .drop("_last")
