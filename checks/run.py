@@ -20,7 +20,7 @@ def main() -> None:
         try:
             why = compare(spark, sf, name)
         except Exception:
-            why = traceback.format_exc(limit=-3)[-1500:]
+            why = traceback.format_exc(limit=-3)[-500:]
         bad += why is not None
         mark = "ok  " if why is None else "FAIL"
         print(f"{mark} {name} {time.time() - t:.1f}s {'' if name in ORACLE else '(no sql)'} {why or ''}",

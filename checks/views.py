@@ -193,8 +193,8 @@ def outcome(c: str) -> str:
 
 
 def color_pair(c: str) -> str:
-    return (f"case when {c} is null or len({c}) = 0 or len(list_filter({c}, x -> not list_contains({_C}, lower(trim(x))))) > 0 then 'Unknown' "
-            f"else array_to_string(list_filter({_T}, y -> list_contains(list_transform({c}, x -> lower(trim(x))), lower(y))), '/') end")
+    return (f"case when {c} is null or len({c}) = 0 or len(list_filter({c}, lambda x: not list_contains({_C}, lower(trim(x))))) > 0 then 'Unknown' "
+            f"else array_to_string(list_filter({_T}, lambda y: list_contains(list_transform({c}, lambda x: lower(trim(x))), lower(y))), '/') end")
 
 
 def queue_label(a: str) -> str:
