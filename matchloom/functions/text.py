@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters folded to a plain dash or quote.
 CARD_KEY_DASHES = "–—−"
@@ -22,7 +23,7 @@ def card_key(c: Column) -> Column:
     return _squeeze(F.lower(F.translate(c, CARD_KEY_DASHES, "---")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
@@ -37,17 +38,31 @@ def normalized_name(c: Column) -> Column:
     return _squeeze(F.translate(base, NAME_DASHES + NAME_QUOTES, "--'"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def deck_fingerprint(cards) -> Column:
-    """Hash of the card multiset of an array; NULL unless every entry is non-blank text."""
+    """Hash of the card multiset of an array; NULL unless every entry is non-blank text.
+
+    Equal cards are neighbours after one sort, so counting them is linear in the list.
+    """
     c = F.col(cards) if isinstance(cards, str) else cards
     trimmed = F.transform(c, lambda x: F.trim(x))
     valid = (F.size(c) > 0) & F.forall(trimmed, lambda x: x.isNotNull() & (x != ""))
-    ids = F.array_sort(F.array_distinct(trimmed))
-    counts = F.transform(ids, lambda i: F.concat(
-        F.lit("["), F.to_json(F.struct(i.alias("v"))).substr(F.lit(6), F.length(
-            F.to_json(F.struct(i.alias("v")))) - 6), F.lit(","),
-        F.size(F.filter(trimmed, lambda x: x == i)).cast("string"), F.lit("]")))
-    text = F.concat(F.lit("["), F.array_join(counts, ","), F.lit("]"))
+
+    def entry(card, count):
+        quoted = F.to_json(F.struct(card.alias("v")))
+        return F.concat(F.lit("["), quoted.substr(F.lit(6), F.length(quoted) - 6), F.lit(","),
+                        count.cast("string"), F.lit("]"))
+
+    def counted(ordered):
+        tagged = F.transform(ordered, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+        starts = F.filter(tagged, lambda t: (t["i"] == 0) | (F.get(ordered, t["i"] - 1) != t["x"]))
+        return _let(starts, lambda s: F.transform(s, lambda t, j: entry(
+            t["x"], F.coalesce(F.get(s, j + 1)["i"], F.size(ordered)) - t["i"])))
+    text = F.concat(F.lit("["), F.array_join(_let(F.array_sort(trimmed), counted), ","), F.lit("]"))
     return F.when(c.isNotNull() & valid, F.sha2(text, 256))
 
 

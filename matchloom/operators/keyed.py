@@ -126,6 +126,6 @@ def top_n_with_other(df: DataFrame, scope: list[str], label: str, size: str, n:
 
 
 def mode_with_ties(counts: DataFrame, scope: list[str], size: str) -> DataFrame:
-    """Rows of ``counts`` whose size equals the scope's maximum."""
-    best = counts.groupBy(*scope).agg(F.max(size).alias("_best"))
-    return counts.join(best, scope).filter(F.col(size) == F.col("_best")).drop("_best")
+    """Rows of ``counts`` whose size equals the scope's maximum (map-side limited by rank)."""
+    w = Window.partitionBy(*scope).orderBy(F.col(size).desc())
+    return counts.withColumn("_rk", F.rank().over(w)).filter(F.col("_rk") == 1).drop("_rk")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.labels import (
@@ -151,22 +151,22 @@ def opponent_records(counts: DataFrame, shown: DataFrame) -> DataFrame:
 def opponent_extremes(records: DataFrame) -> DataFrame:
     """Most losses and worst share with all ties, three most played, Unknown apart.
 
-    ``records`` has at most one row per colour set (64), so its windows are bounded. Shares
-    are compared exactly: two different fractions with counts below 2^26 differ as doubles.
+    ``records`` has one row per colour set, so at most 64 rows: the windows without a
+    partition are bounded. Shares are compared as doubles, exact for counts below 2^26.
     """
-    known = records.filter(F.col("colors") != "Unknown").withColumn("_all", F.lit(1))
-    losers = mode_with_ties(known.filter(F.col("loss") > 0), ["_all"], "loss")
-    decided = known.filter(F.col("win") + F.col("loss") > 0).withColumn(
-        "_share", -(F.col("win") / (F.col("win") + F.col("loss"))))
-    worst = mode_with_ties(decided, ["_all"], "_share").drop("_share")
-    popular = top_per_key(known, ["_all"], [F.col("games").desc(), F.col("colors")], 3)
-    kinds = [("most_losses", losers), ("worst_percentage", worst), ("popular", popular),
-             ("unknown", records.filter(F.col("colors") == "Unknown").withColumn("_all", F.lit(1)))]
-    out = None
-    for kind, df in kinds:
-        part = df.drop("_all").select(F.lit(kind).alias("kind"), *records.columns)
-        out = part if out is None else out.unionByName(part)
-    return out
+    known = F.col("colors") != "Unknown"
+    everything = Window.partitionBy(known)
+    popularity = everything.orderBy(F.col("games").desc(), "colors")
+    marked = records.select(
+        "*", F.max("loss").over(everything).alias("_most"),
+        F.min("win_percentage").over(everything).alias("_worst"),
+        F.row_number().over(popularity).alias("_popular"))
+    kinds = F.filter(F.array(
+        F.when(known & (F.col("loss") > 0) & (F.col("loss") == F.col("_most")), "most_losses"),
+        F.when(known & (F.col("win_percentage") == F.col("_worst")), "worst_percentage"),
+        F.when(known & (F.col("_popular") <= 3), "popular"),
+        F.when(~known, "unknown")), lambda k: k.isNotNull())
+    return marked.select(F.explode(kinds).alias("kind"), *records.columns)
 
 
 # --- summary -----------------------------------------------------------------------------
