@@ -95,11 +95,11 @@ def snapshot_diff(spark, sf):
     return k.diff_snapshots(old, new, ["p_partkey"], "h")
 
 
-DISCOVERED = "select event_id as ord, case when event_id % 50 = 0 then null else event_id // 3 end as id, case when event_id % 40 = 1 then null else ts end as at from events"
+DISCOVERED = "select event_id as ord, case when event_id % 50 = 0 then null else event_id // 3 end as id, case when event_id % 40 = 1 then null else ts end as seen from events"
 
 
-@query("window_dedup_counts", f"""with r as ({DISCOVERED}), f as (select *, min(case when at >= timestamp '2024-01-05' and at < timestamp '2024-01-20' then ord end) over (partition by id) as first from r)
- select case when id is null then 'missing_id' when at is null then 'missing_datetime' when not (at >= timestamp '2024-01-05' and at < timestamp '2024-01-20') then 'boundary_excluded' when ord > first then 'duplicate' else 'selected' end as fate, count(*) as rows from f group by 1""")
+@query("window_dedup_counts", f"""with r as ({DISCOVERED}), f as (select *, min(case when seen >= timestamp '2024-01-05' and seen < timestamp '2024-01-20' then ord end) over (partition by id) as first from r)
+ select case when id is null then 'missing_id' when seen is null then 'missing_datetime' when not (seen >= timestamp '2024-01-05' and seen < timestamp '2024-01-20') then 'boundary_excluded' when ord > first then 'duplicate' else 'selected' end as fate, count(*) as rows from f group by 1""")
 def window_dedup_counts(spark, sf):
     e = F.col("event_id")
     rows = table(spark, sf, "events").select(

@@ -111,14 +111,14 @@ select ts as occurred_at, event_type as command_name, (['slash','prefix','button
   value >= 5 as succeeded, (trunc(value * 10))::int as duration_ms from v_ev"""
 _T = "['Amber','Amethyst','Emerald','Ruby','Sapphire','Steel']"
 VIEWS["v_catalog"] = f"""
-select p_partkey::varchar as card_id, upper(substr(p_name, 1, 1)) || substr(p_name, 2) as name,
+select p_partkey::varchar as card_id, upper(substr(p_name, 1, 1)) || substr(p_name, 2) || case when p_partkey % 4 = 0 then '  – Édition ' || (p_partkey // 8) else '' end as name,
   case when p_partkey % 10 = 3 then 'promo' else (p_partkey % 250)::varchar end as collector_number,
   case when p_partkey % 21 = 0 then []::varchar[] else [({_T})[p_size % 6 + 1]] end as ink_colors,
   case when p_partkey % 33 = 0 then null else p_size % 10 end as cost, p_size % 2 = 0 as inkable,
   case when p_type = 'PROMO' then 'Location' when p_type = 'SMALL' then 'Action' else 'Character' end as card_type,
   [p_type] as classifications,
   'Gains 2 until the start of ' || case when p_partkey % 2 = 0 then 'your' else 'their' end || ' next turn' as rules_text,
-  case when p_partkey % 8 = 0 then null else p_size % 7 end as strength, 3 as willpower, p_partkey % 4 as lore,
+  case when p_partkey % 12 = 0 then null else p_size % 7 end as strength, 3 as willpower, p_partkey % 4 as lore,
   case when p_partkey % 2 = 0 then 2 end as move_cost, p_brand as set_name
 from part"""
 VIEWS["v_actions"] = """
@@ -128,6 +128,17 @@ select conv_id as game_id, turn as seq, case when role = 'system' then null when
   case when n % 3 = 0 then null else (n % 500)::varchar end as card_id, n as size
 from (select *, length(text) as n from conversations)"""
 
+VIEWS["v_refs"] = """
+select l_orderkey as game_id, case when l_partkey % 8 = 4 then 'x-' || l_partkey else l_partkey::varchar end as card_id,
+  case when l_partkey % 5 = 0 then null when l_partkey % 7 = 0 and l_suppkey % 3 = 0 then 'Other name' else upper(name) end as observed_name
+from lineitem join v_catalog on card_id = l_partkey::varchar"""
+VIEWS["v_aliases"] = """
+select 'x-' || card_id as card_id, case when card_id::bigint % 11 = 0 then 'No such card' else name end as expected_name
+from v_catalog where card_id::bigint % 8 = 4 and card_id::bigint % 3 <> 0"""
+VIEWS["v_undo"] = """
+select user_id as game_id, event_id as seq, case when event_type = 'error' then 'undo' else event_type end as type,
+  case when event_type = 'error' then event_id - k * 6 end as target_seq, case when k % 4 = 0 then null else k end as card_no from v_ev"""
+
 # Rating candidates and the exact Elo run as a wavefront recursion (FIXED: K 32, start 1500).
 VIEWS["v_candidates"] = """
 select m.match_id, m.event_id, m.round_id, m.player1_id, m.player2_id, m.winner_id, m.is_draw, m.match_status, m.is_bye,

@@ -261,8 +261,9 @@ def catalog(spark, sf) -> DataFrame:
     p = F.col("p_partkey")
     return table(spark, sf, "part").select(
         p.cast("string").alias("card_id"),
-        F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
-        .alias("name"),
+        F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"),
+                 F.when(_mod(p, 4) == 0, F.concat(F.lit("  – Édition "), F.expr("p_partkey div 8")
+                                                  .cast("string"))).otherwise("")).alias("name"),
         F.when(_mod(p, 10) == 3, "promo").otherwise(_mod(p, 250).cast("string"))
         .alias("collector_number"),
         F.when(_mod(p, 21) == 0, F.array().cast("array<string>")).otherwise(
@@ -276,7 +277,7 @@ def catalog(spark, sf) -> DataFrame:
         F.concat(F.lit("Gains 2 until the start of "),
                  F.when(_mod(p, 2) == 0, "your").otherwise("their"), F.lit(" next turn"))
         .alias("rules_text"),
-        F.when(_mod(p, 8) == 0, None).otherwise(_mod("p_size", 7)).cast("int").alias("strength"),
+        F.when(_mod(p, 12) == 0, None).otherwise(_mod("p_size", 7)).cast("int").alias("strength"),
         F.lit(3).alias("willpower"), _mod(p, 4).cast("int").alias("lore"),
         F.when(_mod(p, 2) == 0, F.lit(2)).alias("move_cost"), F.col("p_brand").alias("set_name"))
 
@@ -294,3 +295,36 @@ def actions(spark, sf) -> DataFrame:
         .alias("type"),
         F.when(_mod(n, 3) == 0, None).otherwise(_mod(n, 500)).cast("string").alias("card_id"),
         n.alias("size"))
+
+
+def card_references(spark, sf) -> DataFrame:
+    """Cards named by order lines: some ids are unknown, some names differ or are missing."""
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    names = catalog(spark, sf).select(F.col("card_id"), F.col("name").alias("_name"))
+    key, sup = F.col("l_partkey"), F.col("l_suppkey")
+    rows = line.withColumn("card_id", key.cast("string")).join(names, "card_id")
+    return rows.select(
+        F.col("l_orderkey").alias("game_id"),
+        F.when(_mod(key, 8) == 4, F.concat(F.lit("x-"), "card_id")).otherwise(F.col("card_id"))
+        .alias("card_id"),
+        F.when(_mod(key, 5) == 0, None).when((_mod(key, 7) == 0) & (_mod(sup, 3) == 0), "Other name")
+        .otherwise(F.upper("_name")).alias("observed_name"))
+
+
+def card_aliases(spark, sf) -> DataFrame:
+    """Reviewed aliases: unknown id and the exact name it must have been seen with."""
+    c, key = catalog(spark, sf), F.col("card_id").cast("long")
+    return c.filter((_mod(key, 8) == 4) & (_mod(key, 3) != 0)).select(
+        F.concat(F.lit("x-"), "card_id").alias("card_id"),
+        F.when(_mod(key, 11) == 0, "No such card").otherwise(F.col("name")).alias("expected_name"))
+
+
+def undo_log(spark, sf) -> DataFrame:
+    """Event stream as one long action log per user; errors undo a span before them."""
+    e = table(spark, sf, "events").withColumn("k", _k())
+    undo = F.col("event_type") == "error"
+    return e.select(
+        F.col("user_id").alias("game_id"), F.col("event_id").alias("seq"),
+        F.when(undo, "undo").otherwise(F.col("event_type")).alias("type"),
+        F.when(undo, F.col("event_id") - F.col("k") * 6).alias("target_seq"),
+        F.when(_mod("k", 4) == 0, None).otherwise(F.col("k")).cast("int").alias("card_no"))
