@@ -328,3 +328,148 @@ def undo_log(spark, sf) -> DataFrame:
         F.when(undo, "undo").otherwise(F.col("event_type")).alias("type"),
         F.when(undo, F.col("event_id") - F.col("k") * 6).alias("target_seq"),
         F.when(_mod("k", 4) == 0, None).otherwise(F.col("k")).cast("int").alias("card_no"))
+
+
+# --- documents -----------------------------------------------------------------------------
+
+def event_documents(spark, sf) -> DataFrame:
+    """One nested event document per part, some with a wrong or missing id."""
+    p = F.col("p_partkey")
+
+    def rnd(i, j):
+        number = p * 10 + i * 4 + j
+        return F.struct(
+            F.when(~((_mod(p, 9) == 0) & (j == F.lit(1))), number).alias("id"), (j + 1).alias("round_number"),
+            F.when(_mod(number, 5) == 0, "BYE_ROUND").otherwise("PLAY_VS_OPPONENT").alias("round_type"),
+            F.lit("COMPLETE").alias("status"), F.lit("GENERATED").alias("pairings_status"),
+            F.when(_mod(number, 3) == 0, "GENERATED").otherwise("NONE").alias("standings_status"),
+            F.when(j == F.lit(2), True).alias("final_round_in_event"))
+    phase = lambda i: F.struct(
+        (p * 2 + i).alias("id"), F.concat(F.lit("Phase "), i.cast("string")).alias("phase_name"),
+        i.alias("order_in_phases"), F.lit("SWISS").alias("round_type"), F.lit("DONE").alias("status"),
+        F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: rnd(i, j)).alias("rounds"))
+    body = F.struct(
+        F.when(_mod(p, 50) == 7, None).when(_mod(p, 50) == 8, p + 1).otherwise(p).alias("id"),
+        F.when(_mod(p, 6) != 0, F.col("p_name")).alias("name"),
+        F.concat(F.lit("2026-01-0"), (_mod(p, 9) + 1).cast("string"),
+                 F.when(_mod(p, 4) == 0, "T10:00:00+02:00").otherwise("T10:00:00Z")).alias("start_datetime"),
+        F.when(_mod(p, 3) == 0, F.struct(_mod(p, 40).cast("string").alias("id"),
+               F.when(_mod(p, 2) == 0, F.lit("The Store")).alias("name"))).alias("store"),
+        F.struct(F.lit("7").alias("id"), F.col("p_type").alias("name")).alias("gameplay_format"),
+        F.when(_mod(p, 5) == 0, None).otherwise(_mod(p, 2) == 0).alias("event_is_online"),
+        F.transform(F.sequence(F.lit(0), F.lit(1)), phase).alias("tournament_phases"))
+    return table(spark, sf, "part").select(p.alias("event_id"), F.to_json(body).alias("body"))
+
+
+def match_documents(spark, sf) -> DataFrame:
+    """One nested match document per order."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    rel = lambda i: F.struct(F.struct(i.alias("id"), F.lit("n").alias("best_identifier")).alias("player"))
+    other = F.when(_mod(o, 7) == 0, c).otherwise(c + 1)
+    body = F.struct(
+        o.alias("id"), F.when(_mod(o, 4) == 0, "PENDING").otherwise("COMPLETE").alias("status"),
+        F.when(_mod(o, 5) == 0, None).when(_mod(o, 2) == 0, F.to_json(F.struct(c.alias("id"))))
+        .otherwise((c + 1).cast("string")).alias("winning_player"),
+        F.lit(2).alias("games_won_by_winner"), _mod(o, 2).alias("games_won_by_loser"),
+        F.when(_mod(o, 11) == 0, True).alias("match_is_intentional_draw"), (_mod(o, 13) == 0).alias("match_is_bye"),
+        F.array(rel(c), rel(F.lit(None).cast("long")), rel(other), rel(c)).alias("player_match_relationships"))
+    text = F.regexp_replace(F.to_json(body), r'"winning_player":"(\{.*?\}|\d+)"', r'"winning_player":$1')
+    text = F.regexp_replace(text, r'"winning_player":\{\\"id\\":(\d+)\}', r'"winning_player":{"id":$1}')
+    return table(spark, sf, "orders").select(
+        _mod(o, 100).alias("event_id"), _mod(o, 400).alias("round_id"), text.alias("body"))
+
+
+def standing_documents(spark, sf) -> DataFrame:
+    """One standings list of three rows per order."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    row = lambda i: F.struct(
+        (i + 1).alias("rank"),
+        F.struct(F.when(_mod(o + i, 5) != 0, c + _mod(i, 2)).alias("id"),
+                 F.concat(F.lit("p"), (o * 3 + i).cast("string")).alias("best_identifier")).alias("player"),
+        F.struct(F.when(_mod(o + i, 4) != 0, o * 10 + i).alias("id"), F.lit("u").alias("best_identifier"),
+                 F.lit("COMPLETE").alias("registration_status"), i.alias("matches_won")).alias("user_event_status"))
+    body = F.transform(F.sequence(F.lit(0), F.lit(2)), row)
+    return table(spark, sf, "orders").select(o.alias("event_id"), F.to_json(body).alias("body"))
+
+
+def history_documents(spark, sf) -> DataFrame:
+    """One loosely typed game document per event row."""
+    e, k = F.col("event_id"), F.col("k")
+    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    iso = F.date_format(F.date_trunc("SECOND", F.col("ts").cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss")
+    started = F.when(_mod(k, 5) == 0, seconds).when(_mod(k, 5) == 1, F.concat(seconds, F.lit("000"))).when(
+        _mod(k, 5) == 2, quote(F.concat(iso, F.lit("Z")))).when(_mod(k, 5) == 3, quote(iso)).otherwise(F.lit("null"))
+    ranked = F.get(F.array(F.lit("true"), F.lit("0"), F.lit("null"), F.lit('"yes"')), _mod(k, 4).cast("int"))
+    number = F.get(F.array(F.lit("1"), F.lit("true"), F.lit('"2"'), F.lit("null"), F.lit('"x"')), _mod(k, 7).cast("int"))
+    colours = F.get(F.array(F.lit('"Ruby/ Steel"'), F.lit('["AMBER"," "]'), F.lit("null"), F.lit("[1]"), F.lit("7")),
+                    _mod(k, 6).cast("int"))
+    body = F.concat(
+        F.lit('{"game_id":'), F.when(_mod(e, 31) == 0, F.lit('" "')).otherwise(quote(F.concat(F.lit(" g"), e.cast("string")))),
+        F.lit(',"mode":"  ","result":'), quote(F.col("event_type")), F.lit(',"started_at":'), started,
+        F.lit(',"ranked":'), ranked, F.lit(',"match_game_number":'), F.coalesce(number, F.lit("null")),
+        F.lit(',"your_deck_colors":'), F.coalesce(colours, F.lit("null")), F.lit("}"))
+    return table(spark, sf, "events").withColumn("k", _k()).select(e, body.alias("body"))
+
+
+def hydrated_pages(spark, sf) -> DataFrame:
+    """Every page with an event object pushed by scripts behind its own markup."""
+    i = F.col("page_id")
+    quoted = lambda c: F.expr("1") if c is None else F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)  # noqa: E731,E501
+    event = F.to_json(F.struct(F.when(_mod(i, 7) == 0, i + 1000000).otherwise(i).alias("id"),
+                               F.concat(F.lit('line "1"\n{x} '), F.col("url")).alias("name")))
+    text = F.concat(F.lit('{"event":'), event, F.lit("} tail"))
+    half = F.floor(F.length(text) / 2).cast("int")
+    push = lambda c: F.concat(F.lit("<script>self.__next_f.push([1,"), quoted(c), F.lit("])</script>"))
+    two = F.concat(push(text.substr(F.lit(1), half)), push(text.substr(half + 1, F.length(text))))
+    scripts = F.when(_mod(i, 11) == 0, "<script>self.__next_f.push([1,</script>").when(
+        _mod(i, 3) == 0, two).otherwise(push(text))
+    return table(spark, sf, "pages").select(
+        i, i.alias("event_id"), F.concat("html", scripts).alias("html"))
+
+
+def archives(spark, sf) -> DataFrame:
+    """One replay archive (JSON text) per order: 6 to 9 frames of every kind."""
+    o = F.col("o_orderkey")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    kind = lambda i: F.pmod(o + i, F.lit(6))
+    hand = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: text(
+        '{"id":"1-', i, '","instanceId":"h', i, '","name":"Card ', i, '","inkable":true}')), ",")
+    swap = F.when(_mod(o, 3) == 0, F.lit(
+        '{"op":"remove","path":"/myPlayer/hand/0"},{"op":"add","path":"/myPlayer/hand/-","value":'
+        '{"id":"1-99","instanceId":"n1","name":"New"}}')).otherwise("")
+    drop = '{"op":"remove","path":"/myPlayer/hand/0"}'
+
+    def frame(i):
+        named = F.when(_mod(o, 2) == 0, F.lit('"cardId":"2-1","cardName":"Named"')).otherwise("")
+        later = (
+            F.when(kind(i) == 0, text('"actionType":"PLAY_CARD","takenAction":{', named, '},"patch":[', drop, "]"))
+            .when(kind(i) == 1, text('"actionType":"QUEST","takenAction":{"loreGained":2},"patch":[{"op":"replace",'
+                                     '"path":"/myPlayer/lore","value":', i * 2, "}]"))
+            .when(kind(i) == 2, text('"actionType":"ADD_TO_INK","takenAction":{},"patch":[', drop, ',{"op":"add","path":'
+                                     '"/myPlayer/inkwell/-","value":{"exerted":', F.when(i % 2 == 0, "true").otherwise("false"), "}}]"))
+            .when(kind(i) == 3, text('"actionType":"ATTACK","takenAction":{"attackerCardId":"3-1","attackerName":"Att",'
+                                     '"defenderCardId":"3-2","defenderBanished":', F.when(_mod(o, 2) == 0, "true").otherwise("false"),
+                                     ',"attackerBanished":', F.when(_mod(o, 3) == 0, "true").otherwise("false"), '},"patch":[]'))
+            .when(kind(i) == 4, text('"actionType":"END_TURN","takenAction":{},"patch":[{"op":"replace","path":"/turnNumber","value":', i,
+                                     '},{"op":"remove","path":"/absent"}]'))
+            .otherwise(text('"actionType":"FREE_UNDO:', i - 1, '","patch":[]')))
+        body = F.when(i == 0, text(
+            '"actionType":"CHOOSE_STARTING_PLAYER","takenAction":{},"patch":[{"op":"replace","path":"/firstPlayer","value":',
+            F.pmod(o, F.lit(2)) + 1, '},{"op":"replace","path":"/status","value":"playing"},{"op":"replace","path":"/turnNumber",'
+            '"value":1},{"op":"replace","path":"/currentPlayer","value":1}]')).when(
+            i == 1, text('"actionType":"MULLIGAN","takenAction":{},"patch":[', swap, "]")).otherwise(later)
+        return text('{"seq":', i, ',"player":', F.when((i > 1) & (i % 3 == 0), 2).otherwise(1), ',"logCountAfter":', i + 1, ",", body, "}")
+
+    def log(i):
+        return F.when(kind(i) == 0, text('{"id":"l', i, '","type":"CARD_PLAYED","message":"Ann ', F.when(
+            _mod(o, 5) == 0, "sang").otherwise("played"), ' it","cardRefs":[{"id":"5-', i, '","name":"Seen"}]}')).when(
+            kind(i) == 3, text('{"id":"l', i, '","type":"CARD_ATTACK","message":"m","data":{"attackerBaseStrength":3,"actualDamageToDefender":', i, "}}")
+        ).otherwise(text('{"id":"l', i, '","type":"NOTE"}'))
+    last = (_mod(o, 4) + 5).cast("int")
+    body = text('{"format":"', F.when(_mod(o, 17) == 0, "other").otherwise("duels-replay-v1"), '","gameId":"', o,
+                '","perspective":1,"playerNames":{"1":"Ann"},"baseSnapshotLogCount":0,"baseSnapshot":{"status":"mulligan",'
+                '"turnNumber":0,"myPlayer":{"lore":0,"hand":[', hand, '],"inkwell":[]}},"frames":[',
+                F.array_join(F.transform(F.sequence(F.lit(0), last), frame), ","), '],"logs":[',
+                F.array_join(F.transform(F.sequence(F.lit(0), last), log), ","), "]}")
+    return table(spark, sf, "orders").select(o.alias("game_id"), body.alias("body"))
