@@ -102,11 +102,12 @@ def _plan_rounds(matches: DataFrame, total: int, group_rows: int, per_player: fl
 
 def elo_history(inputs: DataFrame, start_rating: float = START_RATING,
                 k_factor: float = K_FACTOR, group_rows: int = GROUP_ROWS,
-                per_player: float = MATCHES_PER_PLAYER) -> DataFrame:
+                per_player: float = MATCHES_PER_PLAYER, initial: DataFrame | None = None) -> DataFrame:
     """Two history rows per playable input, identical to the plain sequential loop.
 
     ``inputs``: sequence, match_id, event_id, player1_id, player2_id, winner_id, is_draw.
-    A draw flag beats a winner. The result is a table in the shared folder.
+    A draw flag beats a winner. ``initial`` (player_id, rating) continues from known ratings.
+    The result is a table in the shared folder.
     """
     check_parameters(start_rating, k_factor)
     spark = inputs.sparkSession
@@ -123,7 +124,8 @@ def elo_history(inputs: DataFrame, start_rating: float = START_RATING,
         planned = materialize(
             planned.withColumn("_part", F.concat_ws("-", "epoch", "chunk")), "rounds", "_part")
     path = scratch_path(spark, "elo-history")
-    state = spark.createDataFrame([], "player_id long, rating double")
+    state = initial if initial is not None else spark.createDataFrame(
+        [], "player_id long, rating double")
     fold = _fold(float(start_rating), float(k_factor))
     per_task = max(1, group_rows // 8)
     for i, (epoch, chunk, size) in enumerate(rounds):

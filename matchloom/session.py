@@ -69,3 +69,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give per-row Python work every core when the input has fewer files than that.
+
+    Fewer files than cores also bounds what the shuffle moves; larger inputs are left as
+    they were read. ``key`` should be unique, so the spread is even and repeatable.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df

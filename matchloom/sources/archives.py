@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.session import spread
+
 # Archive format, parser version and the names of action types.
 FORMAT = "duels-replay-v1"
 PARSER_VERSION = "parser_v1"
@@ -46,7 +48,7 @@ BODY = f"""format string, gameId string, perspective int, winner int, turnCount
 
 CARD = "struct<id:string,instance_id:string,name:string,inkable:boolean>"
 STATE = f"""struct<status:string,turn_number:int,current_player:int,first_player:int,
- lore:int,hand:array<{CARD}>,ink_count:int,ready_ink:int,opponent_lore:int,
+ lore:int,hand_count:int,hand:array<{CARD}>,ink_count:int,ready_ink:int,opponent_lore:int,
  opponent_hand_count:int,hand_after:array<{CARD}>,first_log:int,end_log:int,warning:string>"""
 
 
@@ -79,7 +81,8 @@ def decode_archives(files: DataFrame) -> DataFrame:
                 "game_id": frame["game_id"], "sha256": frame["sha256"],
                 "encoding": [r[0] for r in rows], "body": [r[1] for r in rows],
                 "error": [r[2] for r in rows]})
-    hashed = files.select("game_id", "content", F.sha2("content", 256).alias("sha256"))
+    hashed = spread(files.select("game_id", "content"), "game_id").withColumn(
+        "sha256", F.sha2("content", 256))
     out = hashed.mapInPandas(
         run, "game_id long, sha256 string, encoding string, body string, error string")
     return out.withColumn("status", F.when(F.col("error").isNull(), "valid").otherwise("invalid"))
@@ -139,15 +142,18 @@ def _facts(state) -> dict:
     exerted = [e.get("exerted", (e.get("card") or {}).get("exerted")) for e in ink]
     return {"status": state.get("status"), "turn_number": state.get("turnNumber"),
             "current_player": state.get("currentPlayer"), "lore": mine.get("lore"),
-            "hand": _hand(state), "ink_count": len(ink), "ready_ink": exerted.count(False),
+            "hand_count": len(mine.get("hand") or []), "ink_count": len(ink), "ready_ink": exerted.count(False),
             "opponent_lore": other.get("lore"), "opponent_hand_count": other.get("handCount")}
 
 
 def _fold(body: dict) -> list[dict]:
     state, total = body.get("baseSnapshot") or {}, len(body.get("logs") or [])
     seen, out = body.get("baseSnapshotLogCount") or 0, []
+    seat = body.get("perspective")
     for frame in body.get("frames") or []:
         row, warning, count = _facts(state), None, frame.get("logCountAfter")
+        own = frame.get("player") == seat  # an opponent's frame never shows the hand
+        row["hand"] = _hand(state) if own else None
         first = end = seen
         if isinstance(count, int):
             if count < seen:
@@ -157,8 +163,9 @@ def _fold(body: dict) -> list[dict]:
                 end = seen = min(count, total)
         for p in frame.get("patch") or []:
             state = set_path(state, p.get("op"), p.get("path"), p.get("value"))
-        out.append({**row, "first_player": state.get("firstPlayer"), "hand_after": _hand(state),
-                    "first_log": first, "end_log": end, "warning": warning})
+        swapped = own and frame.get("actionType") == "MULLIGAN"
+        out.append({**row, "first_player": state.get("firstPlayer"),
+                    "hand_after": _hand(state) if swapped else None, "first_log": first, "end_log": end, "warning": warning})
     return out
 
 
@@ -180,7 +187,7 @@ def replay_states(archives: DataFrame) -> DataFrame:
         for frame in batches:
             rows = [one(t) for t in frame["body"]]
             yield frame.assign(states=[r[0] for r in rows], state_error=[r[1] for r in rows])
-    kept = archives.select("game_id", "body")
+    kept = spread(archives.select("game_id", "body"), "game_id")
     return kept.mapInPandas(
         run, f"game_id long, body string, states array<{STATE}>, state_error string")
 
@@ -274,7 +281,8 @@ def normalize_actions(states: DataFrame) -> DataFrame:
         (F.size(cover) > 0).alias("undone"),
         F.array_max(F.transform(cover, lambda u: u["at"])).alias("undone_by_seq"),
         F.when(raw == "CHOOSE_STARTING_PLAYER", F.col("s.first_player")).alias("first_player"),
-        F.when(own, F.col("s.lore")).alias("lore"), F.when(own, F.size("s.hand")).alias("hand_count"),
+        F.when(own, F.col("s.lore")).alias("lore"), F.when(own, F.col("s.hand_count")).alias("hand_count"),
+        F.when(own, F.col("s.hand.id")).alias("hand_ids"),
         F.when(own, F.col("s.ink_count")).alias("ink_count"),
         F.when(own, F.col("s.ready_ink")).alias("ready_ink"),
         F.when(swap, F.col("s.hand.id")).alias("mulligan_hand"),

@@ -8,6 +8,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from matchloom.session import spread
+
 PUSH = re.compile(r"self\.__next_f\.push\(\s*")
 SCHEMA = "page_id long, event_id long, json string, error string"
 
@@ -46,4 +48,4 @@ def extract_embedded_json(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({
                 "page_id": frame["page_id"], "event_id": frame["event_id"],
                 "json": [o[0] for o in out], "error": [o[1] for o in out]})
-    return pages.select("page_id", "event_id", "html").mapInPandas(run, SCHEMA)
+    return spread(pages.select("page_id", "event_id", "html"), "page_id").mapInPandas(run, SCHEMA)
