@@ -108,9 +108,13 @@ def running(numbered: DataFrame, keys: list[str], outputs: dict[str, tuple[str,
     ]
     past = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
-    # One row per (block, key); only keys that started in an earlier block carry anything in.
+    # Only a key that touches a block border can carry anything in or out: at most two rows
+    # per block are left before the carry is computed.
+    at = F.pmod(F.col("_g") - 1, F.lit(rows_per_block))
     carry = (
-        blocked.groupBy("_block", *keys).agg(*totals)
+        blocked.groupBy("_block", *keys)
+        .agg(*totals, F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+        .filter((F.col("_lo") == 0) | (F.col("_hi") == rows_per_block - 1))
         .select("_block", *keys, F.count(F.lit(1)).over(past).alias("_earlier"),
                 *[_RUNNING[fn][0](f"_t_{name}").over(past).alias(f"_c_{name}")
                   for name, (fn, _) in outputs.items()])

@@ -13,12 +13,11 @@ INTEGERS = ["match_game_number"]
 FLAGS = ["ranked", "went_first"]
 TIMES = ["started_at", "ended_at"]
 COLOURS = ["your_deck_colors", "opp_deck_colors"]
-# All values are read as JSON text, so quoted and bare values stay distinguishable where needed.
 FIELDS = TEXTS + INTEGERS + FLAGS + TIMES + COLOURS
 
 
 def _value(field: str) -> Column:
-    return F.get_json_object("body", f"$.{field}")
+    return F.expr(f"try_variant_get(v, '$.{field}', 'string')")
 
 
 def _kind(field: str) -> Column:
@@ -36,7 +35,7 @@ def parse_history(docs: DataFrame) -> DataFrame:
     Integers reject booleans, booleans accept 0 and 1, times need a zone or an epoch value,
     colours are a list or slash-separated text. Bad rows stay, with their errors.
     """
-    # The document stays JSON text and a variant is used only to tell value kinds apart.
+    # Parsed once; every field is then read from the variant, which also knows its kind.
     rows = docs.withColumn("v", F.try_parse_json("body"))
     errors, cols = [], []
     for f in TEXTS:
@@ -45,7 +44,7 @@ def parse_history(docs: DataFrame) -> DataFrame:
         optional_text(_value("game_id")).isNull(), "game_id"))
     for f in INTEGERS:
         value = _value(f)
-        number = F.expr(f"try_cast(get_json_object(body, '$.{f}') as int)")
+        number = F.expr(f"try_cast(try_variant_get(v, '$.{f}', 'string') as int)")
         boolean = F.coalesce(_kind(f) == "BOOLEAN", F.lit(False))
         cols.append(F.when(~boolean, number).alias(f))
         errors.append(F.when(value.isNotNull() & (boolean | number.isNull()), f))
