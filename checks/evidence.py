@@ -64,7 +64,7 @@ def card_facts(spark, sf):
                                        c.expires_next_turn().alias("expires_next_turn"))
 
 
-@query("date_coverage", "select o_orderkey, case when o_orderkey % 9 = 0 then 'unknown' when o_orderdate < timestamp '1996-06-01' then 'before_reference' when o_orderdate::date > date '2000-01-01' then 'after_review' else 'within_window' end as coverage from orders")
+@query("date_coverage", "select o_orderkey, case when o_orderkey % 9 = 0 then 'game_date_unknown' when o_orderdate < timestamp '1996-06-01' then 'before_reference' when o_orderdate::date > date '2000-01-01' then 'after_review' else 'within_reference_window' end as coverage from orders")
 def date_coverage(spark, sf):
     day = F.when(F.col("o_orderkey") % 9 == 0, "not a date").otherwise(F.col("o_orderdate").cast("string"))
     return table(spark, sf, "orders").select(
@@ -142,13 +142,16 @@ TARGETS = ["12", "60", "card 7"]
 
 def opening_rows(spark, sf):
     turns = t.own_turns(b.actions(spark, sf), 1, 1, SMALL_BLOCK)
+    hand = F.when(F.col("size") % 4 != 1, F.array(F.struct(
+        (F.col("size") % 100).cast("string").alias("id"), F.lit("n").alias("name"))))
+    turns = turns.withColumn("hand", hand).withColumn("ready_ink", F.col("size") % 3)
     return turns.withColumn("ink", F.when(F.col("size") % 5 != 0, F.col("size") % 4)).withColumn(
         "card_name", F.when(F.col("size") % 2 == 0, F.concat(F.lit("Card  "), (F.col("size") % 10).cast("string"))))
 
 
 HIT = "(coalesce(card_id, '') in ('12', '60', 'card 7') or coalesce(case when size % 2 = 0 then 'card ' || (size % 10) end, '') in ('12', '60', 'card 7'))"
-OPENING = f"""select game_id, own_turn, complete, end_seq, case when complete then ink end as ink, case when hit > 0 then true when complete and unsure > 0 then null when complete then false end as target_played from (
- select game_id, turns::bigint as own_turn, bool_or(type = 'end_turn') as complete, max(case when type = 'end_turn' then seq end) as end_seq, arg_max_null(case when size % 5 <> 0 then size % 4 end, case when type = 'end_turn' then seq end) as ink,
+OPENING = f"""select game_id, own_turn, complete, end_seq, case when complete then ink end as ink, case when complete then ready end as ready_ink, case when seen > 0 then true when unseen > 0 then null else false end as target_seen, case when hit > 0 then true when complete and unsure > 0 then null when complete then false end as target_played from (
+ select game_id, turns::bigint as own_turn, bool_or(type = 'end_turn') as complete, max(case when type = 'end_turn' then seq end) as end_seq, arg_max_null(case when size % 5 <> 0 then size % 4 end, case when type = 'end_turn' then seq end) as ink, arg_max(size % 3, case when type = 'end_turn' then seq end) as ready, count(*) filter (size % 4 <> 1 and size % 100 in (12, 60)) as seen, count(*) filter (size % 4 = 1) as unseen,
  count(*) filter (type = 'play' and {HIT}) as hit, count(*) filter (type = 'play' and not {HIT} and (card_id is null or size % 2 = 1)) as unsure from ({OWN}) where active_player = 1 and type <> 'undo' and turns <= 3 group by 1, 2)"""
 
 

@@ -366,6 +366,6 @@ def deterministic_ids(spark, sf):
         "c_custkey", uuid5("6ba7b8119dad11d180b400c04fd430c8", F.col("c_name")).alias("id"))
 
 
-@query("truncated_text", "select item_id, case when length(text) > 60 then rtrim(substr(text, 1, 59), ' ') || '…' else text end as short from benchmark")
+@query("truncated_text", "select item_id, case when length(text) > 60 then substr(text, 1, 57) || '...' else text end as short from benchmark")
 def truncated_text(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", truncate_text(F.col("text"), 60).alias("short"))

@@ -143,7 +143,7 @@ def decode_archives(spark, sf):
 ACT = """with f as (select o_orderkey as o, i, (o_orderkey + i) % 6 as k from orders, range(9) r(i) where i <= o_orderkey % 4 + 5 and o_orderkey % 17 <> 0),
  s as (select *, case when i < 2 then null else k end as kk from f),
  w as (select *, coalesce(sum((kk in (0, 2))::int) over b, 0) as dropped, coalesce(sum((kk = 2)::int) over b, 0) as inks, coalesce(sum((kk = 2 and i % 2 = 1)::int) over b, 0) as ready,
-  coalesce(last_value(case when kk = 4 then i end ignore nulls) over b, 1) as turn, coalesce(last_value(case when kk = 1 then i * 2 end ignore nulls) over b, 0) as lore, lead(kk) over (partition by o order by i) as nk from s window b as (partition by o order by i rows between unbounded preceding and 1 preceding))"""
+  coalesce(last_value(case when kk = 4 then i end ignore nulls) over b, 1) as turn, coalesce(last_value(case when kk = 4 then i % 2 + 1 end ignore nulls) over b, 1) as cur, coalesce(last_value(case when kk = 1 then i * 2 end ignore nulls) over b, 0) as lore, lead(kk) over (partition by o order by i) as nk from s window b as (partition by o order by i rows between unbounded preceding and 1 preceding))"""
 TYPE = "case when i = 0 then 'choose_starting_player' when i = 1 then 'mulligan' else (['play','quest','ink','challenge','end_turn','undo'])[kk + 1] end"
 CARD_ID = "case when kk = 0 and o % 2 = 0 then '2-1' when kk = 0 then '5-' || i when kk = 3 then '3-1' end"
 
@@ -152,8 +152,8 @@ def actions(spark, sf):
     return a.normalize_actions(a.replay_states(b.archives(spark, sf)))
 
 
-@query("replay_actions", f"""{ACT} select o as game_id, i as seq, {TYPE} as type, case when i > 1 and i % 3 = 0 then 2 else 1 end::int as actor, case when i > 1 and i % 3 = 0 then 'Player 2' else 'Ann' end as actor_name,
- case when i > 0 and kk is distinct from 5 then 1 end::int as active_player, case when i > 0 then turn end::int as gameplay_turn, {CARD_ID} as card_id, case when kk = 0 and o % 2 = 0 then 'Named' when kk = 0 then 'Seen' when kk = 3 then 'Att' end as card_name,
+@query("replay_actions", f"""{ACT} select o as game_id, i as seq, {TYPE} as type, case when i > 1 and i % 3 = 0 then 2 else 1 end::int as actor, case when i > 1 and i % 3 = 0 then case when o % 2 = 0 then 'Bob' else 'Player 2' end else 'Ann' end as actor_name,
+ case when i > 0 and kk is distinct from 5 then cur end::int as active_player, case when i > 0 then turn end::int as gameplay_turn, {CARD_ID} as card_id, case when kk = 0 and o % 2 = 0 then 'Named' when kk = 0 then 'Seen' when kk = 3 then 'Att' end as card_name,
  case when kk = 0 and o % 2 <> 0 then case when o % 5 = 0 then 'sing' else 'play' end end as play_method, case when kk = 3 then case when o % 2 = 0 and o % 3 = 0 then 'mutual_banish' when o % 2 = 0 then 'defender_banished' when o % 3 = 0 then 'attacker_banished' else 'neither_banished' end end as challenge_outcome,
  case when kk = 3 then i end::int as damage_dealt, nk is not distinct from 5 as undone, case when nk = 5 then i + 1 end::bigint as undone_by_seq, case when i = 0 then o % 2 + 1 end::int as first_player from w""")
 def replay_actions(spark, sf):
@@ -172,10 +172,10 @@ def replay_states(spark, sf):
 @query("replay_mulligans", """select o_orderkey as game_id, case when o_orderkey % 3 = 0 then '1-0' else '' end as sent, case when o_orderkey % 3 = 0 then '1-99' else '' end as drawn, case when o_orderkey % 3 = 0 then 6 else 7 end::int as kept, case when o_orderkey % 3 = 0 then 1 else 0 end::int as mulligan from orders where o_orderkey % 17 <> 0""")
 def replay_mulligans(spark, sf):
     m = actions(spark, sf).filter(F.col("mulligan_hand").isNotNull())
-    count = t.validated_mulligan(F.col("mulligan_hand"), F.col("mulligan_kept"), F.col("mulligan_sent"),
-                                 F.col("mulligan_drawn"), F.size("mulligan_sent"), F.size("warnings"), F.lit(2))
-    return m.select("game_id", F.array_join("mulligan_sent", ",").alias("sent"),
-                    F.array_join("mulligan_drawn", ",").alias("drawn"),
+    count = t.validated_mulligan(F.col("mulligan_hand.id"), F.col("mulligan_kept.id"), F.col("mulligan_sent.id"),
+                                 F.col("mulligan_drawn.id"), F.size("mulligan_sent"), F.size("warnings"), F.lit(2))
+    return m.select("game_id", F.array_join("mulligan_sent.id", ",").alias("sent"),
+                    F.array_join("mulligan_drawn.id", ",").alias("drawn"),
                     F.size("mulligan_kept").alias("kept"), count.cast("int").alias("mulligan"))
 
 
@@ -195,6 +195,25 @@ def replay_turn_starts(spark, sf):
         F.min_by("ink_count", "seq").alias("ink_count"), F.count(F.lit(1)).alias("own_actions"))
 
 
+TARGETS = ["2-1", "card 2", "1-99"]
+
+
+@query("replay_opening_hands", """select o_orderkey as game_id, case when o_orderkey % 3 = 0 then 1 else 0 end::int as mulligan_count, case when o_orderkey % 3 <> 0 then 3 when o_orderkey % 2 = 0 then 3 end::int as post_uninkables, true as initial_target, true as kept_target, true as post_target from orders where o_orderkey % 17 <> 0 and o_orderkey % 2 = 0""")
+def replay_opening_hands(spark, sf):
+    return t.opening_hands(actions(spark, sf), TARGETS)
+
+
+@query("replay_openings", f"""{ACT}, e as (select *, lead(kk) over (partition by o order by i) as nxt from w), k as (select * from w where nk is distinct from 5 and i > 0),
+ g as (select *, first_value(cur) over (partition by o order by i) as fp, sum(case when cur = 1 and (lag_cur is distinct from cur or lag_turn is distinct from turn) then 1 else 0 end) over (partition by o order by i) as own from
+  (select *, lag(cur) over (partition by o order by i) as lag_cur, lag(turn) over (partition by o order by i) as lag_turn from k where not (kk is not distinct from 5 and i % 3 = 0)))
+ select o as game_id, own::bigint as own_turn, bool_or(kk = 4) is true as complete, max(case when kk = 4 then i end) as end_seq, arg_max(inks, i) filter (kk = 4)::int as ink, arg_max(ready, i) filter (kk = 4)::int as ready_ink,
+  case when bool_or(kk = 0 and o % 2 = 0) then true when bool_or(kk = 4) then false end as target_played from g where o % 2 = 0 and cur = 1 and own <= 3 and not (i > 1 and i % 3 = 0) and kk is distinct from 5 group by 1, 2""")
+def replay_openings(spark, sf):
+    rows = t.replay_own_turns(actions(spark, sf), 4096).withColumn("ink", F.col("ink_count"))
+    return t.opening_metrics(rows, TARGETS).select(
+        "game_id", "own_turn", "complete", "end_seq", "ink", "ready_ink", "target_played")
+
+
 @query("compact_actions", f"""{ACT} select o as game_id, i as seq, '{{"seq":' || i || ',"type":"' || {TYPE} || '"' || case when i > 0 then ',"gameplay_turn":' || turn else '' end || coalesce(',"card_id":"' || {CARD_ID} || '"', '') || '}}' as action from w""")
 def compact_actions(spark, sf):
     rows = actions(spark, sf)

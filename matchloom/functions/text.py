@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Characters folded to a plain dash or quote.
 CARD_KEY_DASHES = "–—−"
@@ -67,9 +67,35 @@ def deck_fingerprint(cards) -> Column:
 
 
 def truncate_text(c: Column, limit: int) -> Column:
-    """At most ``limit`` characters, the last one an ellipsis when cut."""
+    """At most ``limit`` characters; a cut text ends in three dots."""
     return F.when(F.length(c) > limit, F.concat(
-        F.rtrim(F.substring(c, 1, limit - 1)), F.lit("…"))).otherwise(c)
+        F.substring(c, 1, limit - 3), F.lit("..."))).otherwise(c)
+
+
+def text_chunks(c: Column, limit: int) -> Column:
+    """Pieces of at most ``limit`` characters, cut at a paragraph, else a line, else anywhere.
+
+    A paragraph or line break in the first half of a piece is not used.
+    """
+    def cut(text: str) -> list[str]:
+        out, rest = [], text.strip()
+        while len(rest) > limit:
+            at = next((p for p in (rest.rfind(b, 0, limit) for b in ("\n\n", "\n"))
+                       if p >= limit // 2), limit)
+            out.append(rest[:at].rstrip())
+            rest = rest[at:].lstrip()
+        return out + [rest] if rest else out
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def pieces(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else cut(v))
+    return pieces(c)
+
+
+def card_ids(json_text: Column) -> Column:
+    """Distinct ``set-number`` ids under an id key anywhere in a JSON document, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(json_text, F.lit(
+        r'"(?:id|card_id|target_card_id)"\s*:\s*"(\d+-\d+)"'), F.lit(1))))
 
 
 def long_words(c: Column, shortest: int = 5) -> Column:

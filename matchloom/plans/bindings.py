@@ -8,12 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 COLOURS = ["Amber", "Amethyst", "Emerald", "Ruby", "Sapphire", "Steel"]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """Read a table; its schema is taken from the files once per path."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _mod(column, m: int) -> Column:
@@ -434,10 +442,10 @@ def archives(spark, sf) -> DataFrame:
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
     kind = lambda i: F.pmod(o + i, F.lit(6))
     hand = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: text(
-        '{"id":"1-', i, '","instanceId":"h', i, '","name":"Card ', i, '","inkable":true}')), ",")
-    swap = F.when(_mod(o, 3) == 0, F.lit(
+        '{"id":"1-', i, '","instanceId":"h', i, '","name":"Card ', i, '","inkable":', F.when(i % 3 == 0, "false").otherwise("true"), "}")), ",")
+    swap = F.when(_mod(o, 3) == 0, text(
         '{"op":"remove","path":"/myPlayer/hand/0"},{"op":"add","path":"/myPlayer/hand/-","value":'
-        '{"id":"1-99","instanceId":"n1","name":"New"}}')).otherwise("")
+        '{"id":"1-99","instanceId":"n1","name":"New"', F.when(_mod(o, 2) == 0, ',"inkable":false').otherwise(""), "}}")).otherwise("")
     drop = '{"op":"remove","path":"/myPlayer/hand/0"}'
 
     def frame(i):
@@ -452,7 +460,7 @@ def archives(spark, sf) -> DataFrame:
                                      '"defenderCardId":"3-2","defenderBanished":', F.when(_mod(o, 2) == 0, "true").otherwise("false"),
                                      ',"attackerBanished":', F.when(_mod(o, 3) == 0, "true").otherwise("false"), '},"patch":[]'))
             .when(kind(i) == 4, text('"actionType":"END_TURN","takenAction":{},"patch":[{"op":"replace","path":"/turnNumber","value":', i,
-                                     '},{"op":"remove","path":"/absent"}]'))
+                                     '},{"op":"replace","path":"/currentPlayer","value":', i % 2 + 1, '},{"op":"remove","path":"/absent"}]'))
             .otherwise(text('"actionType":"FREE_UNDO:', i - 1, '","patch":[]')))
         body = F.when(i == 0, text(
             '"actionType":"CHOOSE_STARTING_PLAYER","takenAction":{},"patch":[{"op":"replace","path":"/firstPlayer","value":',
@@ -468,7 +476,7 @@ def archives(spark, sf) -> DataFrame:
         ).otherwise(text('{"id":"l', i, '","type":"NOTE"}'))
     last = (_mod(o, 4) + 5).cast("int")
     body = text('{"format":"', F.when(_mod(o, 17) == 0, "other").otherwise("duels-replay-v1"), '","gameId":"', o,
-                '","perspective":1,"playerNames":{"1":"Ann"},"baseSnapshotLogCount":0,"baseSnapshot":{"status":"mulligan",'
+                '","perspective":1,"playerNames":{"1":"Ann"', F.when(_mod(o, 2) == 0, ',"2":"Bob"').otherwise(""), '},"baseSnapshotLogCount":0,"baseSnapshot":{"status":"mulligan",'
                 '"turnNumber":0,"myPlayer":{"lore":0,"hand":[', hand, '],"inkwell":[]}},"frames":[',
                 F.array_join(F.transform(F.sequence(F.lit(0), last), frame), ","), '],"logs":[',
                 F.array_join(F.transform(F.sequence(F.lit(0), last), log), ","), "]}")

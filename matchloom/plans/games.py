@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -247,6 +248,48 @@ def practice_history(results: DataFrame, evidence: DataFrame, now: dt.datetime,
     )
 
 
+PROFILES = {"general": None, "ruby_sapphire": "Ruby/Sapphire"}
+DECK_ID = re.compile("[0-9a-f]{12,64}")
+
+
+def check_targets(cards: str | None) -> list[str]:
+    """One to eight distinct comma-separated card names or ids, 300 characters in all."""
+    if cards is None:
+        return []
+    names = list(dict.fromkeys(c.strip() for c in cards.split(",") if c.strip()))
+    if not 1 <= len(names) <= 8 or len(cards) > 300:
+        raise ValueError("give 1 to 8 comma-separated cards (300 characters at most)")
+    return names
+
+
+def practice_filter(history: DataFrame, deck: str | None = None, profile: str = "general") -> DataFrame:
+    """Deck-id prefix and colour profile, applied to the capped history.
+
+    A prefix that fits several decks of one member drops that member's rows here;
+    ``ambiguous_prefixes`` lists such prefixes.
+    """
+    if profile not in PROFILES:
+        raise ValueError("unknown opening profile")
+    rows = history
+    if deck:
+        prefix = deck.strip().lower()
+        if not DECK_ID.fullmatch(prefix):
+            raise ValueError("a deck id prefix has at least 12 hex digits")
+        rows = rows.filter(F.col("deck_id").startswith(prefix))
+        single = rows.groupBy("member_id").agg(
+            (F.min("deck_id") == F.max("deck_id")).alias("_one")).filter(F.col("_one"))
+        rows = rows.join(single.select("member_id"), "member_id", "left_semi")
+    if PROFILES[profile]:
+        rows = rows.filter(F.col("deck_label") == PROFILES[profile])
+    return rows
+
+
+def opening_sample(history: DataFrame, limit: int = OPENINGS_LIMIT) -> DataFrame:
+    """Newest games with evidence per member, at most ``limit`` each (a report cap)."""
+    rows = history.filter(F.col("normalization_id").isNotNull())
+    return top_per_key(rows, ["member_id"], [F.col("game_rank")], limit)
+
+
 def ambiguous_prefixes(decks: DataFrame, prefix_length: int = 12) -> DataFrame:
     """Deck-id prefixes shared by more than one deck of the same member."""
     return decks.filter(F.col("deck_id").isNotNull()).groupBy(

@@ -170,3 +170,69 @@ def pending_windows(days: DataFrame, log: DataFrame, force: bool = False) -> Dat
 def check_window(start: dt.date, end: dt.date) -> None:
     if not 0 < (end - start).days <= 366:
         raise ValueError("a window covers 1 to 366 days")
+
+
+def account_sync_state(log: DataFrame) -> DataFrame:
+    """Current state per account from its sync log of begin, checkpoint, finish and error rows.
+
+    The latest row of each kind decides its columns: a finish or begin clears the error, an
+    error keeps the last success, the cursor moves only with checkpoints and finishes.
+    """
+    kind, at = F.col("kind"), F.struct("at", "log_id")
+
+    def newest(value, *kinds):
+        return F.max_by(value, F.when(kind.isin(*kinds), at))
+    failed = kind == "error"
+    return log.groupBy("account_id").agg(
+        newest(F.when(failed & F.col("auth_error"), "auth_error").otherwise("active"), "finish", "error")
+        .alias("status"),
+        newest(F.col("cursor"), "checkpoint", "finish").alias("sync_cursor"),
+        newest(F.col("history_exhausted"), "checkpoint", "finish").alias("history_exhausted"),
+        F.max(F.when(kind == "begin", F.col("at"))).alias("last_sync_started_at"),
+        F.max(F.when(kind == "finish", F.col("at"))).alias("last_sync_completed_at"),
+        newest(F.when(failed, F.substring("error_category", 1, 100)), "begin", "finish", "error")
+        .alias("last_error_category"),
+        newest(F.when(failed, F.substring("error_text", 1, 1000)), "begin", "finish", "error")
+        .alias("last_error_summary"))
+
+
+def ingest_totals(log: DataFrame) -> DataFrame:
+    """Totals over the ingest log, by outcome."""
+    return log.groupBy("status").agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("received").alias("received"),
+        F.sum("selected").alias("selected"))
+
+
+def ingest_window(rows: DataFrame, target: DataFrame, log: DataFrame, start: dt.date, end: dt.date,
+                  key: str, at: str, order: str, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Ingest the day windows of [start, end) that have no completed run.
+
+    Returns the target with the selected rows added where absent, and one log row per day
+    with its counters. Days are half-open in UTC.
+    """
+    check_window(start, end)
+    days = rows.sparkSession.range((end - start).days).select(
+        F.date_add(F.lit(start.isoformat()).cast("date"), F.col("id").cast("int")).alias("day"))
+    todo = pending_windows(days, log, force)
+    fates = select_window_dedup(rows, start.isoformat(), end.isoformat(), key, at, order).withColumn(
+        "day", F.to_date(at))
+    due = fates.join(todo, "day", "left_semi")
+    picked = due.filter(F.col("fate") == "selected").select(*target.columns)
+    merged = target.unionByName(picked.join(target.select(key), key, "left_anti"))
+    counts = due.groupBy("day").agg(
+        F.count(F.lit(1)).alias("received"), F.count_if(F.col("fate") == "selected").alias("selected"))
+    done = todo.join(counts, "day", "left").select(
+        "day", F.lit("completed").alias("status"), F.coalesce("received", F.lit(0)).alias("received"),
+        F.coalesce("selected", F.lit(0)).alias("selected"))
+    return merged, done
+
+
+def latest_error(log: DataFrame, keys: list[str], order: str, error: str) -> DataFrame:
+    """The error text of each key's newest log row (NULL when that row has none)."""
+    return log.groupBy(*keys).agg(
+        F.max(order).alias("last_id"), F.max_by(error, order).alias("last_error"))
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append-only facts: usage, observations, import attempts."""
+    rows.write.mode("append").parquet(path)

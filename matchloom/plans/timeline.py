@@ -9,15 +9,22 @@ from matchloom.operators.keyed import top_per_key
 from matchloom.operators.ordered import ROWS_PER_BLOCK, number, running, shifted
 
 
-def own_turns(actions: DataFrame, perspective: int, first_player: int,
+def _as_column(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def own_turns(actions: DataFrame, perspective, first_player,
               rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Number a player's own turns as runs of (active player, label).
 
+    ``perspective`` and ``first_player`` are numbers or columns of the game.
+
     Rows without an active player or label are skipped. A game whose first row is not the
     first player's label 1 is incomplete and left out. ``own_turn`` is set on rows of the
     player's own segments; ``counts`` marks those that are decisions (undo frames only set a
     border).
     """
+    perspective, first_player = _as_column(perspective), _as_column(first_player)
     rows = actions.filter(F.col("active_player").isNotNull() & F.col("turn_label").isNotNull())
     lagged = shifted(
         number(rows, ["game_id"], ["seq"]).withColumn("_one", F.lit(1)), ["game_id"],
@@ -27,8 +34,8 @@ def own_turns(actions: DataFrame, perspective: int, first_player: int,
     border = start | (F.col("_a") != F.col("active_player")) | (F.col("_t") != F.col("turn_label"))
     own = F.col("active_player") == perspective
     flagged = lagged.withColumn("_own", F.when(border & own, 1).otherwise(0)).withColumn(
-        "_bad", F.when(start & ((F.col("active_player") != first_player)
-                                | (F.col("turn_label") != 1)), 1).otherwise(0))
+        "_bad", F.when(start & ~((F.col("active_player") == first_player)
+                                 & (F.col("turn_label") == 1)), 1).otherwise(0))
     out = running(flagged, ["game_id"], {"_n": ("sum", "_own"), "_wrong": ("sum", "_bad")},
                   rows_per_block)
     return out.filter(F.col("_wrong") == 0).select(
@@ -167,22 +174,61 @@ def validated_mulligan(hand: Column, kept: Column, sent: Column, drawn: Column,
     return F.when(F.coalesce(fine, F.lit(False)), count)
 
 
+def replay_own_turns(actions: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Own turns of normalised replays that are complete from the opening on.
+
+    Undone actions are left out. Only the player's own actions count as decisions.
+    """
+    rows = actions.filter(F.col("opening_eligible") & ~F.col("undone")).withColumn(
+        "active_player", F.col("segment_player")).withColumn("turn_label", F.col("gameplay_turn"))
+    turns = own_turns(rows, F.col("perspective"), F.col("game_first_player"), rows_per_block)
+    return turns.withColumn("counts", F.col("counts") & F.col("actor_is_perspective"))
+
+
+def _three_valued(hits: str, unsure: str) -> Column:
+    return F.when(F.col(hits) > 0, True).when(F.col(unsure) > 0, None).otherwise(False)
+
+
 def opening_metrics(turn_rows: DataFrame, targets: list[str]) -> DataFrame:
-    """First three own turns: completed, last recorded ink, target played (three-valued).
+    """First three own turns: completed, ink and ready ink at the end, target seen and played.
 
-    ``turn_rows`` comes from ``own_turns`` with ink columns; every metric is an aggregate
-    that combines map-side.
+    ``turn_rows`` comes from ``own_turns`` with ``ink``, ``ready_ink``, ``hand``, ``card_id``
+    and ``card_name``. Seen and played are three-valued: unknown cards never prove absence.
+    Every metric is an aggregate that combines map-side.
     """
     rows = turn_rows.filter((F.col("own_turn") <= 3) & F.col("counts"))
     ended, play = F.col("type") == "end_turn", F.col("type") == "play"
     state = target_state(F.col("card_id"), F.col("card_name"), targets)
+    sight = target_present(F.col("hand"), targets)
     last = F.when(ended, F.col("seq"))
     agg = rows.groupBy("game_id", "own_turn").agg(
         F.bool_or(ended).alias("complete"), F.max(last).alias("end_seq"),
-        F.max_by("ink", last).alias("ink"),
+        F.max_by("ink", last).alias("ink"), F.max_by("ready_ink", last).alias("ready_ink"),
         F.count_if(play & state.eqNullSafe(F.lit(True))).alias("_hit"),
-        F.count_if(play & state.isNull()).alias("_unsure"))
-    played = F.when(F.col("_hit") > 0, True).when(F.col("_unsure") > 0, None).otherwise(False)
+        F.count_if(play & state.isNull()).alias("_unsure"),
+        F.count_if(sight.eqNullSafe(F.lit(True))).alias("_seen"),
+        F.count_if(sight.isNull()).alias("_unseen"))
     return agg.select(
         "game_id", "own_turn", "complete", "end_seq", F.when(F.col("complete"), F.col("ink")).alias("ink"),
-        F.when(F.col("complete") | (F.col("_hit") > 0), played).alias("target_played"))
+        F.when(F.col("complete"), F.col("ready_ink")).alias("ready_ink"),
+        _three_valued("_seen", "_unseen").alias("target_seen"),
+        F.when(F.col("complete") | (F.col("_hit") > 0), _three_valued("_hit", "_unsure"))
+        .alias("target_played"))
+
+
+def opening_hands(actions: DataFrame, targets: list[str]) -> DataFrame:
+    """Mulligan facts of eligible replays: count, uninkable cards kept, target before and after."""
+    rows = actions.filter(F.col("mulligan_hand").isNotNull() & F.col("opening_eligible"))
+    count = validated_mulligan(
+        F.col("mulligan_hand.id"), F.col("mulligan_kept.id"), F.col("mulligan_sent.id"),
+        F.col("mulligan_drawn.id"), F.size("mulligan_sent"), F.lit(0), F.lit(2))
+    rows = rows.withColumn("mulligan_count", count)
+    valid = F.col("mulligan_count").isNotNull()
+    post = F.when(valid, F.concat("mulligan_kept", "mulligan_drawn"))
+    known = F.forall(post, lambda c: c["inkable"].isNotNull())
+    return rows.select(
+        "game_id", "mulligan_count",
+        F.when(known, F.size(F.filter(post, lambda c: ~c["inkable"]))).alias("post_uninkables"),
+        F.when(valid, target_present(F.col("mulligan_hand"), targets)).alias("initial_target"),
+        F.when(valid, target_present(F.col("mulligan_kept"), targets)).alias("kept_target"),
+        target_present(post, targets).alias("post_target"))

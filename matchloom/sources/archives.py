@@ -11,8 +11,11 @@ import gzip
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from matchloom.session import spread
 
@@ -72,6 +75,13 @@ def _open(content: bytes, expected) -> tuple[str, str | None, str | None]:
     return encoding, value, None
 
 
+def read_archives(spark, path: str) -> DataFrame:
+    """Archive files named ``<game id>.<anything>`` as (game_id, content)."""
+    files = spark.read.format("binaryFile").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.split(name, r"\.").getItem(0).cast("long").alias("game_id"), "content")
+
+
 def decode_archives(files: DataFrame) -> DataFrame:
     """(game_id, content) to text; bad archives stay with status ``invalid`` and a reason."""
     def run(batches):
@@ -183,13 +193,20 @@ def replay_states(archives: DataFrame) -> DataFrame:
         except Exception as error:
             return None, f"patch_failed: {type(error).__name__}"
 
+    schema = StructType.fromDDL(
+        f"game_id long, body string, states array<{STATE}>, state_error string")
+    target = to_arrow_type(schema["states"].dataType)
+
     def run(batches):
-        for frame in batches:
-            rows = [one(t) for t in frame["body"]]
-            yield frame.assign(states=[r[0] for r in rows], state_error=[r[1] for r in rows])
+        for batch in batches:
+            rows = [one(t) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("game_id"), batch.column("body"),
+                 pa.array([r[0] for r in rows], type=target),
+                 pa.array([r[1] for r in rows], type=pa.string())],
+                names=["game_id", "body", "states", "state_error"])
     kept = spread(archives.select("game_id", "body"), "game_id")
-    return kept.mapInPandas(
-        run, f"game_id long, body string, states array<{STATE}>, state_error string")
+    return kept.mapInArrow(run, schema)
 
 
 # --- actions -----------------------------------------------------------------------------
@@ -203,18 +220,29 @@ def normalize_actions(states: DataFrame) -> DataFrame:
 
     Turn and active player come from the state before the frame. Missing card facts are
     inferred from the frame's logs. ``undone`` uses the row's own undo frames.
+    ``segment_player`` also knows the active player of own undo frames, which border turns.
     """
     b = states.filter(F.col("state_error").isNull()).select(
         "game_id", F.from_json("body", BODY).alias("b"), "states")
     undo_of = lambda f: F.regexp_extract(f["actionType"], r"^FREE_UNDO:(\d+)$", 1)
     undos = F.transform(F.filter("b.frames", lambda f: undo_of(f) != ""), lambda f: F.struct(
         f["seq"].alias("at"), undo_of(f).cast("long").alias("target")))
-    b = b.withColumn("undos", undos).select(
+    zipped = F.arrays_zip(F.col("b.frames").alias("f"), F.col("states").alias("s"))
+    b = b.withColumn("undos", undos).withColumn("zipped", zipped)
+    chosen = F.filter("zipped", lambda z: z["f"]["actionType"] == "CHOOSE_STARTING_PLAYER")
+    first = F.coalesce(F.get(chosen, F.size(chosen) - 1)["s"]["first_player"],
+                       F.get("zipped", F.size("zipped") - 1)["s"]["first_player"])
+    opened = F.exists("zipped", lambda z: (z["f"]["actionType"] == "MULLIGAN")
+                      & z["f"]["player"].eqNullSafe(F.col("b.perspective")))
+    clean = (F.size(chosen) > 0) & ~F.exists("states", lambda x: x["warning"].isNotNull())
+    seats = F.coalesce(F.size("b.playerNames"), F.lit(0)).isin(-1, 0, 2)
+    b = b.select(
         "game_id", F.col("b.perspective").alias("perspective"), F.col("b.logs").alias("logs"), "undos",
-        F.col("b.playerNames").alias("names"),
-        F.posexplode(F.arrays_zip(F.col("b.frames").alias("f"), F.col("states").alias("s"))).alias("pos", "z"))
-    rows = b.select("game_id", "pos", "perspective", "undos", "names", "logs", "z.f.*",
-                    F.col("z.s").alias("s"))
+        F.col("b.playerNames").alias("names"), first.alias("game_first_player"),
+        (opened & clean & seats & F.col("b.perspective").isNotNull()).alias("opening_eligible"),
+        F.posexplode("zipped").alias("pos", "z"))
+    rows = b.select("game_id", "pos", "perspective", "undos", "names", "logs", "game_first_player",
+                    "opening_eligible", "z.f.*", F.col("z.s").alias("s"))
     logs = F.slice("logs", F.col("s.first_log") + 1, F.col("s.end_log") - F.col("s.first_log"))
     rows = rows.withColumn("frame_logs", F.coalesce(logs, F.array())).drop("logs")
     raw, taken = F.coalesce("actionType", F.lit("UNKNOWN")), F.col("takenAction")
@@ -254,7 +282,7 @@ def normalize_actions(states: DataFrame) -> DataFrame:
     before = F.filter(F.col("s.hand.instance_id"), lambda i: i.isNotNull())
     after = F.filter(F.col("s.hand_after.instance_id"), lambda i: i.isNotNull())
     swap = (raw == "MULLIGAN") & own
-    ids = lambda cards, keep: F.transform(F.filter(cards, lambda c: F.array_contains(keep, c["instance_id"])), lambda c: c["id"])  # noqa: E731,E501
+    with_instance = lambda cards, keep: F.filter(cards, lambda c: F.array_contains(keep, c["instance_id"]))  # noqa: E731,E501
     logged = F.get(F.filter("frame_logs", lambda l: (l["type"] == "MULLIGAN")
                             & (l["player"] == F.col("perspective"))), F.lit(0))["data"]["mulliganCount"]
     cover = F.filter("undos", lambda u: (u["target"] <= F.col("seq")) & (F.col("seq") < u["at"]))
@@ -264,7 +292,9 @@ def normalize_actions(states: DataFrame) -> DataFrame:
         F.coalesce(F.element_at("names", F.col("player").cast("string")),
                    F.concat(F.lit("Player "), F.col("player").cast("string"))).alias("actor_name"),
         F.when(playing & ~is_undo, F.col("s.current_player")).alias("active_player"),
+        F.when(playing & (own | ~is_undo), F.col("s.current_player")).alias("segment_player"),
         F.when(playing, F.col("s.turn_number")).alias("gameplay_turn"),
+        "perspective", "game_first_player", "opening_eligible",
         card("cardId", "attackerCardId", "id").alias("card_id"),
         card("cardName", "attackerName", "name").alias("card_name"),
         F.when(attack, taken["defenderCardId"]).alias("target_card_id"),
@@ -282,13 +312,13 @@ def normalize_actions(states: DataFrame) -> DataFrame:
         F.array_max(F.transform(cover, lambda u: u["at"])).alias("undone_by_seq"),
         F.when(raw == "CHOOSE_STARTING_PLAYER", F.col("s.first_player")).alias("first_player"),
         F.when(own, F.col("s.lore")).alias("lore"), F.when(own, F.col("s.hand_count")).alias("hand_count"),
-        F.when(own, F.col("s.hand.id")).alias("hand_ids"),
+        F.when(own, F.col("s.hand")).alias("hand"),
         F.when(own, F.col("s.ink_count")).alias("ink_count"),
         F.when(own, F.col("s.ready_ink")).alias("ready_ink"),
-        F.when(swap, F.col("s.hand.id")).alias("mulligan_hand"),
-        F.when(swap, ids(F.col("s.hand"), F.array_intersect(before, after))).alias("mulligan_kept"),
-        F.when(swap, ids(F.col("s.hand"), F.array_except(before, after))).alias("mulligan_sent"),
-        F.when(swap, ids(F.col("s.hand_after"), F.array_except(after, before))).alias("mulligan_drawn"),
+        F.when(swap, F.col("s.hand")).alias("mulligan_hand"),
+        F.when(swap, with_instance(F.col("s.hand"), F.array_intersect(before, after))).alias("mulligan_kept"),
+        F.when(swap, with_instance(F.col("s.hand"), F.array_except(before, after))).alias("mulligan_sent"),
+        F.when(swap, with_instance(F.col("s.hand_after"), F.array_except(after, before))).alias("mulligan_drawn"),
         F.filter(F.array(F.col("s.warning"), F.when(
             swap & logged.isNotNull() & (logged != F.size(F.array_except(before, after))),
             "mulligan_count_differs")), lambda w: w.isNotNull()).alias("warnings"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.operators.digest import table_digest
 from matchloom.operators.quality import duplicates
+from matchloom.session import path_exists
 
 PROVIDER_CARD = """id string, name string, version string, lang string, collector_number string,
  set struct<code:string,name:string>, inks array<string>, ink string, cost int, inkwell boolean,
@@ -43,6 +45,40 @@ def normalize_catalog(docs: DataFrame) -> DataFrame:
                          F.when(base.isNull(), "name")), lambda e: e.isNotNull()).alias("errors"))
 
 
+PLAIN_CARD = """id string, card_id string, name string, version string, subtitle string, set_code string,
+ set_name string, collector_number string, ink_colors array<string>, colors array<string>,
+ classifications array<string>, card_type string, type string, rules_text string, text string"""
+
+
+def normalize_cards(docs: DataFrame) -> DataFrame:
+    """Snapshot card documents (``body``) to catalog rows; ``errors`` names what is wrong.
+
+    Id and name are required; cost must be a number and inkable a boolean, not each other.
+    """
+    c = docs.select("*", F.from_json("body", PLAIN_CARD).alias("c"), F.try_parse_json("body").alias("_v"))
+    kind = lambda f: F.expr(f"schema_of_variant(try_variant_get(_v, '$.{f}', 'variant'))")
+    given = lambda f: F.coalesce(kind(f) != "VOID", F.lit(False))
+    either = lambda a, b: _text(F.when(F.coalesce(F.col(a), F.lit("")) != "", F.col(a)).otherwise(F.col(b)))  # noqa: E731,E501
+    cost = F.expr("try_variant_get(_v, '$.cost', 'int')")
+    inkable = F.expr("try_variant_get(_v, '$.inkable', 'boolean')")
+    cost_ok = ~given("cost") | ((kind("cost") != "BOOLEAN") & cost.isNotNull())
+    ink_ok = ~given("inkable") | (kind("inkable") == "BOOLEAN")
+    card_id, name = either("c.id", "c.card_id"), _text("c.name")
+    colours = F.coalesce(F.when(kind("ink_colors").isNotNull(), F.coalesce("c.ink_colors", F.array())),
+                         F.col("c.colors"), F.array())
+    clean = lambda a, low: F.filter(F.transform(a, lambda x: F.lower(F.trim(x)) if low else F.trim(x)), lambda x: x != "")  # noqa: E731,E501
+    return c.select(
+        *docs.columns, card_id.alias("card_id"), name.alias("name"),
+        either("c.version", "c.subtitle").alias("version"), _text("c.set_code").alias("set_code"),
+        _text("c.collector_number").alias("collector_number"), clean(colours, True).alias("ink_colors"),
+        F.when(cost_ok, cost).alias("cost"), F.when(ink_ok, inkable).alias("inkable"),
+        clean(F.coalesce("c.classifications", F.array()), False).alias("classifications"),
+        either("c.card_type", "c.type").alias("card_type"), either("c.rules_text", "c.text").alias("rules_text"),
+        F.filter(F.array(F.when(card_id.isNull(), "card_id"), F.when(name.isNull(), "name"),
+                         F.when(~cost_ok, "cost"), F.when(~ink_ok, "inkable")),
+                 lambda e: e.isNotNull()).alias("errors"))
+
+
 def snapshot_problems(cards: DataFrame) -> DataFrame:
     """Ids that occur twice; any row here rejects the whole snapshot."""
     return duplicates(cards.filter(F.col("card_id").isNotNull()), ["card_id"])
@@ -79,3 +115,47 @@ def apply_roster(definition: DataFrame, links: DataFrame, memberships: DataFrame
         .when(F.col("_has").isNotNull(), "add_link").otherwise("add_primary_link").alias("link_action"),
         F.when(taken, "none").when(F.col("_open").isNotNull(), "keep").otherwise("open")
         .alias("membership_action"))
+
+
+def rule_pages(pages: DataFrame, version: str) -> DataFrame:
+    """Pages of a rules document as citable passages with key and checksum."""
+    return pages.select(
+        F.concat(F.lit(f"CR:{version}:p"), F.col("page").cast("string")).alias("passage_id"),
+        "document_id", "text", F.sha2("text", 256).alias("sha256"))
+
+
+class SnapshotStore:
+    """Immutable catalog snapshots, one folder per content hash with an append-only index."""
+
+    INDEX = "snapshot string, card_count long, source string, imported_at timestamp"
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def index(self) -> DataFrame:
+        path = f"{self.root}/index"
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], self.INDEX)
+        return self.spark.read.schema(self.INDEX).parquet(path)
+
+    def write(self, cards: DataFrame, source: str) -> tuple[str, bool]:
+        """Store a snapshot; equal content returns the stored one. Repeated ids reject it."""
+        columns = [c for c, t in cards.dtypes if not t.startswith("array")]
+        if not snapshot_problems(cards).isEmpty():
+            raise ValueError("card ids repeat in the snapshot")
+        mark = table_digest(cards, columns).first()
+        if not self.index().filter(F.col("snapshot") == mark["digest"]).isEmpty():
+            return mark["digest"], False
+        cards.write.mode("overwrite").parquet(f"{self.root}/snapshot={mark['digest']}")
+        row = self.spark.createDataFrame([(mark["digest"], mark["row_count"], source)],
+                                         "snapshot string, card_count long, source string")
+        row.withColumn("imported_at", F.current_timestamp()).coalesce(1).write.mode(
+            "append").parquet(f"{self.root}/index")
+        return mark["digest"], True
+
+    def read(self, snapshot: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/snapshot={snapshot}")
+
+    def latest(self) -> DataFrame | None:
+        row = self.index().orderBy(F.col("imported_at").desc(), "snapshot").first()
+        return self.read(row["snapshot"]) if row else None

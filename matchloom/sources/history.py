@@ -71,3 +71,22 @@ def parse_history(docs: DataFrame) -> DataFrame:
     return rows.select(
         *[c for c in docs.columns], *cols,
         F.filter(F.array(*errors), lambda e: e.isNotNull()).alias("errors"))
+
+
+def parse_history_pages(pages: DataFrame) -> DataFrame:
+    """Provider pages (``page``: JSON with ``games`` and ``next_cursor``) to one row per game.
+
+    A page without a proper games list gives one row with an error and no body.
+    """
+    v = pages.withColumn("_v", F.try_parse_json("page"))
+    games = F.expr("try_variant_get(_v, '$.games', 'array<variant>')")
+    cursor = F.expr("try_variant_get(_v, '$.next_cursor', 'string')")
+    rows = v.withColumn("_games", games).withColumn("next_cursor", F.when(cursor != "", cursor))
+    objects = F.forall("_games", lambda g: F.schema_of_variant(g).startswith("OBJECT"))
+    bad = F.col("_games").isNull() | ~objects
+    rows = rows.withColumn("error", F.when(bad, "invalid_games"))
+    kept = [c for c in pages.columns if c != "page"]
+    return rows.select(
+        *kept, "next_cursor", "error", F.posexplode_outer(F.when(~bad, F.col("_games")))
+        .alias("position", "_game")).filter(F.col("error").isNotNull() | F.col("_game").isNotNull()).select(
+        *kept, "next_cursor", "error", "position", F.to_json("_game").alias("body"))
