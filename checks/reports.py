@@ -293,3 +293,28 @@ def rule_passages(spark, sf):
     return cat.rule_pages(pages, "v2").select("passage_id", "sha256")
 
 
+
+
+def review(spark, sf, turns=None):
+    actions = b.actions(spark, sf)
+    refs = actions.filter(F.col("card_id").isNotNull()).select(
+        "game_id", "card_id", F.lit(None).cast("string").alias("observed_name"))
+    pages = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("page_id"), F.concat("p_name", F.lit(" gains at the start of "), "p_type").alias("text"))
+    return rep.review_plan(actions, 1, refs, b.catalog(spark, sf), b.card_aliases(spark, sf), pages, turns)
+
+
+FACTS = """select distinct a.game_id, c.card_id, c.name, c.rules_text from v_actions a join v_catalog c using (card_id) where a.game_id in (select game_id from v_actions where active_player = 1)"""
+
+
+@query("review_pages", f"""with f as ({FACTS}), q as (select game_id, list_distinct(flatten(list(list_filter(regexp_extract_all(lower(rules_text), '[a-z]{{5,}}'), lambda w: w not in ('their', 'yours', 'other'))))) as terms, list_distinct(list(lower(name))) as names from f group by 1),
+ p as (select p_partkey as page_id, lower(p_name || ' gains at the start of ' || p_type) as text, list_distinct(regexp_extract_all(lower(p_name || ' gains at the start of ' || p_type), '[a-z]{{5,}}')) as words from part),
+ s as (select game_id as request_id, page_id, len(list_intersect(terms, words)) + 20 * len(list_filter(names, lambda n: contains(text, n))) as score from q, p)
+ select request_id, page_id, score::bigint as score, rank::int as rank from (select *, row_number() over (partition by request_id order by score desc, page_id) as rank from s where score > 0) where rank <= 2""")
+def review_pages(spark, sf):
+    return review(spark, sf)["pages"]
+
+
+@query("review_durations", f"select game_id, card_id, name from ({FACTS}) where contains(lower(rules_text), 'until the start of your next turn')")
+def review_durations(spark, sf):
+    return review(spark, sf)["durations"]

@@ -11,8 +11,14 @@ from matchloom.session import scratch_path
 from matchloom.streaming import jobs as s
 
 
-def read_stream(spark, path, schema, per_batch=1):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+def read_stream(spark, path, schema):
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def parts(df, column, size, first, n=3):
+    """The table in ``n`` consecutive parts, as new data would arrive."""
+    slot = F.floor((F.col(column) - first) * n / size)
+    return [df.filter(slot == i) for i in range(n)]
 
 
 def source(spark, sf, name):
@@ -60,12 +66,12 @@ def incremental_upsert(spark, sf):
         F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"),
         F.col("event_type").alias("result"), "event_id")
     feed = scratch_path(spark, "feed")
-    raw.repartitionByRange(3, "event_id").sortWithinPartitions("event_id").write.parquet(feed)
-    # One batch holds several sightings of a key: the earliest fills first_seen, the latest the rest.
+    # One micro-batch holds several sightings of a key: the earliest fills first_seen, the
+    # latest the rest. The parts arrive, and are merged, in time order.
     root = scratch_path(spark, "observations")
     schema = "account_id long, game_id long, first_seen timestamp_ntz, last_seen timestamp_ntz, result string"
     target = s.SnapshotTable(spark, root, schema)
-    stream = read_stream(spark, feed, raw.schema)
+    checkpoint, top = scratch_path(spark, "cp"), raw.agg(F.max("event_id")).first()[0]
 
     def handle(batch, number):
         seen = batch.groupBy("account_id", "game_id").agg(
@@ -74,7 +80,9 @@ def incremental_upsert(spark, sf):
         target.upsert(seen, number, ["account_id", "game_id"], {
             "first_seen": "keep_first", "last_seen": "overwrite", "result": "overwrite"},
             [F.col("last_seen").desc()])
-    s.once(stream, scratch_path(spark, "cp"), handle).awaitTermination()
+    for part in parts(raw, "event_id", top + 1, 0):
+        part.write.mode("append").parquet(feed)
+        s.once(read_stream(spark, feed, raw.schema), checkpoint, handle).awaitTermination()
     return target.latest()
 
 
@@ -83,13 +91,11 @@ def incremental_elo(spark, sf):
     """The published inputs fed in three batches give the same history as one build."""
     inputs = published(spark, sf).inputs
     feed, root = scratch_path(spark, "inputs"), scratch_path(spark, "elo-stream")
-    # Written one after the other, so the file source (oldest first) keeps sequence order.
-    total = inputs.count()
-    for i in range(3):
-        inputs.filter(F.ceil(F.col("sequence") * 3 / total) == i + 1).coalesce(1).write.mode(
-            "append").parquet(feed)
-    stream = read_stream(spark, feed, inputs.schema)
-    s.incremental_elo(spark, stream, root, scratch_path(spark, "cp")).awaitTermination()
+    checkpoint = scratch_path(spark, "cp")
+    for part in parts(inputs, "sequence", inputs.count(), 1):
+        part.write.mode("append").parquet(feed)
+        stream = read_stream(spark, feed, inputs.schema)
+        s.incremental_elo(spark, stream, root, checkpoint).awaitTermination()
     return spark.read.parquet(f"{root}/history").select("sequence", "player_id", r6("rating_after"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.operators.keyed import one_row
+
 LANES = 2
 
 
@@ -61,18 +63,13 @@ def ordered_digest(df: DataFrame, sequence: str, line: Column, fan_in: int = 409
 
 def reconcile(pairs: dict[str, tuple[DataFrame, DataFrame]], columns: dict[str, list[str]]) -> DataFrame:
     """Source against target: row counts and digests per table name."""
-    out = None
+    sides = []
     for name, (source, target) in pairs.items():
-        a = table_digest(source, columns[name]).select(
-            F.lit(name).alias("table_name"), F.col("row_count").alias("source_rows"),
-            F.col("digest").alias("_a"))
-        b = table_digest(target, columns[name]).select(
-            F.lit(name).alias("table_name"), F.col("row_count").alias("target_rows"),
-            F.col("digest").alias("_b"))
-        row = a.join(b, "table_name").select(
-            "table_name", "source_rows", "target_rows",
-            (F.col("_a") == F.col("_b")).alias("digest_match"),
-            ((F.col("_a") == F.col("_b")) & (F.col("source_rows") == F.col("target_rows")))
-            .alias("valid"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        for side, df in (("source", source), ("target", target)):
+            sides.append(table_digest(df, columns[name]).select(
+                F.lit(name).alias("table_name"), F.col("row_count").alias(f"{side}_rows"),
+                F.col("digest").alias(f"_{side}")))
+    equal = F.col("_source") == F.col("_target")
+    return one_row(*sides, by=["table_name"]).select(
+        "table_name", "source_rows", "target_rows", equal.alias("digest_match"),
+        (equal & (F.col("source_rows") == F.col("target_rows"))).alias("valid"))

@@ -129,3 +129,13 @@ def mode_with_ties(counts: DataFrame, scope: list[str], size: str) -> DataFrame:
     """Rows of ``counts`` whose size equals the scope's maximum (map-side limited by rank)."""
     w = Window.partitionBy(*scope).orderBy(F.col(size).desc())
     return counts.withColumn("_rk", F.rank().over(w)).filter(F.col("_rk") == 1).drop("_rk")
+
+
+def one_row(*frames: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Put single-row frames (one row per ``by`` value) side by side without a join."""
+    keys = by or []
+    stacked = frames[0]
+    for f in frames[1:]:
+        stacked = stacked.unionByName(f, allowMissingColumns=True)
+    return stacked.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in stacked.columns if c not in keys])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.digest import ordered_digest
-from matchloom.operators.keyed import classify, top_per_key
+from matchloom.operators.keyed import classify, one_row, top_per_key
 from matchloom.operators.ordered import assign_sequence, global_rank
 from matchloom.plans.elo import K_FACTOR, START_RATING, check_parameters, elo_current, elo_history
 from matchloom.plans.policies import INCLUDED, policy_name, with_reason
@@ -199,8 +199,7 @@ def run_invariants(run: Run) -> DataFrame:
     p = run.history.select("player_id").distinct().agg(F.count(F.lit(1)).alias("seen"))
     n = F.col("n")
     expected = n.cast("decimal(18,0)") * (n + 1).cast("decimal(18,0)") / 2
-    rows = [x.withColumn("_k", F.lit(1)) for x in (i, h, c, p)]  # one row each
-    return rows[0].join(rows[1], "_k").join(rows[2], "_k").join(rows[3], "_k").select(
+    return one_row(i, h, c, p).select(
         ((n == 0) | ((F.col("lo") == 1) & (F.col("hi") == n) & (F.col("seq_sum") == expected)))
         .alias("contiguous_sequence"),
         (F.col("h") == 2 * n).alias("two_rows_per_input"),

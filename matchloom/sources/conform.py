@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.text import uuid5
 from matchloom.functions.times import parse_timestamp
 from matchloom.operators.digest import reconcile
+from matchloom.operators.keyed import one_row
 from matchloom.operators.quality import check_schema
 
 # Legacy status words and what they became.
@@ -73,9 +74,8 @@ def preflight(df: DataFrame, expected: dict[str, str], rules: list[Rule]) -> Dat
     if problems:
         raise ValueError("; ".join(problems))
     clean, rejected = conform_table(df, rules)
-    a = clean.agg(F.count(F.lit(1)).alias("clean_rows"), F.lit(1).alias("_k"))
-    b = rejected.agg(F.count(F.lit(1)).alias("rejected_rows"), F.lit(1).alias("_k"))
-    return a.join(b, "_k").drop("_k")
+    return one_row(clean.agg(F.count(F.lit(1)).alias("clean_rows")),
+                   rejected.agg(F.count(F.lit(1)).alias("rejected_rows")))
 
 
 def load_and_reconcile(df: DataFrame, rules: list[Rule], path: str, columns: list[str]) -> DataFrame:
@@ -88,5 +88,5 @@ def load_and_reconcile(df: DataFrame, rules: list[Rule], path: str, columns: lis
     written = df.sparkSession.read.schema(clean.schema).parquet(path)
     report = reconcile({"load": (clean, written)}, {"load": columns})
     bad = rejected.agg(F.count(F.lit(1)).alias("rejected_rows"), F.lit("load").alias("table_name"))
-    return report.join(bad, "table_name").withColumn(
+    return one_row(report, bad, by=["table_name"]).withColumn(
         "valid", F.col("valid") & (F.col("rejected_rows") == 0))
