@@ -150,7 +150,7 @@ def opening_rows(spark, sf):
 
 
 HIT = "(coalesce(card_id, '') in ('12', '60', 'card 7') or coalesce(case when size % 2 = 0 then 'card ' || (size % 10) end, '') in ('12', '60', 'card 7'))"
-OPENING = f"""select game_id, own_turn, complete, end_seq, case when complete then ink end as ink, case when complete then ready end as ready_ink, case when seen > 0 then true when unseen > 0 then null else false end as target_seen, case when hit > 0 then true when complete and unsure > 0 then null when complete then false end as target_played from (
+OPENING = f"""select game_id, own_turn, complete, end_seq, case when complete then ink end::int as ink, case when complete then ready end::int as ready_ink, case when seen > 0 then true when unseen > 0 then null else false end as target_seen, case when hit > 0 then true when complete and unsure > 0 then null when complete then false end as target_played from (
  select game_id, turns::bigint as own_turn, bool_or(type = 'end_turn') as complete, max(case when type = 'end_turn' then seq end) as end_seq, arg_max_null(case when size % 5 <> 0 then size % 4 end, case when type = 'end_turn' then seq end) as ink, arg_max(size % 3, case when type = 'end_turn' then seq end) as ready, count(*) filter (size % 4 <> 1 and size % 100 in (12, 60)) as seen, count(*) filter (size % 4 = 1) as unseen,
  count(*) filter (type = 'play' and {HIT}) as hit, count(*) filter (type = 'play' and not {HIT} and (card_id is null or size % 2 = 1)) as unsure from ({OWN}) where active_player = 1 and type <> 'undo' and turns <= 3 group by 1, 2)"""
 
