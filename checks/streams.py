@@ -70,20 +70,20 @@ def incremental_upsert(spark, sf):
     # latest the rest. The parts arrive, and are merged, in time order.
     root = scratch_path(spark, "observations")
     schema = "account_id long, game_id long, first_seen timestamp_ntz, last_seen timestamp_ntz, result string"
-    target = s.SnapshotTable(spark, root, schema)
+    target = s.KeyedTable(spark, root, schema, ["account_id", "game_id"], 16)
     checkpoint, top = scratch_path(spark, "cp"), raw.agg(F.max("event_id")).first()[0]
 
     def handle(batch, number):
         seen = batch.groupBy("account_id", "game_id").agg(
             F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
             F.max_by("result", F.struct("last_seen", "event_id")).alias("result"))
-        target.upsert(seen, number, ["account_id", "game_id"], {
+        target.upsert(seen, number, {
             "first_seen": "keep_first", "last_seen": "overwrite", "result": "overwrite"},
             [F.col("last_seen").desc()])
     for part in parts(raw, "event_id", top + 1, 0):
         part.write.mode("append").parquet(feed)
         s.once(read_stream(spark, feed, raw.schema), checkpoint, handle).awaitTermination()
-    return target.latest()
+    return target.read()
 
 
 @query("incremental_elo", "select sequence, player_id, round(rating_after, 6) as rating_after from v_history")

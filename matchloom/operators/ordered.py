@@ -42,14 +42,16 @@ def assign_sequence(df: DataFrame, order: list[Column], out: str = "sequence") -
     )
 
 
-def number(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Add ``_g``: the global position in (keys, order). Input of the functions below."""
-    cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    return assign_sequence(df, cols, "_g")
-
+def number(df: DataFrame, keys: list[str], order: list,
+           rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Add ``_g``, the global position in (keys, order), and ``_block``, its block number.
 
-def _block(size: int) -> Column:
-    return F.floor((F.col("_g") - 1) / F.lit(size)).cast("long")
+    Input of the functions below; they keep both columns, so a chain of them shuffles on
+    (block, key) once.
+    """
+    cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
+    return assign_sequence(df, cols, "_g").withColumn(
+        "_block", F.floor((F.col("_g") - 1) / F.lit(rows_per_block)).cast("long"))
 
 
 def shifted(numbered: DataFrame, keys: list[str], outputs: dict[str, tuple[int, str]],
@@ -63,8 +65,7 @@ def shifted(numbered: DataFrame, keys: list[str], outputs: dict[str, tuple[int,
     ahead = max([o for o, _ in outputs.values() if o > 0], default=0)
     if max(back, ahead) >= rows_per_block:
         raise ValueError("offset must be smaller than a block")
-    pos = F.pmod(F.col("_g") - 1, F.lit(rows_per_block))
-    home = _block(rows_per_block)
+    pos, home = F.pmod(F.col("_g") - 1, F.lit(rows_per_block)), F.col("_block")
     homes = F.filter(
         F.array(
             home,
@@ -79,10 +80,7 @@ def shifted(numbered: DataFrame, keys: list[str], outputs: dict[str, tuple[int,
         (F.lag(col, -off) if off < 0 else F.lead(col, off)).over(w).alias(name)
         for name, (off, col) in outputs.items()
     ]
-    return (
-        spread.select("*", *made).filter(F.col("_block") == F.col("_home"))
-        .drop("_block", "_home")
-    )
+    return spread.select("*", *made).filter(F.col("_block") == F.col("_home")).drop("_home")
 
 
 _RUNNING = {
@@ -95,10 +93,9 @@ _RUNNING = {
 def running(numbered: DataFrame, keys: list[str], outputs: dict[str, tuple[str, str]],
             rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Running ``sum``, ``max`` or ``last`` (non-null) per key up to and including the row."""
-    blocked = numbered.withColumn("_block", _block(rows_per_block))
     local = Window.partitionBy("_block", *keys).orderBy("_g").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    within = blocked.select(
+    within = numbered.select(
         "*", *[_RUNNING[fn][0](col).over(local).alias(f"_l_{name}")
                for name, (fn, col) in outputs.items()])
     totals = [
@@ -112,7 +109,7 @@ def running(numbered: DataFrame, keys: list[str], outputs: dict[str, tuple[str,
     # per block are left before the carry is computed.
     at = F.pmod(F.col("_g") - 1, F.lit(rows_per_block))
     carry = (
-        blocked.groupBy("_block", *keys)
+        numbered.groupBy("_block", *keys)
         .agg(*totals, F.min(at).alias("_lo"), F.max(at).alias("_hi"))
         .filter((F.col("_lo") == 0) | (F.col("_hi") == rows_per_block - 1))
         .select("_block", *keys, F.count(F.lit(1)).over(past).alias("_earlier"),
@@ -137,14 +134,15 @@ def running(numbered: DataFrame, keys: list[str], outputs: dict[str, tuple[str,
 def segment_runs(df: DataFrame, keys: list[str], order: list, labels: list[str],
                  out: str = "segment", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Gaps and islands: number maximal runs of equal ``labels`` per key, from 1."""
-    base = number(df, keys, order).withColumn("_one", F.lit(1))
+    base = number(df, keys, order, rows_per_block).withColumn("_one", F.lit(1))
     prior = {f"_p{i}": (-1, c) for i, c in enumerate(labels)}
     lagged = shifted(base, keys, {**prior, "_seen": (-1, "_one")}, rows_per_block)
     same = F.col("_seen").isNotNull()
     for i, c in enumerate(labels):
         same = same & F.col(c).eqNullSafe(F.col(f"_p{i}"))
     flagged = lagged.withColumn("_new", F.when(same, 0).otherwise(1)).drop("_seen", "_one", *prior)
-    return running(flagged, keys, {out: ("sum", "_new")}, rows_per_block).drop("_new", "_g")
+    return running(flagged, keys, {out: ("sum", "_new")}, rows_per_block).drop(
+        "_new", "_g", "_block")
 
 
 def global_rank(df: DataFrame, order: list[Column], value: str) -> DataFrame:

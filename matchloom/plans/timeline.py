@@ -27,7 +27,7 @@ def own_turns(actions: DataFrame, perspective, first_player,
     perspective, first_player = _as_column(perspective), _as_column(first_player)
     rows = actions.filter(F.col("active_player").isNotNull() & F.col("turn_label").isNotNull())
     lagged = shifted(
-        number(rows, ["game_id"], ["seq"]).withColumn("_one", F.lit(1)), ["game_id"],
+        number(rows, ["game_id"], ["seq"], rows_per_block).withColumn("_one", F.lit(1)), ["game_id"],
         {"_a": (-1, "active_player"), "_t": (-1, "turn_label"), "_seen": (-1, "_one")},
         rows_per_block)
     start = F.col("_seen").isNull()
@@ -57,7 +57,8 @@ def invalidate_ranges(actions: DataFrame, rows_per_block: int = ROWS_PER_BLOCK)
         "_reach", F.lit(None).cast("long"))
     line = rows.unionByName(spans, allowMissingColumns=True)
     swept = running(
-        number(line, ["game_id"], ["at", "_kind", F.coalesce("_reach", F.col("seq"))]), ["game_id"],
+        number(line, ["game_id"], ["at", "_kind", F.coalesce("_reach", F.col("seq"))],
+               rows_per_block), ["game_id"],
         {"_until": ("max", "_reach")}, rows_per_block).filter(F.col("_kind") == 1)
     undone = F.coalesce(F.col("_until") > F.col("seq"), F.lit(False))
     return swept.select(*actions.columns, undone.alias("undone"),
@@ -71,7 +72,7 @@ def followup_fill(actions: DataFrame, needs: Column, reply: Column, value: str,
     offsets = {}
     for i in range(1, ahead + 1):
         offsets |= {f"_r{i}": (i, "_reply"), f"_v{i}": (i, value), f"_s{i}": (i, "seq")}
-    out = shifted(number(marked, ["game_id"], ["seq"]), ["game_id"], offsets, rows_per_block)
+    out = shifted(number(marked, ["game_id"], ["seq"], rows_per_block), ["game_id"], offsets, rows_per_block)
     filled, source, still = F.lit(None), F.lit(None), F.lit(True)
     for i in range(1, ahead + 1):
         still = still & F.coalesce(F.col(f"_r{i}"), F.lit(False))
@@ -92,7 +93,7 @@ def log_slices(frames: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataF
     base_logs, the count before the first frame. A count that decreases gives an empty slice and a warning, and becomes the new count.
     """
     clamped = F.least("log_count", "total_logs")
-    base = number(frames.withColumn("_count", clamped), ["game_id"], ["seq"])
+    base = number(frames.withColumn("_count", clamped), ["game_id"], ["seq"], rows_per_block)
     known = running(base, ["game_id"], {"_known": ("last", "_count")}, rows_per_block)
     out = shifted(known, ["game_id"], {"_before": (-1, "_known")}, rows_per_block)
     before = F.coalesce("_before", "base_logs", F.lit(0))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from matchloom.operators.keyed import latest_per_key, merge_upsert
-from matchloom.session import path_exists
+from matchloom.session import materialize, path_exists
 
 
 def usage_stream(usage: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -37,41 +37,55 @@ def once(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int],
             .trigger(availableNow=True).start())
 
 
-class SnapshotTable:
-    """A keyed table kept as versions; a batch writes the next version next to the old one.
+class KeyedTable:
+    """A keyed table in hash buckets whose batches rewrite only the buckets they touch.
 
-    The version number is the batch number, so a batch repeated after a failure overwrites
-    its own unfinished version and never reads what it writes. Versions older than the
-    previous one can be dropped at any time.
+    Batch ``n`` writes the new content of its buckets under ``data/version=n`` and then lists
+    them under ``manifest/version=n``; the newest listed version of a bucket counts. A batch
+    repeated after a failure starts from the versions before it and overwrites its own, so
+    nothing is applied twice and nothing is read while it is written.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
+    def __init__(self, spark: SparkSession, root: str, schema: str, keys: list[str], buckets: int = 64):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.keys, self.buckets = keys, buckets
 
-    def _path(self, version: int) -> str:
-        return f"{self.root}/version={version}"
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def read(self, version: int) -> DataFrame:
-        if version < 0 or not path_exists(self.spark, f"{self._path(version)}/_SUCCESS"):
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """Rows as of the versions before ``before``, optionally of some buckets only."""
+        listed = f"{self.root}/manifest"
+        if not path_exists(self.spark, listed):
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._path(version))
+        rows = self.spark.read.schema("bucket int, version int").parquet(listed)
+        if before is not None:
+            rows = rows.filter(F.col("version") < before)
+        if only is not None:
+            rows = rows.filter(F.col("bucket").isin(only))
+        newest = rows.groupBy("bucket").agg(F.max("version").alias("v")).collect()  # one row per bucket
+        paths = [f"{self.root}/data/version={r['v']}/_bucket={r['bucket']}" for r in newest]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def latest(self) -> DataFrame:
-        version = 0
-        while path_exists(self.spark, f"{self._path(version)}/_SUCCESS"):
-            version += 1
-        return self.read(version - 1)
+    def touched(self, batch: DataFrame) -> list[int]:
+        return [r[0] for r in batch.select(self.bucket()).distinct().collect()]  # at most ``buckets``
 
-    def upsert(self, batch: DataFrame, version: int, keys: list[str], rules: dict[str, str], order) -> None:
-        merged = merge_upsert(self.read(version - 1), batch, keys, rules, order)
-        merged.write.mode("overwrite").parquet(self._path(version))
+    def upsert(self, batch: DataFrame, version: int, rules: dict[str, str], order) -> None:
+        staged = materialize(batch, "batch")
+        only = self.touched(staged)
+        merged = merge_upsert(self.read(version, only), staged, self.keys, rules, order)
+        merged.withColumn("_bucket", self.bucket()).write.mode("overwrite").partitionBy(
+            "_bucket").parquet(f"{self.root}/data/version={version}")
+        self.spark.createDataFrame([(b,) for b in only], "bucket int").coalesce(1).write.mode(
+            "overwrite").parquet(f"{self.root}/manifest/version={version}")
 
 
-def incremental_upsert(stream: DataFrame, target: SnapshotTable, checkpoint: str, keys: list[str],
+def incremental_upsert(stream: DataFrame, target: KeyedTable, checkpoint: str,
                        rules: dict[str, str], order) -> StreamingQuery:
     """Merge every micro-batch into the table; seeing a row again changes nothing."""
-    return once(stream, checkpoint,
-                lambda batch, i: target.upsert(batch, i, keys, rules, order))
+    return once(stream, checkpoint, lambda batch, i: target.upsert(batch, i, rules, order))
 
 
 def incremental_append(new: DataFrame, known: DataFrame, keys: list[str], order) -> DataFrame:
@@ -82,31 +96,34 @@ def incremental_append(new: DataFrame, known: DataFrame, keys: list[str], order)
 def incremental_elo(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Extend a rating history batch by batch.
 
-    Batches carry inputs in sequence order. The state of a batch is the last rating of each
-    player in the previous version. An input at or before the stored last sequence means
+    Batches carry inputs in sequence order. A batch starts from the last rating of its players
+    in the versions before it. An input at or before the stored last sequence means
     history changed: the batch fails and a full rebuild is due.
     """
     from matchloom.plans.elo import HISTORY_SCHEMA, elo_history
-    state = SnapshotTable(spark, f"{root}/state", "player_id long, rating double, sequence long")
+    state = KeyedTable(spark, f"{root}/state", "player_id long, rating double, sequence long", ["player_id"])
+    progress = f"{root}/progress"
 
     def step(batch: DataFrame, number: int) -> None:
-        before = state.read(number - 1)
-        rows = batch.sparkSession.read.schema(batch.schema)
-        staged = f"{root}/batch={number}"
-        batch.write.mode("overwrite").parquet(staged)
-        batch = rows.parquet(staged)
-        last = before.agg(F.max("sequence")).first()[0]
-        first = batch.agg(F.min("sequence")).first()[0]
-        if last is not None and first is not None and first <= last:
-            raise ValueError("late match: rebuild the run")
-        history = elo_history(batch, initial=before.select("player_id", "rating"))
+        inputs = materialize(batch, "elo-batch")
+        span = inputs.agg(F.min("sequence").alias("lo"), F.max("sequence").alias("hi")).first()
+        if span["lo"] is None:
+            return
+        if path_exists(spark, progress):
+            past = spark.read.schema("hi long, version int").parquet(progress).filter(
+                F.col("version") < number).agg(F.max("hi")).first()[0]
+            if past is not None and span["lo"] <= past:
+                raise ValueError("late match: rebuild the run")
+        players = inputs.select(F.explode(F.array("player1_id", "player2_id")).alias("player_id"))
+        known = state.read(number, state.touched(players)).select("player_id", "rating")
+        history = elo_history(inputs, initial=known)
         history.write.mode("overwrite").parquet(f"{root}/history/batch={number}")
-        done = batch.sparkSession.read.schema(HISTORY_SCHEMA).parquet(f"{root}/history/batch={number}")
+        done = spark.read.schema(HISTORY_SCHEMA).parquet(f"{root}/history/batch={number}")
         newest = done.groupBy("player_id").agg(
-            F.max_by("rating_after", "sequence").alias("_r"), F.max("sequence").alias("_s"))
-        before.join(newest, "player_id", "full_outer").select(
-            "player_id", F.coalesce("_r", "rating").alias("rating"),
-            F.coalesce("_s", "sequence").alias("sequence")
-        ).write.mode("overwrite").parquet(f"{root}/state/version={number}")
+            F.max_by("rating_after", "sequence").alias("rating"), F.max("sequence").alias("sequence"))
+        state.upsert(newest, number, {"rating": "overwrite", "sequence": "overwrite"},
+                     [F.col("sequence").desc()])
+        spark.createDataFrame([(span["hi"],)], "hi long").coalesce(1).write.mode("overwrite").parquet(
+            f"{progress}/version={number}")
 
     return once(stream, checkpoint, step)

@@ -34,7 +34,7 @@ def test_assign_sequence_is_the_total_order(spark):
 @pytest.mark.parametrize("block", [4, 7, 1000])
 def test_running_and_shifted_across_blocks(spark, block):
     rows, df = log(spark)
-    base = number(df, ["game"], ["seq"])
+    base = number(df, ["game"], ["seq"], block)
     got = running(shifted(base, ["game"], {"p": (-1, "seq"), "n2": (2, "seq")}, block), ["game"],
                   {"total": ("sum", "v"), "high": ("max", "v"), "last": ("last", "v")}, block)
     seen = {(x.game, x.seq): x for x in got.collect()}
@@ -68,6 +68,14 @@ def test_top_per_key_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text[first:], "the map side must drop rows below the exchange"
 
 
+def test_chained_block_operators_shuffle_once(spark):
+    _, df = log(spark)
+    base = number(df, ["game"], ["seq"])
+    text = plan(running(shifted(base, ["game"], {"p": (-1, "seq")}), ["game"], {"t": ("sum", "v")}))
+    main = text[:text.index("BroadcastExchange")] if "BroadcastExchange" in text else text
+    assert main.count("Exchange hashpartitioning(_block") == 1
+
+
 def test_components(spark):
     edges = [(1, 1, 2), (1, 2, 3), (1, 5, 6), (2, 1, 9), (2, 3, 4)] + [(3, i, i + 1) for i in range(40)]
     df = spark.createDataFrame(edges, "epoch long, a long, b long")

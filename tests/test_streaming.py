@@ -17,17 +17,20 @@ def test_upsert_is_idempotent_and_keeps_the_first_sighting(spark, tmp_path):
     batches = [[(1, 1, 5, 5, "a")], [(1, 1, 9, 9, "b"), (2, 1, 9, 9, "c")], [(1, 1, 9, 9, "b")]]
     for rows in batches:
         spark.createDataFrame(rows, SIGHT).coalesce(1).write.mode("append").parquet(str(feed))
-    target = s.SnapshotTable(spark, str(tmp_path / "t"), SIGHT)
+    target = s.KeyedTable(spark, str(tmp_path / "t"), SIGHT, ["account", "game"], 8)
     rules = {"first_seen": "keep_first", "last_seen": "overwrite", "result": "overwrite"}
     run = lambda: s.incremental_upsert(stream(spark, feed, SIGHT), target, str(tmp_path / "cp"),
-                                       ["account", "game"], rules, [F.col("last_seen").desc()]).awaitTermination()
+                                       rules, [F.col("last_seen").desc()]).awaitTermination()
     run()
     want = [(1, 1, 5, 9, "b"), (2, 1, 9, 9, "c")]
-    assert sorted(map(tuple, target.latest().collect())) == want
+    assert sorted(map(tuple, target.read().collect())) == want
     run()  # nothing new
-    assert sorted(map(tuple, target.latest().collect())) == want
-    target.upsert(spark.createDataFrame(batches[1], SIGHT), 1, ["account", "game"], rules, [F.col("last_seen").desc()])
-    assert sorted(map(tuple, target.read(1).collect())) == want  # a repeated batch gives the same version
+    assert sorted(map(tuple, target.read().collect())) == want
+    target.upsert(spark.createDataFrame(batches[1], SIGHT), 1, rules, [F.col("last_seen").desc()])
+    assert sorted(map(tuple, target.read().collect())) == want  # a repeated batch gives the same version
+    assert sorted(map(tuple, target.read(before=1).collect())) == [(1, 1, 5, 5, "a")]
+    written = [p.name for p in (tmp_path / "t" / "data" / "version=2").iterdir() if p.is_dir()]
+    assert len(written) == 1  # the last batch held one key and rewrote one bucket
 
 
 def test_late_match_stops_the_stream(spark, tmp_path):
