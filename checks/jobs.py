@@ -292,17 +292,23 @@ def normalize_catalog(spark, sf):
         "card_type", F.array_join("errors", ",").alias("errors"))
 
 
-@query("flatten_teams", """select c_custkey, 'nation_' || c_nationkey as slug, c_name as display_name, case when c_custkey % 17 = 0 then -1 else c_custkey end as player_id, case when c_custkey % 2 = 0 then 'captain' else 'member' end as role, case when c_custkey % 17 = 0 then 'player_id' end as error from customer""")
+@query("flatten_teams", """select c_custkey, i::int as pos, 'nation_' || c_nationkey as slug, case when i = 0 then c_name when i = 1 then 'second' end as display_name, case when i < 2 and c_custkey % 17 = 0 then -1 when i = 1 and c_custkey % 3 = 0 then c_custkey else c_custkey + i end as player_id,
+ case when i = 0 and c_custkey % 2 = 0 then 'captain' else 'member' end as role, case when i < 2 and c_custkey % 17 = 0 then 'player_id' when i = 2 then 'display_name' when i = 1 and c_custkey % 3 = 0 then 'duplicate_id' end as error from customer, range(3) r(i) where c_custkey > 0""")
 def flatten_teams(spark, sf):
     c = F.col("c_custkey")
-    member = F.struct(F.concat(F.lit(" "), "c_name").alias("display_name"),
-                      F.when(c % 17 == 0, -1).otherwise(c).alias("player_id"),
-                      F.when(c % 2 == 0, "captain").alias("role"))
+    bad = lambda value: F.when(c % 17 == 0, -1).otherwise(value)
+    member = lambda name, value, role: F.struct(
+        name.alias("preferred_display_name"), value.alias("provider_id"), role.alias("role"))
+    none = F.lit(None).cast("string")
     body = F.to_json(F.struct(
-        F.concat(F.lit(" NATION_"), F.col("c_nationkey").cast("string")).alias("slug"),
-        F.array(member).alias("members")))
-    return cat.flatten_teams(table(spark, sf, "customer").select(c, body.alias("body"))).select(
-        "c_custkey", "slug", "display_name", "player_id", "role", "error")
+        F.struct(F.concat(F.lit(" NATION_"), F.col("c_nationkey").cast("string")).alias("slug"),
+                 F.lit("N").alias("name")).alias("team"),
+        F.array(member(F.concat(F.lit(" "), "c_name"), bad(c), F.when(c % 2 == 0, "captain")),
+                member(F.lit("second"), bad(F.when(c % 3 == 0, c).otherwise(c + 1)), none),
+                member(F.lit(" "), c + 2, none)).alias("members")))
+    docs = table(spark, sf, "customer").filter(c > 0).select(c, body.alias("body"))
+    return cat.flatten_teams(docs, "provider_id").select(
+        "c_custkey", "pos", "slug", "display_name", "player_id", "role", "error")
 
 
 @query("apply_roster", """select d.c_nationkey::bigint as team_id, d.c_custkey as member_id, d.c_custkey + d.c_custkey % 2 as player_id, case when l.member_id is not null and l.member_id <> d.c_custkey then 'link_conflict' when l.member_id is not null then 'linked'

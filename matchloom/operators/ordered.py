@@ -151,10 +151,10 @@ def global_rank(df: DataFrame, order: list[Column], value: str) -> DataFrame:
     ``order`` must start with ``value`` descending. Ranks come from the row numbers of each
     distinct value, so equal values share one rank without a single-task window.
     """
-    numbered = materialize(assign_sequence(df, order, "row_rank"), "ranked")
+    numbered = assign_sequence(df, order, "row_rank")
     span = numbered.groupBy(value).agg(
         (F.min("row_rank") - 1).alias("above"), F.max("row_rank").alias("_last"))
-    total = numbered.count()  # read from the file footers
+    total = numbered.count()
     return (
         numbered.join(span, value)
         .withColumn("total", F.lit(total).cast("long"))

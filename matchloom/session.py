@@ -79,3 +79,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application wrote with ``materialize``; results read from it end too."""
+    remove_path(spark, f"{shared_dir(spark)}/matchloom/{spark.sparkContext.applicationId}")

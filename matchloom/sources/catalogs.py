@@ -12,8 +12,8 @@ from matchloom.session import path_exists
 PROVIDER_CARD = """id string, name string, version string, lang string, collector_number string,
  set struct<code:string,name:string>, inks array<string>, ink string, cost int, inkwell boolean,
  classifications array<string>, type array<string>, text string"""
-TEAM = """slug string, name string, members array<struct<display_name:string,player_id:long,
- discord_user_id:long,role:string>>"""
+TEAM = """team struct<slug:string,name:string>,
+ members array<struct<preferred_display_name:string,{id_field}:string,role:string>>"""
 
 
 def _text(c):
@@ -84,16 +84,28 @@ def snapshot_problems(cards: DataFrame) -> DataFrame:
     return duplicates(cards.filter(F.col("card_id").isNotNull()), ["card_id"])
 
 
-def flatten_teams(docs: DataFrame) -> DataFrame:
-    """Team definition documents to member rows with validation errors."""
-    t = docs.select(*docs.columns, F.from_json("body", TEAM).alias("t"))
-    rows = t.select(*docs.columns, F.lower(F.trim("t.slug")).alias("slug"),
-                    F.col("t.name").alias("team_name"), F.posexplode("t.members").alias("pos", "m"))
+def flatten_teams(docs: DataFrame, id_field: str = "player_id") -> DataFrame:
+    """Team definition documents to member rows; ``error`` names the first broken field.
+
+    ``id_field`` is the provider's member id. Slugs are trimmed and lower-cased, roles default
+    to member, ids are positive whole numbers and occur once per document.
+    """
+    t = docs.select(*docs.columns, F.from_json("body", TEAM.format(id_field=id_field)).alias("t"))
+    slug, name = _text(F.lower("t.team.slug")), _text("t.team.name")
+    rows = t.select(*docs.columns, slug.alias("slug"), name.alias("team_name"),
+                    F.col(f"t.members.{id_field}").alias("_ids"),
+                    F.posexplode("t.members").alias("pos", "m"))
+    number = F.expr(f"try_cast(m.{id_field} as bigint)")
+    role = F.trim(F.coalesce(F.when(F.col("m.role") != "", F.col("m.role")), F.lit("member")))
+    shown = _text("m.preferred_display_name")
     return rows.select(
-        *docs.columns, "slug", "team_name", "pos", F.trim("m.display_name").alias("display_name"),
-        F.col("m.player_id").alias("player_id"), F.col("m.discord_user_id").alias("user_id"),
-        F.coalesce("m.role", F.lit("member")).alias("role"),
-        F.when(F.coalesce(F.col("m.player_id") <= 0, F.lit(True)), "player_id").alias("error"))
+        *docs.columns, "slug", "team_name", "pos", shown.alias("display_name"),
+        number.alias("player_id"), role.alias("role"),
+        F.when(F.col("slug").isNull() | F.col("team_name").isNull(), "team")
+        .when(F.coalesce(number <= 0, F.lit(True)), "player_id").when(shown.isNull(), "display_name")
+        .when(role == "", "role")
+        .when(F.array_position("_ids", F.col(f"m.{id_field}")) <= F.col("pos"), "duplicate_id")
+        .alias("error"))
 
 
 def apply_roster(definition: DataFrame, links: DataFrame, memberships: DataFrame) -> DataFrame:

@@ -219,3 +219,49 @@ def test_select_turns(spark):
     assert t.select_turns(df, 1, [4, 9]).count() == 0
     with pytest.raises(ValueError):
         t.select_turns(df, 1, [1, 4, 5])
+
+
+def test_snapshot_store(spark, tmp_path):
+    from matchloom.sources.catalogs import SnapshotStore
+    store = SnapshotStore(spark, str(tmp_path / "cards"))
+    one = spark.createDataFrame([card("1-1", "A"), card("1-2", "B")], CAT)
+    two = spark.createDataFrame([card("1-1", "A"), card("1-2", "C")], CAT)
+    assert store.latest() is None
+    first, created = store.write(one, "x")
+    assert created and store.write(one.repartition(2), "x") == (first, False)
+    second, _ = store.write(two, "x")
+    assert second != first and {r.name for r in store.latest().collect()} == {"A", "C"}
+    assert {r.name for r in store.read(first).collect()} == {"A", "B"}
+    with pytest.raises(ValueError):
+        store.write(one.unionByName(two), "x")
+
+
+def test_archive_files(spark, tmp_path):
+    (tmp_path / "12.json.gz").write_bytes(gzip.compress(b'{"gameId":12}'))
+    (tmp_path / "13.json").write_bytes(b'{"gameId":99}')
+    out = {x.game_id: (x.encoding, x.status) for x in a.decode_archives(a.read_archives(spark, str(tmp_path))).collect()}
+    assert out == {12: ("gzip", "valid"), 13: ("identity", "invalid")}
+
+
+def test_text_chunks(spark):
+    text = "a" * 30 + "\n\n" + "b" * 30 + "\n" + "c" * 50 + " " + "d" * 10
+    df = spark.createDataFrame([(text,), ("short",), ("  ",), (None,)], "t string")
+    got = [x[0] for x in df.select(tx.text_chunks(F.col("t"), 50)).collect()]
+    assert got == [["a" * 30, "b" * 30, "c" * 50, "d" * 10], ["short"], [], None]
+
+
+def test_card_ids(spark):
+    df = spark.createDataFrame([('{"id":"1-2","x":[{"card_id" : "3-4"},{"target_card_id":"1-2"},{"id":"x"},{"name":"5-6"}]}',)], "b string")
+    assert df.select(tx.card_ids(F.col("b"))).first()[0] == ["1-2", "3-4"]
+
+
+def test_scratch_can_be_dropped(spark):
+    import os
+
+    from matchloom import session as ss
+    path = ss.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    parent = os.path.dirname(path)
+    assert ss.path_exists(spark, path) and parent.endswith(spark.sparkContext.applicationId)
+    ss.remove_path(spark, path)
+    assert not ss.path_exists(spark, path)
