@@ -45,9 +45,9 @@ def _norm(v):
     return str(v)
 
 
-def compare(spark, sf: str, name: str) -> str | None:
+def compare(spark, sf: str, name: str, df: DataFrame | None = None) -> str | None:
     """None when the Spark result equals the DuckDB result, else a short reason."""
-    df = QUERIES[name](spark, sf)
+    df = QUERIES[name](spark, sf) if df is None else df
     cols = sorted(df.columns)
     got = [[_norm(v) for v in r] for r in df.select(*[f"`{c}`" for c in cols]).collect()]
     if name not in ORACLE:

@@ -209,7 +209,7 @@ def replay_opening_hands(spark, sf):
  select o as game_id, own::bigint as own_turn, bool_or(kk = 4) is true as complete, max(case when kk = 4 then i end) as end_seq, arg_max(inks, i) filter (kk = 4)::int as ink, arg_max(ready, i) filter (kk = 4)::int as ready_ink,
   case when bool_or(kk = 0 and o % 2 = 0) then true when bool_or(kk = 4) then false end as target_played from g where o % 2 = 0 and cur = 1 and own <= 3 and not (i > 1 and i % 3 = 0) and kk is distinct from 5 group by 1, 2""")
 def replay_openings(spark, sf):
-    rows = t.replay_own_turns(actions(spark, sf), 4096).withColumn("ink", F.col("ink_count"))
+    rows = t.replay_own_turns(actions(spark, sf), 4096)
     return t.opening_metrics(rows, TARGETS).select(
         "game_id", "own_turn", "complete", "end_seq", "ink", "ready_ink", "target_played")
 

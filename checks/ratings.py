@@ -98,7 +98,7 @@ def elo_running_peak(spark, sf):
 @query("run_digest", """with recursive lines as (select sequence - 1 as i, sha256(sequence || '|' || match_id || '|' || event_id || '|' || player1_id || '|' || player2_id || '|' || coalesce(winner_id::varchar, '-') || '|' || case when is_draw then '1' else '0' end) as h from v_inputs),
  one as (select i // 4096 as i, sha256(string_agg(h, chr(10) order by i)) as h from (select i, h from lines) group by 1),
  two as (select i // 4096 as i, sha256(string_agg(h, chr(10) order by i)) as h from (select i, h from one) group by 1)
- select (select count(*) from lines) as row_count, case when (select count(*) from lines) <= 4096 then (select h from one) else (select h from two) end as digest""")
+ select (select count(*) from lines) as row_count, case when (select count(*) from lines) <= 4096 then (select max(h) from one) else (select max(h) from two) end as digest""")
 def run_digest(spark, sf):
     return ordered_digest(published(spark, sf).inputs, "sequence", r.input_line())
 

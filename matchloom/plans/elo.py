@@ -115,14 +115,21 @@ def elo_history(inputs: DataFrame, start_rating: float = START_RATING,
         F.col("winner_id") == F.col("player1_id"), 1.0).otherwise(0.0)
     matches = playable(inputs).select(
         "sequence", "match_id", "event_id", "player1_id", "player2_id", score.alias("score"))
-    matches = materialize(matches, "elo-input")
     total = matches.count()
+    if total > group_rows:
+        matches = materialize(matches, "elo-input")
     planned = _plan_rounds(matches, total, group_rows, per_player)
-    rounds = [tuple(r) for r in planned.groupBy("epoch", "chunk").count()
-              .orderBy("epoch", "chunk").collect()]  # one small row per round
+    if total <= group_rows:
+        rounds = [(0, 0, total)] if total else []
+    else:
+        rounds = [tuple(r) for r in planned.groupBy("epoch", "chunk").count()
+                  .orderBy("epoch", "chunk").collect()]  # one small row per round
     if len(rounds) > 1:
+        # One folder per round, a few files each: rows are brought together before writing.
+        files = max(size for *_, size in rounds) // group_rows + 1
         planned = materialize(
-            planned.withColumn("_part", F.concat_ws("-", "epoch", "chunk")), "rounds", "_part")
+            planned.withColumn("_part", F.concat_ws("-", "epoch", "chunk")).repartition(
+                F.col("_part"), F.pmod(F.xxhash64("component"), F.lit(files))), "rounds", "_part")
     path = scratch_path(spark, "elo-history")
     state = initial if initial is not None else spark.createDataFrame(
         [], "player_id long, rating double")

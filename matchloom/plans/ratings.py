@@ -13,7 +13,7 @@ from matchloom.operators.keyed import classify, one_row, top_per_key
 from matchloom.operators.ordered import assign_sequence, global_rank
 from matchloom.plans.elo import K_FACTOR, START_RATING, check_parameters, elo_current, elo_history
 from matchloom.plans.policies import INCLUDED, policy_name, with_reason
-from matchloom.session import materialize, path_exists, remove_path
+from matchloom.session import path_exists, remove_path
 
 ALGORITHM = "elo_v1"
 INPUT_ORDER = ["event_start_datetime", "event_id", "phase_order", "round_number", "match_id"]
@@ -119,7 +119,7 @@ class RunStore:
         """Build a validated run; (run id, False) when an equal run already exists."""
         policy = policy_name(policy)
         params = check_parameters(start_rating, k_factor)
-        inputs = materialize(rating_inputs(candidates, policy), "run-inputs")
+        inputs = rating_inputs(candidates, policy)  # backed by the written, numbered table
         mark = ordered_digest(inputs, "sequence", input_line()).first()
         count, digest = mark["row_count"], mark["digest"]
         same = self.find(policy, params, count, digest)
@@ -132,9 +132,10 @@ class RunStore:
         self._append("runs", self.RUNS, (*meta, "building", None))
         try:
             inputs.write.parquet(f"{base}/inputs")
-            elo_history(inputs, start_rating, k_factor).write.parquet(f"{base}/history")
-            run = Run(run_id, inputs, self.spark.read.parquet(f"{base}/history"), None)
-            elo_current(run.history, start_rating).write.parquet(f"{base}/current")
+            stored = self.spark.read.schema(inputs.schema).parquet(f"{base}/inputs")
+            history = elo_history(stored, start_rating, k_factor)
+            history.write.parquet(f"{base}/history")
+            elo_current(history, start_rating).write.parquet(f"{base}/current")
             checks = run_invariants(self.open(run_id)).first().asDict()
             broken = sorted(k for k, ok in checks.items() if ok is False)
             if broken:

@@ -180,8 +180,10 @@ def replay_own_turns(actions: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -
 
     Undone actions are left out. Only the player's own actions count as decisions.
     """
-    rows = actions.filter(F.col("opening_eligible") & ~F.col("undone")).withColumn(
-        "active_player", F.col("segment_player")).withColumn("turn_label", F.col("gameplay_turn"))
+    rows = actions.filter(F.col("opening_eligible") & ~F.col("undone")).select(
+        "game_id", "seq", "type", "actor_is_perspective", "perspective", "game_first_player",
+        F.col("segment_player").alias("active_player"), F.col("gameplay_turn").alias("turn_label"),
+        "card_id", "card_name", "hand", F.col("ink_count").alias("ink"), "ready_ink")
     turns = own_turns(rows, F.col("perspective"), F.col("game_first_player"), rows_per_block)
     return turns.withColumn("counts", F.col("counts") & F.col("actor_is_perspective"))
 

