@@ -28,4 +28,5 @@ def main() -> None:
     print("failures:", bad)
 
 
-main()
+if __name__ == "__main__":
+    main()
