@@ -1,7 +1,7 @@
 """Language ID by nearest centroid (operator 9).
 
-A text becomes a TF-IDF vector of its byte n-grams, hashed to a fixed number of dimensions and
-normalised. Each language is described by several centroids, found by spherical k-means on a
+A text becomes a TF-IDF vector of its byte n-grams (letters only), hashed to a fixed number of dimensions
+and normalised. Each language is described by several centroids, found by spherical k-means on a
 bounded sample of its training documents, and a text gets the language of the centroid with the largest
 cosine. A text whose best cosine lies below what nearly all training documents of that language
 reach is marked as rejected.
@@ -18,6 +18,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,12 +36,16 @@ DIMENSIONS = 256 + (1 << BITS)
 TEMPERATURE = 0.05
 REJECTED_SHARE = 0.002
 UNKNOWN = "und"
+NO_LETTER = re.compile(r"[\W\d_]+")
 CHUNK = 1 << 20
 
 
 def term_counts(text: str) -> np.ndarray:
-    """Counts of the bytes and of the hashed byte trigrams of the lower-cased text."""
-    data = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "replace"), np.uint8)
+    """Counts of the bytes and of the hashed byte trigrams of the lower-cased words.
+
+    What is no letter counts as a space, so that marks and layout, which no language owns, have no part.
+    """
+    data = np.frombuffer((" " + NO_LETTER.sub(" ", text.lower()) + " ").encode("utf-8", "replace"), np.uint8)
     out = np.zeros(DIMENSIONS, np.float32)
     for at in range(0, len(data), CHUNK):
         part = data[at:at + CHUNK + 2]

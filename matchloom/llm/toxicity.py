@@ -136,7 +136,10 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
                 seen.update(stems)
                 if label:
                     toxic.update(stems)
-        yield pd.DataFrame({"stem": list(seen), "n": list(seen.values()), "t": [toxic[s] for s in seen]})
+        stems = list(seen)
+        for at in range(0, len(stems), 50_000):
+            some = stems[at:at + 50_000]
+            yield pd.DataFrame({"stem": some, "n": [seen[s] for s in some], "t": [toxic[s] for s in some]})
 
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("t")).first()
     if not totals["n"]:
