@@ -29,15 +29,41 @@ from matchloom.llm.common import row_keys, text_of
 
 LENGTH = 4096
 END = 2
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20
 SEED = 10
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long")
 
 
+class Ragged:
+    """Growing rows of numbers of unequal length in two flat arrays."""
+
+    def __init__(self, kind):
+        self.flat, self.starts, self.sizes = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
+
+    def join(self, rows: np.ndarray) -> np.ndarray:
+        """The numbers of the given rows, one after the other."""
+        sizes = self.sizes[rows]
+        shift = self.starts[rows] - (np.cumsum(sizes) - sizes)
+        return self.flat[np.repeat(shift, sizes) + np.arange(sizes.sum())]
+
+
 class WordIds:
-    """Token ids of words between ASCII white space, remembered up to ``MOST_WORDS`` words."""
+    """Token ids of words between ASCII white space, remembered up to ``MOST_WORDS`` words.
+
+    A word is a list of parts, cut as the tokenizer's own pattern cuts them; parts are tokenized once and
+    many in one call, told apart by the token that ends each. Words with characters
+    beyond U+017F, or that might hold a special token, are one part and tokenized each on its own.
+    """
 
     def __init__(self, path: str):
         import regex
@@ -45,68 +71,86 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # the plain words: letters up to U+017F, cut as the tokenizer's own pattern cuts them
+        self.model = self.tokenizer.model
         self.plain = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-įĲ-ſ]+")
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.ids, self.lengths = [], []
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _encode_plain(self, words: list[str]) -> list[np.ndarray]:
-        """Many words in one call, told apart by the tokens that end a part of a word."""
-        out = []
-        for at in range(0, len(words), 1000):
-            some = words[at:at + 1000]
-            counts = np.array([len(self.parts.findall(w.lower())) for w in some])
-            ids = np.array(self.tokenizer.encode_batch_fast(
-                [" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != counts.sum() or not counts.all():
-                out += self._encode(some)
-            else:
-                out += np.split(ids, ends[np.cumsum(counts)[:-1] - 1])
-        return out
+        self.at: dict[bytes, int] = {}  # word -> row of words
+        self.part_at: dict[str, int] = {}  # part, or a blank and a word that is its own part -> row of parts
+        self.words, self.parts = Ragged(np.int64), Ragged(np.uint32)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return (np.array([i for ids in coded for i in ids], np.uint32),
+                np.array([len(ids) for ids in coded], np.int64))
+
+    def _encode_letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of a-z alone, which normalising and byte mapping leave as they are."""
+        coded = [[token.id for token in self.model.tokenize(text)] for text in texts]
+        return (np.array([i for ids in coded for i in ids], np.uint32),
+                np.array([len(ids) for ids in coded], np.int64))
+
+    def _encode_parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, _ = self._encode([" ".join(texts)])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(texts):
+            return self._encode(texts)
+        return ids, np.diff(ends, prepend=0)
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.at) + len(words) > MOST_WORDS:
             self.clear()
-        new = [w for w in words if w not in self.at]
-        if not new:
-            return
-        texts = [w.decode() for w in new]
-        plain = [self.plain.fullmatch(t) is not None and "<|" not in t for t in texts]
-        for chosen, encode in ((True, self._encode_plain), (False, self._encode)):
-            some = [i for i, p in enumerate(plain) if p is chosen]
-            coded = encode([texts[i] for i in some]) if some else []
-            for i, ids in zip(some, coded):
-                self.at[new[i]] = len(self.ids)
-                self.ids.append(ids)
-        fresh = self.ids[len(self.sizes):]
-        sizes = np.array([len(x) for x in fresh], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *fresh])
-        for i in range(len(self.ids) - len(fresh), len(self.ids)):
-            self.ids[i] = None  # now in flat
+        rows, sizes, letters, plain, odd = [], [], [], [], []
+        for word in words.difference(self.at):
+            self.at[word] = len(self.at)
+            text = word.decode()
+            if b"<|" not in word and (word.isascii() or self.plain.fullmatch(text)):
+                text, new = text.lower(), plain
+                if text.isalpha():
+                    parts = [text]
+                elif text[:-1].isalpha() and not text[-1].isalnum() and text[-1] < "\x80":
+                    parts = [text[:-1], text[-1]]
+                else:
+                    parts = self.cut.findall(text)
+            else:
+                parts, new = [" " + text], odd
+            for part in parts:
+                row = self.part_at.get(part)
+                if row is None:
+                    kind = letters if new is plain and part.isascii() and part.isalpha() else new
+                    row = self.part_at[part] = -(len(kind) * 3 + (0 if kind is letters else 1 if kind is plain else 2)) - 1
+                    kind.append(part)
+                rows.append(row)
+            sizes.append(len(parts))
+        # new parts were numbered below zero, by kind and place; now each kind's first row is known
+        first = len(self.parts) + np.cumsum([0, len(letters), len(plain)])
+        rows = np.array(rows, np.int64)
+        place, kind = np.divmod(-rows - 1, 3)
+        rows = np.where(rows < 0, first[kind] + place, rows)
+        for some, start in zip((letters, plain, odd), first.tolist()):
+            self.part_at.update(zip(some, range(start, start + len(some))))
+        coded = [encode([p.strip(" ") for p in some[at:at + 1000]])
+                 for some, encode in ((letters, self._encode_letters), (plain, self._encode_parts), (odd, self._encode))
+                 for at in range(0, len(some), 1000)]
+        if coded:
+            self.parts.extend(np.concatenate([c[0] for c in coded]), np.concatenate([c[1] for c in coded]))
+        self.words.extend(rows, np.array(sizes, np.int64))
 
     def document(self, words: list[bytes]) -> np.ndarray:
         """Ids of a document with its end; the words must have been learned."""
-        if not words:
-            return np.array([END], np.uint32)
         at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[at]
-        shift = self.starts[at] - (np.cumsum(sizes) - sizes)
-        places = np.repeat(shift, sizes) + np.arange(sizes.sum())
-        return np.append(self.flat[places], np.uint32(END))
+        return np.append(self.parts.join(self.words.join(at)), np.uint32(END))
+
+
+def words_of(text: str) -> list[bytes]:
+    """Words between ASCII white space; the tokenizer ignores case but in special tokens."""
+    data = text.encode()
+    return (data if b"<|" in data else data.lower()).split()
 
 
 @lru_cache(maxsize=1)
@@ -175,7 +219,7 @@ def pack_group(docs: pd.DataFrame, path: str) -> pd.DataFrame:
     """Pieces of one group's documents (columns doc_id, text, group), in a fixed order."""
     coder = word_ids(path)
     docs = docs.sort_values(["_rid", "_rhash"], kind="stable")
-    split = [t.encode().split() for t in docs["text"]]
+    split = [words_of(t) for t in docs["text"]]
     coder.learn({w for s in split for w in s})
     coded = [coder.document(s) for s in split]
     pieces = pack_lengths([len(c) for c in coded])
