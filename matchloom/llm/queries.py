@@ -92,9 +92,9 @@ ORACLE = {"op1_exact_dedup": r"""
                sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256
         from documents
     ), r as (
-        select *, row_number() over (partition by text_sha256 order by n desc, doc_id nulls last) as at,
+        select *, row_number() over (partition by text_sha256 order by n desc, doc_id nulls last) as nth,
                count(*) over (partition by text_sha256) as group_size,
                first_value(doc_id) over (partition by text_sha256 order by n desc, doc_id nulls last) as keep_id
         from d
     )
-    select doc_id, keep_id, group_size, at = 1 as kept, text_sha256 from r"""}
+    select doc_id, keep_id, group_size, (nth = 1) as kept, text_sha256 from r"""}

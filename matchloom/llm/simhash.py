@@ -56,10 +56,12 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf("long")
-def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([fingerprint(t) for t in batch], dtype="int64")
+def fingerprints(text: Column) -> Column:
+    def compute(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([fingerprint(t) for t in batch], dtype="int64")
+
+    return F.pandas_udf(compute, "long")(text)
 
 
 def fingerprint_hex(value: Column) -> Column:
