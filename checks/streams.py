@@ -52,10 +52,8 @@ def alert_once(spark, sf):
     raw = source(spark, sf, "events").select(
         F.expr("event_id div 50").alias("event_id"), (F.col("user_id") % 5).alias("channel_id"),
         F.col("ts").alias("seen_at"))
-    q = s.once(s.alert_once(raw, fresh="60 days"), scratch_path(spark, "cp"),
-               lambda df, i: df.select("event_id", "channel_id").write.mode("append").parquet(out))
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    s.once(raw, scratch_path(spark, "cp"), s.alert_once(out)).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "channel_id")
 
 
 @query("incremental_upsert", "select account_id, game_id, min(ts) as first_seen, max(ts) as last_seen, arg_max(event_type, (ts, event_id)) as result from (select user_id as account_id, event_id // 40 as game_id, * from events) group by 1, 2")

@@ -27,7 +27,12 @@ def normalize_outcome(result) -> Column:
 
 
 def _titles(colours: Column) -> Column:
-    return F.transform(colours, lambda c: F.initcap(F.trim(c.cast("string"))))
+    """Each name in title case: a letter is upper case after anything that is no letter."""
+    def title(c):
+        apart = F.regexp_replace(F.trim(c.cast("string")), r"([^\p{L}])", "$1\u0001 ")
+        return F.replace(F.initcap(apart), F.lit("\u0001 "), F.lit(""))
+
+    return F.transform(colours, title)
 
 
 def color_pair(colours) -> Column:

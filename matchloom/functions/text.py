@@ -20,7 +20,9 @@ def _squeeze(c: Column) -> Column:
 
 def card_key(c: Column) -> Column:
     """Dash-folded, case-folded, whitespace-squeezed key of an id or a name."""
-    return _squeeze(F.lower(F.translate(c, CARD_KEY_DASHES, "---")))
+    # lower case is case folding but for these letters; the key is used inside lambdas, so no UDF
+    folded = F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+    return _squeeze(F.translate(folded, CARD_KEY_DASHES, "---"))
 
 
 @F.pandas_udf(StringType())

@@ -11,9 +11,14 @@ LANES = 2
 
 
 def row_digest(columns: list[str]) -> Column:
-    """sha256 of the columns in name order; NULL and empty text differ."""
+    """sha256 of the columns in name order; NULL and empty text differ.
+
+    A separator inside a value is doubled, so that values cannot run into each other.
+    """
+    sep = F.lit("\u001f")
     parts = [
-        F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~"))
+        F.coalesce(F.concat(F.lit("="), F.replace(F.col(c).cast("string"), sep, F.concat(sep, sep))),
+                   F.lit("~"))
         for c in sorted(columns)
     ]
     return F.sha2(F.concat_ws("\u001f", *parts), 256)

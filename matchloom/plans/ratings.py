@@ -168,10 +168,13 @@ class RunStore:
 
     def prune(self) -> list[str]:
         """Drop every finished run that no publication points to."""
-        doomed = [r["run_id"] for r in plan_prune(self.runs(), self.publications()).collect()]
-        for run_id in doomed:
-            remove_path(self.spark, f"{self.root}/run_id={run_id}")
-        return doomed
+        runs = self.runs()
+        doomed = runs.join(plan_prune(runs, self.publications()), "run_id", "left_semi").collect()
+        for r in doomed:  # logged first: a run that is half removed is never found again
+            meta = [r[c.split()[0]] for c in self.RUNS.split(", ")[:7]]
+            self._append("runs", self.RUNS, (*meta, "pruned", None))
+            remove_path(self.spark, f"{self.root}/run_id={r['run_id']}")
+        return [r["run_id"] for r in doomed]
 
 
 def plan_prune(runs: DataFrame, publications: DataFrame) -> DataFrame:

@@ -106,6 +106,8 @@ def set_path(state, op: str, path: str, value):
         raise ValueError(f"unsupported operation {op!r}")
     if path == "":
         return None if op == "remove" else value
+    if not path.startswith("/"):
+        raise ValueError(f"patch path without a leading slash: {path!r}")
     *parents, last = [p.replace("~1", "/").replace("~0", "~") for p in path[1:].split("/")]
     node = state
     for name in parents:

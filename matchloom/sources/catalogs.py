@@ -152,10 +152,12 @@ class SnapshotStore:
 
     def write(self, cards: DataFrame, source: str) -> tuple[str, bool]:
         """Store a snapshot; equal content returns the stored one. Repeated ids reject it."""
-        columns = [c for c, t in cards.dtypes if not t.startswith("array")]
+        nested = ("array", "map", "struct")
+        flat = cards.select(*[F.to_json(c).alias(c) if t.startswith(nested) else F.col(c)
+                              for c, t in cards.dtypes])
         if not snapshot_problems(cards).isEmpty():
             raise ValueError("card ids repeat in the snapshot")
-        mark = table_digest(cards, columns).first()
+        mark = table_digest(flat, flat.columns).first()
         if not self.index().filter(F.col("snapshot") == mark["digest"]).isEmpty():
             return mark["digest"], False
         cards.write.mode("overwrite").parquet(f"{self.root}/snapshot={mark['digest']}")

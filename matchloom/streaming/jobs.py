@@ -24,11 +24,26 @@ def usage_stream(usage: DataFrame, window: str = "1 day", late: str = "1 day") -
                 "uses", "failures", "total_ms"))
 
 
-def alert_once(events: DataFrame, at: str = "seen_at", fresh: str = "10 minutes") -> DataFrame:
-    """First alert of every (event, channel); copies inside the freshness bound are dropped."""
-    return (
-        events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", fresh)
-        .dropDuplicatesWithinWatermark(["event_id", "channel_id"]).drop("_at"))
+def alert_once(reserved: str, fresh_after=None, at: str = "seen_at") -> Callable:
+    """Batch handler that reserves every (event, channel) once, for ``once``.
+
+    An alert counts if it was not seen before ``fresh_after`` (a timestamp; None: all count) and
+    its pair is not reserved yet, however late it comes. Reservations are kept per batch, and a
+    repeated batch replaces its own, so a batch that is run again reserves the same pairs.
+    """
+    keys = ["event_id", "channel_id"]
+
+    def reserve(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch if fresh_after is None else batch.filter(F.col(at) >= F.lit(fresh_after))
+        rows = rows.groupBy(*keys).agg(F.min(at).alias(at))
+        if path_exists(spark, reserved):
+            known = spark.read.option("basePath", reserved).parquet(f"{reserved}/batch=*").filter(
+                F.col("batch") != batch_id)
+            rows = rows.join(known.select(*keys), keys, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{reserved}/batch={batch_id}")
+
+    return reserve
 
 
 def once(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:

@@ -174,6 +174,9 @@ def test_run_store_lifecycle(spark, tmp_path):
     assert not (tmp_path / "runs" / f"run_id={first}").exists()
     assert store.open(second).history.count() > 0
     assert all(r.run_invariants(store.open(third)).first())
+    back, created = store.build_and_publish_if_changed("board", candidates(spark))  # the first run is gone
+    assert created and back != first and store.published("board").history.count() > 0
+    assert not store.prune()
     with pytest.raises(ValueError):
         store.publish("board", "nothing")
 

@@ -265,3 +265,23 @@ def test_scratch_can_be_dropped(spark):
     assert ss.path_exists(spark, path) and parent.endswith(spark.sparkContext.applicationId)
     ss.remove_path(spark, path)
     assert not ss.path_exists(spark, path)
+
+
+def test_snapshot_hash_covers_arrays(spark, tmp_path):
+    from matchloom.sources.catalogs import SnapshotStore
+    store = SnapshotStore(spark, str(tmp_path / "arrays"))
+    frame = lambda ink: spark.sql(f"select 'a' card_id, 'A' name, array('{ink}') ink_colors")
+    first, second, again = (store.write(frame(x), "test") for x in ("Ruby", "Steel", "Ruby"))
+    assert first[1] and second[1] and not again[1] and first[0] == again[0] != second[0]
+
+
+def test_patch_path_needs_a_leading_slash():
+    from matchloom.sources.archives import set_path
+    with pytest.raises(ValueError, match="leading slash"):
+        set_path({"a": 1}, "replace", "a", 2)
+
+
+def test_folded_keys_and_titles(spark):
+    from matchloom.functions.labels import colors_label
+    row = spark.sql("select 'STRAßE  Σς' k, array('ruby-steel') c").select(tx.card_key(F.col("k")), colors_label("c")).first()
+    assert tuple(row) == ("strasse σσ", "Ruby-Steel")

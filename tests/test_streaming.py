@@ -49,11 +49,22 @@ def test_alert_is_sent_once_per_channel(spark, tmp_path):
     for rows in ([(1, 1, t), (1, 2, t), (1, 1, t)], [(1, 1, t + dt.timedelta(minutes=3)), (2, 1, t)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
-    s.once(s.alert_once(stream(spark, tmp_path / "in", schema)), str(tmp_path / "cp"),
-           lambda df, i: df.write.mode("append").parquet(out)).awaitTermination()
+    s.once(stream(spark, tmp_path / "in", schema), str(tmp_path / "cp"), s.alert_once(out)).awaitTermination()
     assert sorted((x.event_id, x.channel_id) for x in spark.read.parquet(out).collect()) == [(1, 1), (1, 2), (2, 1)]
 
 
+def test_late_and_repeated_alerts(spark, tmp_path):
+    schema = "event_id long, channel_id long, seen_at timestamp_ntz"
+    t = dt.datetime(2026, 1, 1)
+    handle = s.alert_once(str(tmp_path / "out"), fresh_after=t)
+    batches = [[(1, 1, t)], [(1, 1, t + dt.timedelta(minutes=70)), (9, 9, t - dt.timedelta(days=1))],
+               [(7, 7, t + dt.timedelta(minutes=5))]]
+    for n, rows in enumerate([*batches, batches[-1]]):
+        handle(spark.createDataFrame(rows, schema), min(n, 2))
+    got = spark.read.parquet(str(tmp_path / "out")).select("event_id", "channel_id", "batch").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 0), (7, 7, 2)]  # again: none; late: sent; stale: none
+
+
 def test_usage_windows(spark, tmp_path):
     schema = "occurred_at timestamp_ntz, command_name string, succeeded boolean, duration_ms int"
     rows = [(dt.datetime(2026, 1, 1, 1), "a", True, 5), (dt.datetime(2026, 1, 1, 23), "a", False, 7), (dt.datetime(2026, 1, 2), "a", True, 1)]
