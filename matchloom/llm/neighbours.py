@@ -6,7 +6,9 @@ best bin first: a priority queue of nodes by distance to their centre gives the
 many leaves a query visits is calibrated: for ``CALIBRATION`` of the queries the true neighbours are
 found by comparison with all rows, and visits are widened until the wanted share of them is reached.
 
-Leaves are compared block by block: a leaf's rows and the queries that visit it are dealt to blocks of at
+A query meets its leaves in two steps. The first, as many as the root of its visits, give k rows whose
+farthest bounds the others: from a later leaf only rows within that distance leave their task. Leaves
+are compared block by block: a leaf's rows and the queries that visit it are dealt to blocks of at
 most ``ROWS`` and ``QUERIES`` rows by hash, so a leaf that holds a third of all vectors is many tasks,
 and each task keeps the best k of each query only. The tree has at most ``MOST_LEAVES`` leaves; it and
 the table of leaf sizes are broadcast.
@@ -130,17 +132,21 @@ def distances(points: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def best_of(query_row: int, query_id: int, query: np.ndarray, rows: np.ndarray, ids: np.ndarray,
-            points: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of a block, ties to the smaller id, without the query's own row."""
+            points: np.ndarray, k: int, bound: float = np.inf) -> tuple:
+    """The k nearest of a block within ``bound``, ties to the smaller id, without the query's own row."""
     gap = np.where(rows == query_row, np.inf, distances(points, query))
     if len(gap) > 4 * k:  # all ties of the k-th stay in
-        chosen = np.flatnonzero(gap <= np.partition(gap, k - 1)[k - 1])
-    else:
-        chosen = np.arange(len(gap))
+        bound = min(bound, np.partition(gap, k - 1)[k - 1])
+    chosen = np.flatnonzero((gap <= bound) & np.isfinite(gap))
     order = chosen[np.lexsort((rows[chosen], ids[chosen], gap[chosen]))][:k]
-    order = order[np.isfinite(gap[order])]
-    return pd.DataFrame({"_query": query_row, "query_id": query_id, "vec_id": ids[order], "_row": rows[order],
-                         "score": gap[order]})
+    return np.full(len(order), query_row), np.full(len(order), query_id), ids[order], rows[order], gap[order]
+
+
+def gathered(parts: list[tuple]) -> pd.DataFrame:
+    names = ["_query", "query_id", "vec_id", "_row", "score"]
+    if not parts:
+        return pd.DataFrame({n: [] for n in names})
+    return pd.DataFrame({n: np.concatenate(column) for n, column in zip(names, zip(*parts))})
 
 
 FOUND = "_query long, query_id long, vec_id long, _row long, score double"
@@ -158,8 +164,8 @@ def exact(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             points, own, ids = matrix(batch["vector"]), batch["_row"].to_numpy(), batch["vec_id"].to_numpy()
-            for q in asked:
-                yield best_of(q["_row"], q["vec_id"], np.array(q["vector"]), own, ids, points, k)
+            yield gathered([best_of(q["_row"], q["vec_id"], np.array(q["vector"]), own, ids, points, k)
+                            for q in asked])
 
     return ranked(rows.mapInPandas(compare, FOUND), k)
 
@@ -176,6 +182,31 @@ def calibrate(tree: Tree, queries: DataFrame, filed: DataFrame, k: int, recall:
     return int(needed[min(len(needed), int(np.ceil(recall * len(needed)))) - 1])
 
 
+def compared(filed: DataFrame, asked: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """The best k rows of every block for each (query, leaf) of ``asked``, none beyond the query's ``bound``."""
+    visited = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("query_blocks"))
+    plan = materialize(sizes.join(visited, "leaf"), "leaves")  # a row per leaf
+
+    def dealt(left: DataFrame, own: str, other: str) -> DataFrame:
+        blocks = left.join(F.broadcast(plan), "leaf").withColumn(
+            own, F.pmod(F.xxhash64("_row"), F.col(own + "s")))
+        return blocks.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other + "s") - 1))).drop(
+            "row_blocks", "query_blocks")
+
+    def compare(candidates: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        if not len(candidates) or not len(some):
+            return gathered([])
+        points, own = matrix(candidates["vector"]), candidates["_row"].to_numpy()
+        ids = candidates["vec_id"].to_numpy()
+        return gathered([best_of(r, i, q, own, ids, points, k, b) for r, i, q, b in zip(
+            some["_row"], some["vec_id"], matrix(some["vector"]), some["bound"])])
+
+    keys = ["leaf", "row_block", "query_block"]
+    there = dealt(filed, "row_block", "query_block").groupBy(*keys)
+    here = dealt(asked, "query_block", "row_block").groupBy(*keys)
+    return ranked(there.cogroup(here).applyInPandas(compare, FOUND), k)
+
+
 def search(rows: DataFrame, is_query, k: int = 10, recall: float = RECALL, id_column: str = "vec_id",
            vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows found for each query row.
@@ -211,27 +242,12 @@ def search(rows: DataFrame, is_query, k: int = 10, recall: float = RECALL, id_co
     asked = materialize(queries.mapInPandas(
         ask, "_row long, vec_id long, vector array<double>, leaves array<long>"), "asked")
     sizes = filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("row_blocks"))
-    visited = asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(
-        F.ceil(F.count(F.lit(1)) / QUERIES).alias("query_blocks"))
-    plan = materialize(sizes.join(visited, "leaf"), "leaves")  # a row per leaf
-
-    def dealt(left: DataFrame, own: str, other: str) -> DataFrame:
-        blocks = left.join(F.broadcast(plan), "leaf").withColumn(
-            own, F.pmod(F.xxhash64("_row"), F.col(own + "s")))
-        return blocks.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other + "s") - 1))).drop(
-            "row_blocks", "query_blocks")
-
-    keys = ["leaf", "row_block", "query_block"]
-    there = dealt(filed, "row_block", "query_block")
-    here = dealt(asked.withColumn("leaf", F.explode("leaves")).drop("leaves"), "query_block", "row_block")
-
-    def compare(candidates: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        if not len(candidates) or not len(some):
-            return pd.DataFrame({"_query": [], "query_id": [], "vec_id": [], "_row": [], "score": []})
-        points, own = matrix(candidates["vector"]), candidates["_row"].to_numpy()
-        ids = candidates["vec_id"].to_numpy()
-        return pd.concat([best_of(r, i, q, own, ids, points, k) for r, i, q in zip(
-            some["_row"], some["vec_id"], matrix(some["vector"]))])
-
-    found = there.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInPandas(compare, FOUND)
-    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    first = int(np.ceil(np.sqrt(visits)))
+    near = asked.withColumn("leaf", F.explode(F.slice("leaves", 1, first))).withColumn(
+        "bound", F.lit(float("inf"))).drop("leaves")
+    found = materialize(compared(filed, near, sizes, k), "near")
+    bounds = found.filter(F.col("rank") == k).select(F.col("_query").alias("_row"), F.col("score").alias("bound"))
+    far = asked.withColumn("leaf", F.explode(F.slice("leaves", first + 1, max(1, visits - first)))).drop("leaves")
+    far = far.join(bounds, "_row", "left").fillna({"bound": float("inf")})
+    both = found.unionByName(compared(filed, far, sizes, k)).drop("rank")
+    return ranked(both, k).select("query_id", "rank", "vec_id", "score")
