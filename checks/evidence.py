@@ -122,17 +122,17 @@ def log_slices(spark, sf):
     return t.log_slices(frames, SMALL_BLOCK)
 
 
-@query("action_counts", "select game_id, type, count(*) as actions, count(*) filter (active_player = 1) as own_actions from v_actions group by 1, 2")
+@query("action_counts", "select game_id, type, count(*) as actions, count(*) filter (actor = 1) as own_actions from v_actions group by 1, 2")
 def action_counts(spark, sf):
     return t.action_counts(b.actions(spark, sf), 1)
 
 
-@query("first_action_per_turn", "select game_id, turn_label, seq, type from (select *, row_number() over (partition by game_id, turn_label order by seq) as n from v_actions where active_player = 1) where n = 1")
+@query("first_action_per_turn", "select game_id, turn_label, seq, type from (select *, row_number() over (partition by game_id, turn_label order by seq) as n from v_actions where actor = 1) where n = 1")
 def first_action_per_turn(spark, sf):
     return t.first_action_per_turn(b.actions(spark, sf), 1).select("game_id", "turn_label", "seq", "type")
 
 
-@query("selected_turns", "select game_id, seq, type from v_actions a where turn_label in (1, 2) and 2 = (select count(distinct turn_label) from v_actions x where x.game_id = a.game_id and x.active_player = 1 and x.turn_label in (1, 2))")
+@query("selected_turns", "select game_id, seq, type from v_actions a where turn_label in (1, 2) and 2 = (select count(distinct turn_label) from v_actions x where x.game_id = a.game_id and x.actor = 1 and x.turn_label in (1, 2))")
 def selected_turns(spark, sf):
     return t.select_turns(b.actions(spark, sf), 1, [1, 2]).select("game_id", "seq", "type")
 

@@ -148,7 +148,7 @@ def member_summary(spark, sf):
     return out.withColumn("mulligan_average", F.round("mulligan_average", 6))
 
 
-def practice(spark, sf, ranked=None, limit=g.HISTORY_LIMIT):
+def practice(spark, sf, ranked=None, limit=None):
     return g.practice_history(results(spark, sf), evidence(spark, sf), NOW, 20, ranked, limit)
 
 
@@ -166,7 +166,7 @@ def practice_history(spark, sf):
 
 
 @query("wld_record", f"""select member_id, count(*) filter (outcome = 'win') as wins, count(*) filter (outcome = 'loss') as losses, count(*) filter (outcome = 'draw') as draws, count(*) filter (outcome = 'unknown') as unknown,
- count(*) as games, round(100.0::double * count(*) filter (outcome = 'win') / nullif(count(*) filter (outcome <> 'unknown'), 0), 6) as win_percentage from ({P} and ranked) where game_rank <= 2000 group by 1""")
+ count(*) as games, round(100.0::double * count(*) filter (outcome = 'win') / nullif(count(*) filter (outcome <> 'unknown'), 0), 6) as win_percentage from ({P} and ranked) group by 1""")
 def wld_record(spark, sf):
     out = g.practice_record(practice(spark, sf, ranked=True), ["member_id"])
     return out.withColumn("win_percentage", F.round("win_percentage", 6))

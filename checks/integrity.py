@@ -251,8 +251,8 @@ def due_refresh(spark, sf):
         dt.timedelta(minutes=30), dt.timedelta(days=40), 25)
 
 
-TEAM = """select slug, e.*, g.registration_status, r.preferred_display_name, r.member_id from v_events e join v_registrations g using (event_id) join v_links l using (player_id) join v_roster r on r.member_id = l.member_id"""
-LIVE = f"""select distinct slug, event_id, name, source_url, timezone, start_datetime, preferred_display_name from ({TEAM}) where upper(trim(registration_status)) in ('ACTIVE', 'COMPLETE') and last_synced >= timestamp '1997-01-01'
+TEAM = """select slug, e.*, g.registration_status, g.registration_synced, r.preferred_display_name, r.member_id from v_events e join v_registrations g using (event_id) join v_links l using (player_id) join v_roster r on r.member_id = l.member_id"""
+LIVE = f"""select distinct slug, event_id, name, source_url, timezone, start_datetime, preferred_display_name from ({TEAM}) where upper(trim(registration_status)) in ('ACTIVE', 'COMPLETE') and last_synced >= timestamp '1998-01-22' and registration_synced >= timestamp '1998-01-22'
  and start_datetime <= timestamp '1998-02-01 22:00:00' and end_datetime > timestamp '1998-01-20 00:00:00' and length(trim(source_url)) > 0 and {RUNS}"""
 
 
@@ -265,7 +265,7 @@ def live(spark, sf):
     """Started by NOW and not over on the 20th; the operator takes one instant for both."""
     rows = team_rows(spark, sf).withColumn("end_datetime", F.col("end_datetime") + F.expr(
         "interval 12 days 22 hours"))
-    return im.eligible_live_events(rows, NOW, dt.datetime(1997, 1, 1))
+    return im.eligible_live_events(rows, NOW, dt.datetime(1998, 1, 22))
 
 
 @query("live_eligible", LIVE)

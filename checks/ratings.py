@@ -73,6 +73,13 @@ def elo_history_query(spark, sf):
         r6("rating_after"), r6("rating_change"), r6("opponent_rating_before"), "result")
 
 
+@query("elo_history_many_rounds", "select sequence, player_id, round(rating_after, 6) as rating_after, result from v_history")
+def elo_history_many_rounds(spark, sf):
+    """The same ratings from several epochs with parallel components in each."""
+    inputs = r.rating_inputs(candidates(spark, sf), "global")
+    return elo_history(inputs, group_rows=4000).select("sequence", "player_id", r6("rating_after"), "result")
+
+
 CURRENT = "player_id, round(rating, 6) as rating, matches_played, wins, losses, draws, round(peak_rating, 6) as peak_rating"
 
 

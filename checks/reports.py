@@ -140,12 +140,12 @@ def report_practice(spark, sf):
 DECK = "sha256('[[\"' || your_deck_colors[1] || '\",1]]')"
 
 
-@query("practice_deck_prefix", f"select member_id, game_id, game_rank::int as game_rank from (select p.*, {DECK} as deck_id from ({P}) p) where game_rank <= 2000 and starts_with(deck_id, substr(sha256('[[\"ruby\",1]]'), 1, 12))")
+@query("practice_deck_prefix", f"select member_id, game_id from (select p.*, {DECK} as deck_id from ({P}) p) where starts_with(deck_id, substr(sha256('[[\"ruby\",1]]'), 1, 12))")
 def practice_deck_prefix(spark, sf):
     import hashlib
     prefix = hashlib.sha256(b'[["ruby",1]]').hexdigest()[:12]
     rows = practice(spark, sf).withColumn("deck_id", deck_fingerprint(F.slice("your_deck_colors", 1, 1)))
-    return g.practice_filter(rows, deck=prefix).select("member_id", "game_id", "game_rank")
+    return g.practice_filter(rows, deck=prefix).select("member_id", "game_id")
 
 
 @query("ambiguous_deck_prefixes", f"select member_id, substr(deck_id, 1, 1) as prefix, count(distinct deck_id) as decks from (select member_id, {DECK} as deck_id from v_results) where deck_id is not null group by 1, 2 having count(distinct deck_id) > 1")
@@ -154,7 +154,7 @@ def ambiguous_deck_prefixes(spark, sf):
     return g.ambiguous_prefixes(decks, 1)
 
 
-@query("opening_sample", f"select member_id, game_id from (select p.member_id, p.game_id, row_number() over (partition by p.member_id order by p.game_rank) as n from ({P}) p join ({EVIDENCE}) e using (member_id, game_id) where game_rank <= 2000) where n <= 10")
+@query("opening_sample", f"select member_id, game_id from (select p.member_id, p.game_id, row_number() over (partition by p.member_id order by p.game_rank) as n from ({P}) p join ({EVIDENCE}) e using (member_id, game_id)) where n <= 10")
 def opening_sample(spark, sf):
     return g.opening_sample(practice(spark, sf), 10).select("member_id", "game_id")
 
@@ -304,7 +304,9 @@ def review(spark, sf, turns=None):
     return rep.review_plan(actions, 1, refs, b.catalog(spark, sf), b.card_aliases(spark, sf), pages, turns)
 
 
-FACTS = """select distinct a.game_id, c.card_id, c.name, c.rules_text from v_actions a join v_catalog c using (card_id) where a.game_id in (select game_id from v_actions where active_player = 1)"""
+FACTS = """select distinct game_id, card_id, name, rules_text from v_actions
+ join (select game_id, min(turn_label) as turn_label from v_actions where actor = 1 group by 1) using (game_id, turn_label)
+ join v_catalog using (card_id)"""
 
 
 @query("review_pages", f"""with f as ({FACTS}), q as (select game_id, list_distinct(flatten(list(list_filter(regexp_extract_all(lower(rules_text), '[a-z]{{5,}}'), lambda w: w not in ('their', 'yours', 'other'))))) as terms, list_distinct(list(lower(name))) as names from f group by 1),

@@ -61,7 +61,8 @@ select event_id, player_id, event_id * 10000000 + player_id as registration_id,
   case when player_id % 3 = 0 then player_id % 4 end as matches_lost,
   case when player_id % 3 = 0 then 0 end as matches_drawn,
   (player_id * 7 + event_id) % 64 + 1 as placement,
-  (['ACTIVE',' complete ','DROPPED'])[(player_id + event_id) % 3 + 1] as registration_status
+  (['ACTIVE',' complete ','DROPPED'])[(player_id + event_id) % 3 + 1] as registration_status,
+  timestamp '1998-02-01' - (player_id % 20) * interval 1 day as registration_synced
 from (select event_id, player1_id as player_id from v_matches where player1_id is not null
       union select event_id, player2_id from v_matches where player2_id is not null)"""
 VIEWS["v_teams"] = """
@@ -123,6 +124,7 @@ select p_partkey::varchar as card_id, upper(substr(p_name, 1, 1)) || substr(p_na
 from part"""
 VIEWS["v_actions"] = """
 select conv_id as game_id, turn as seq, case when role = 'system' then null when role = 'user' then 1 else 2 end as active_player,
+  case when role = 'system' then null when (turn % 5 = 3) = (role = 'user') then 2 else 1 end as actor,
   turn // 2 + 1 as turn_label,
   case when n % 9 = 0 then 'undo' else (['play','quest','ink','challenge','end_turn','choice'])[n % 6 + 1] end as type,
   case when n % 3 = 0 then null else (n % 500)::varchar end as card_id, n as size

@@ -151,7 +151,9 @@ def registrations(spark, sf) -> DataFrame:
         F.when(_mod(p, 3) == 0, F.lit(0)).alias("matches_drawn"),
         (_mod(p * 7 + e, 64) + 1).cast("int").alias("placement"),
         F.get(F.array(F.lit("ACTIVE"), F.lit(" complete "), F.lit("DROPPED")),
-              _mod(p + e, 3).cast("int")).alias("registration_status"))
+              _mod(p + e, 3).cast("int")).alias("registration_status"),
+        F.expr("date_sub(date '1998-02-01', cast(player_id % 20 as int))").cast("timestamp_ntz")
+        .alias("registration_synced"))
 
 
 def teams(spark, sf) -> DataFrame:
@@ -291,14 +293,19 @@ def catalog(spark, sf) -> DataFrame:
 
 
 def actions(spark, sf) -> DataFrame:
-    """Conversation turns read as an action log: user is player 1, assistant player 2."""
+    """Conversation turns read as an action log: user is player 1, assistant player 2.
+
+    In every fifth turn the other player replies.
+    """
     n = F.length("text")
     active = F.when(F.col("role") == "system", None).when(F.col("role") == "user", 1).otherwise(2)
     kind = F.array(*[F.lit(t) for t in
                      ["play", "quest", "ink", "challenge", "end_turn", "choice"]])
     return table(spark, sf, "conversations").select(
         F.col("conv_id").alias("game_id"), F.col("turn").alias("seq"),
-        active.alias("active_player"), (F.expr("turn div 2") + 1).alias("turn_label"),
+        active.alias("active_player"),
+        F.when(_mod(F.col("turn"), 5) == 3, 3 - active).otherwise(active).alias("actor"),
+        (F.expr("turn div 2") + 1).alias("turn_label"),
         F.when(_mod(n, 9) == 0, "undo").otherwise(F.get(kind, _mod(n, 6).cast("int")))
         .alias("type"),
         F.when(_mod(n, 3) == 0, None).otherwise(_mod(n, 500)).cast("string").alias("card_id"),

@@ -219,16 +219,12 @@ def member_summary(results: DataFrame, evidence: DataFrame, shown: DataFrame) ->
 
 # --- practice ----------------------------------------------------------------------------
 
-HISTORY_LIMIT = 2000
-OPENINGS_LIMIT = 100
-
-
 def practice_history(results: DataFrame, evidence: DataFrame, now: dt.datetime, days: int = 30,
-                     ranked: bool | None = None, limit: int = HISTORY_LIMIT) -> DataFrame:
-    """Newest games of every member in the window, at most ``limit`` each (a report cap).
+                     ranked: bool | None = None, limit: int | None = None) -> DataFrame:
+    """Games of every member in the window; with ``limit`` the newest ones of each (a report cap).
 
-    Deduplication comes before the cap, and deck or colour filters after it. The column
-    ``truncated`` tells whether the member had more games.
+    Deduplication comes before the cap, and deck or colour filters after it. With a cap,
+    ``game_rank`` numbers a member's games and ``truncated`` tells whether there were more.
     """
     if not 1 <= days <= 365:
         raise ValueError("days must be between 1 and 365")
@@ -236,12 +232,12 @@ def practice_history(results: DataFrame, evidence: DataFrame, now: dt.datetime,
     rows = results.filter((F.col("started_at") >= instant(start)) & (F.col("started_at") <= instant(now)))
     if ranked is not None:
         rows = rows.filter(F.col("ranked") == ranked)
-    newest = top_per_key(rows, ["member_id"], [F.col("started_at").desc(), F.col("game_id")],
-                         limit + 1, "game_rank")
-    beyond = newest.groupBy("member_id").agg((F.max("game_rank") > limit).alias("truncated"))
+    if limit is not None:
+        newest = top_per_key(rows, ["member_id"], [F.desc("started_at"), F.asc("game_id")], limit + 1, "game_rank")
+        beyond = newest.groupBy("member_id").agg((F.max("game_rank") > limit).alias("truncated"))
+        rows = newest.filter(F.col("game_rank") <= limit).join(beyond, "member_id")
     return (
-        newest.filter(F.col("game_rank") <= limit).join(beyond, "member_id")
-        .join(evidence.select("member_id", "game_id", "normalization_id", "mulligan_count"),
+        rows.join(evidence.select("member_id", "game_id", "normalization_id", "mulligan_count"),
               ["member_id", "game_id"], "left")
         .withColumn("deck_label", colors_label("your_deck_colors"))
         .withColumn("outcome", normalize_outcome("result"))
@@ -263,9 +259,9 @@ def check_targets(cards: str | None) -> list[str]:
 
 
 def practice_filter(history: DataFrame, deck: str | None = None, profile: str = "general") -> DataFrame:
-    """Deck-id prefix and colour profile, applied to the capped history.
+    """Deck-id prefix and colour profile, applied to the history.
 
-    A prefix that fits several decks of one member drops that member's rows here;
+    A prefix that fits several decks of one member is an error when the rows are read;
     ``ambiguous_prefixes`` lists such prefixes.
     """
     if profile not in PROFILES:
@@ -277,17 +273,18 @@ def practice_filter(history: DataFrame, deck: str | None = None, profile: str =
             raise ValueError("a deck id prefix has at least 12 hex digits")
         rows = rows.filter(F.col("deck_id").startswith(prefix))
         single = rows.groupBy("member_id").agg(
-            (F.min("deck_id") == F.max("deck_id")).alias("_one")).filter(F.col("_one"))
-        rows = rows.join(single.select("member_id"), "member_id", "left_semi")
+            (F.min("deck_id") == F.max("deck_id")).alias("_one"))
+        error = F.raise_error(F.lit("the deck id prefix fits several decks; give more digits")).cast("boolean")
+        rows = rows.join(single, "member_id").filter(F.when(F.col("_one"), True).otherwise(error)).drop("_one")
     if PROFILES[profile]:
         rows = rows.filter(F.col("deck_label") == PROFILES[profile])
     return rows
 
 
-def opening_sample(history: DataFrame, limit: int = OPENINGS_LIMIT) -> DataFrame:
-    """Newest games with evidence per member, at most ``limit`` each (a report cap)."""
+def opening_sample(history: DataFrame, limit: int | None = None) -> DataFrame:
+    """Games with evidence; with ``limit`` the newest ones per member (a report cap)."""
     rows = history.filter(F.col("normalization_id").isNotNull())
-    return top_per_key(rows, ["member_id"], [F.col("game_rank")], limit)
+    return rows if limit is None else top_per_key(rows, ["member_id"], [F.desc("started_at"), F.asc("game_id")], limit)
 
 
 def ambiguous_prefixes(decks: DataFrame, prefix_length: int = 12) -> DataFrame:

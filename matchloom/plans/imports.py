@@ -55,15 +55,16 @@ def team_events(events, registrations, links, roster_df) -> DataFrame:
     """Events with the roster members registered for them, matched by player id."""
     members = links.join(roster_df, "member_id").select(
         "slug", "member_id", "preferred_display_name", "player_id")
-    return events.join(registrations.select("event_id", "player_id", "registration_status"),
+    return events.join(registrations.select("event_id", "player_id", "registration_status", "registration_synced"),
                        "event_id").join(members, "player_id")
 
 
 def eligible_live_events(team_rows: DataFrame, now: dt.datetime, fresh_after: dt.datetime) -> DataFrame:
-    """Running, fresh events with a member who takes part and a usable address."""
+    """Running events with a member who takes part and a usable address; both read lately."""
     return team_rows.filter(
         F.upper(F.trim("registration_status")).isin("ACTIVE", "COMPLETE")
         & (F.col("last_synced") >= instant(fresh_after))
+        & (F.col("registration_synced") >= instant(fresh_after))
         & (F.col("start_datetime") <= instant(now)) & (F.col("end_datetime") > instant(now))
         & (F.length(F.trim("source_url")) > 0) & in_progress()
     ).select("slug", "event_id", "name", "source_url", "timezone", "start_datetime",

@@ -124,19 +124,26 @@ def matchups(lib: Library, slug: str, since: dt.datetime, until: dt.datetime, te
 
 
 def practice(lib: Library, slug: str, now: dt.datetime, days: int = 30, ranked: bool | None = None,
-             deck: str | None = None, profile: str = "general") -> tuple[DataFrame, DataFrame]:
-    """Capped history after its filters, and the record per member and deck label."""
+             deck: str | None = None, profile: str = "general",
+             limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """History after its filters, and the record per member and deck label.
+
+    ``limit`` shows the newest games of a member only, counted before the filters.
+    """
     results = lib.results(slug)
     evidence = games.latest_evidence(results, lib.replays, lib.parser_version, lib.projection_version)
-    rows = games.practice_filter(games.practice_history(results, evidence, now, days, ranked), deck, profile)
+    rows = games.practice_filter(games.practice_history(results, evidence, now, days, ranked, limit), deck, profile)
     return rows, games.practice_record(rows, ["member_id", "deck_label"])
 
 
 def review_plan(actions: DataFrame, perspective: int, refs: DataFrame, catalog: DataFrame,
                 aliases: DataFrame, pages: DataFrame, turns: list[int] | None = None) -> dict[str, DataFrame]:
-    """Selected turns, own action statistics, card decisions, durations and rule pages per game."""
+    """Selected turns, own action statistics, card decisions, durations and rule pages per game.
+
+    Cards, durations and pages are those of the selected turns only.
+    """
     picked = timeline.select_turns(actions, perspective, turns)
-    used = refs.join(picked.select("game_id").distinct(), "game_id", "left_semi")
+    used = refs.join(picked.select("game_id", "card_id").distinct(), ["game_id", "card_id"], "left_semi")
     decisions = cards.resolve_entities(used, catalog, aliases)
     facts = cards.evidence_cards(used, decisions).join(
         catalog.select(F.col("card_id").alias("canonical_card_id"), "name", "rules_text"),

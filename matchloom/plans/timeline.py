@@ -105,21 +105,25 @@ def log_slices(frames: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataF
 
 
 def action_counts(actions: DataFrame, perspective: int) -> DataFrame:
-    """Actions per game and type, all and own."""
+    """Actions per game and type, all and own.
+
+    ``actor`` made the action; ``active_player`` owns the turn, in which the other player may reply.
+    """
     return actions.groupBy("game_id", F.coalesce("type", F.lit("unknown")).alias("type")).agg(
         F.count(F.lit(1)).alias("actions"),
-        F.count_if(F.col("active_player") == perspective).alias("own_actions"))
+        F.count_if(F.col("actor") == perspective).alias("own_actions"))
 
 
 def first_action_per_turn(actions: DataFrame, perspective: int) -> DataFrame:
     """The first own action of every turn."""
-    own = actions.filter((F.col("active_player") == perspective) & F.col("turn_label").isNotNull())
+    own = actions.filter((F.col("actor") == perspective) & F.col("turn_label").isNotNull())
     return top_per_key(own, ["game_id", "turn_label"], [F.col("seq")])
 
 
 def available_turns(actions: DataFrame, perspective: int) -> DataFrame:
+    """Turns in which the player acted."""
     return actions.filter(
-        (F.col("active_player") == perspective) & F.col("turn_label").isNotNull()
+        (F.col("actor") == perspective) & F.col("turn_label").isNotNull()
     ).select("game_id", "turn_label").distinct()
 
 

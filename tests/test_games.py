@@ -138,7 +138,12 @@ def test_practice_cap_comes_before_filters(spark):
     now = dt.datetime(2026, 1, 2)
     got = g.practice_history(res, ev, now, 30, limit=4).collect()
     assert sorted(x.game_id for x in got) == [2, 3, 4, 5] and all(x.truncated for x in got)
+    assert g.practice_history(res, ev, now, 30).count() == 6  # no cap unless one is asked for
     assert g.practice_history(res, ev, now, 30, ranked=False).count() == 0
+    decks = res.select("member_id", "game_id", F.format_string("%012x", F.col("game_id") % 2).alias("deck_id"), F.lit("Ruby").alias("deck_label"))
+    assert g.practice_filter(decks, "0" * 11 + "1").count() == 3
+    with pytest.raises(Exception, match="several decks"):
+        g.practice_filter(decks.withColumn("deck_id", F.concat(F.lit("a" * 12), "deck_id")), "a" * 12).collect()
     with pytest.raises(ValueError):
         g.practice_history(res, ev, now, 366)
 

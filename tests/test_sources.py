@@ -212,8 +212,10 @@ def test_retrieval_matches_brute_force(spark):
 
 
 def test_select_turns(spark):
-    rows = [(1, s, 1 + s % 2, lab, "play") for s, lab in enumerate([1, 1, 4, 4, 5])]
-    df = spark.createDataFrame(rows, "game_id long, seq long, active_player int, turn_label int, type string")
+    rows = [(1, s, 2, 1 + s % 2, lab, "play") for s, lab in enumerate([1, 1, 4, 4, 5])]
+    df = spark.createDataFrame(rows, "game_id long, seq long, active_player int, actor int, turn_label int, type string")
+    assert t.action_counts(df, 1).first().own_actions == 3  # replies in the other player's turn
+    assert [x.seq for x in t.first_action_per_turn(df, 1).orderBy("seq").collect()] == [0, 2, 4]
     assert sorted(x.seq for x in t.select_turns(df, 1, [4]).collect()) == [2, 3]
     assert sorted(x.seq for x in t.select_turns(df, 1).collect()) == [0, 1]
     assert t.select_turns(df, 1, [4, 9]).count() == 0
