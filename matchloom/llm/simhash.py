@@ -81,29 +81,27 @@ def _syndrome(bits: Column) -> Column:
     return out
 
 
-def _flip(number: Column) -> Column:
-    return F.when(number > 0, F.call_function("shiftleft", F.lit(1).cast("long"), number - 1)).otherwise(F.lit(0))
+def _masks() -> list[list[int]]:
+    """For each syndrome the changes that lead to the own anchor, then to all others within two bits."""
+    flip = [0] + [1 << (i - 1) for i in range(1, 32)]
+    return [[flip[s]] + [flip[i] ^ flip[s ^ i] for i in range(1, 32) if s ^ i > i and s] for s in range(32)]
 
 
 def anchors(value: Column, half: int, near: bool) -> Column:
     """Keys of the anchors of one half: its own, or with ``near`` all within two bits."""
     bits = _half(value, half)
-    base = F.lit(half << 31)
-    syndrome = _syndrome(bits)
-    own = bits.bitwiseXOR(_flip(syndrome)) + base
-    if not near:
-        return F.array(own)
-    others = [F.when((syndrome > 0) & (syndrome.bitwiseXOR(F.lit(i)) > i),
-                     bits.bitwiseXOR(F.lit(1 << (i - 1))).bitwiseXOR(_flip(syndrome.bitwiseXOR(F.lit(i)))) + base)
-              for i in range(1, 32)]
-    return F.array_compact(F.array(own, *others))
+    masks = [m if near else m[:1] for m in _masks()]
+    table = F.array(*[F.array(*map(F.lit, m)) for m in masks]).cast("array<array<bigint>>")
+    return F.transform(F.element_at(table, _syndrome(bits).cast("int") + 1),
+                       lambda m: bits.bitwiseXOR(m) + F.lit(half << 31))
 
 
 def links(values: DataFrame) -> DataFrame:
     """Pairs (a < b) of distinct fingerprints ``fp`` that differ in at most two bits."""
+    spread = values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # narrow rows
     filed = materialize(values.select("fp", F.explode(F.concat(
         anchors(F.col("fp"), 0, False), anchors(F.col("fp"), 1, False))).alias("anchor")), "filed")
-    asked = values.select(F.col("fp").alias("a"), F.explode(F.concat(
+    asked = spread.select(F.col("fp").alias("a"), F.explode(F.concat(
         anchors(F.col("fp"), 0, True), anchors(F.col("fp"), 1, True))).alias("anchor"))
     met = asked.join(filed.withColumnRenamed("fp", "b"), "anchor").filter(
         (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS))
