@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.labels import color_pair, colors_label, normalize_outcome, queue_label
 from matchloom.plans import games as g
 from matchloom.plans import imports as im
+from matchloom.plans import openings
 
 COUNT = """member_id long, result string, your_deck_colors array<string>, opponent_deck_colors array<string>,
  queue_id string, queue_name string, mode string, match_format string, ranked boolean, team_observers long, games long"""
@@ -185,3 +186,29 @@ def test_live_message_limit(spark):
     got = {x.event_id: x.message for x in im.live_message(df).collect()}
     assert got[1] == "**Cup**\nPlaying: Ann, bob\nu"
     assert len(got[2]) <= 2000 and got[2].startswith("**" + "T" * 300 + "**\n") and got[2].endswith("\nu")
+
+
+def test_opening_reports_leave_out_what_is_unknown(spark):
+    replays = spark.createDataFrame(
+        [(1, 1, True), (2, 1, False), (3, 1, None), (4, 1, True)],
+        "game_id long, member_id long, went_first boolean")
+    rows = spark.createDataFrame([(1,), (1,), (2,), (3,)], "game_id long")
+    hands = spark.createDataFrame(
+        [(1, 7, 3, True, True, True), (2, 0, None, False, True, True), (4, 7, 5, True, True, True)],
+        "game_id long, mulligan_count int, post_uninkables int, initial_target boolean, kept_target boolean, "
+        "post_target boolean")
+    turns = spark.createDataFrame(
+        [(1, 2, True, 9, 3, True, False), (2, 2, True, 8, None, None, False), (3, 2, False, None, None, True, None)],
+        "game_id long, own_turn long, complete boolean, end_seq long, ink int, target_seen boolean, "
+        "target_played boolean")
+    got = openings.inspected_openings(replays, rows)
+    hand = openings.opening_hand_report(got, hands, ["member_id"]).first()
+    assert (hand.inspected, hand.usable, hand.mulligans_known, hand.mulligan_mean) == (4, 3, 2, 3.5)
+    assert (hand.full_seven, hand.three_uninkables, hand.three_uninkables_known) == (1, 1, 1)
+    turn = openings.opening_turn_report(got, turns, ["member_id"]).first()
+    assert (turn.completed, turn.three_ink, turn.three_ink_known) == (2, 1, 1)
+    assert (turn.three_ink_first_known, turn.three_ink_second_known) == (1, 0)
+    target = openings.opening_target_report(got, hands, turns, ["member_id"]).first()
+    assert (target.kept_target, target.kept_target_known, target.played_when_seen_known) == (1, 1, 1)
+    assert [r.game_id for r in openings.review_candidates(got, turns, ["member_id"]).collect()] == [1]
+    assert openings.opening_hand_report(got.limit(0), hands, ["member_id"]).isEmpty()
