@@ -1,7 +1,8 @@
 """License scans with ordered signature rules (operator 3, DataFrame functions only).
 
 The text is reduced to lower-case words. A gate of a few substrings lets most documents pass
-untouched; in the others each rule's keyword is looked for before its regex runs. A rule marks
+untouched; in the others each rule's keywords are looked for before its regex runs. Gate and keywords are read
+off the regexes, so they lose no match. A rule marks
 its matches in the text, and the word positions of the marks give intervals. Intervals are
 sorted by start, longest first; one that lies inside an earlier interval of the same or a higher
 priority is suppressed. Sorted like that, all intervals that can contain another come before it, so
@@ -27,7 +28,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OPEN, CLOSE = "\x01", "\x02"  # never part of a word
-RULE = ("array<struct<id:int,kind:string,label:string,keyword:string,regex:string,priority:int,"
+RULE = ("array<struct<id:int,kind:string,label:string,keywords:array<string>,regex:string,priority:int,"
         "confidence:double>>")
 DETECTION = ("array<struct<start:int,before:int,priority:int,rule:int,kind:string,label:string,"
              "confidence:double>>")
@@ -57,8 +58,8 @@ def _spans(words: Column, rule: Column) -> Column:
 
 def detections(words: Column) -> Column:
     """All matches as structs sorted by start, longest first; ``before`` is minus the last word."""
-    table = F.from_json(F.lit(json.dumps(rules())), RULE)
-    tried = F.filter(table, lambda r: F.contains(words, r["keyword"]))
+    table = F.from_json(F.lit(json.dumps([r | {"keywords": r["keyword"].split("|")} for r in rules()])), RULE)
+    tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(words, k)))
     return F.array_sort(F.flatten(F.transform(tried, lambda r: _spans(words, r))))
 
 

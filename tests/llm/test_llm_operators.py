@@ -132,6 +132,25 @@ def test_license_suppression_and_rules(spark):
     assert licenses.spans(scanned).count() == row["n_kept"]
 
 
+def test_license_gates_lose_nothing(spark):
+    notices = [
+        "released under the GPL v2", "distributed under GPL version 3", "GPLv2", "use GPLv3 or later", "LGPLv2.1",
+        "AGPLv3", "This product includes software developed by the Apache Software Foundation",
+        "this product includes software developed by the OpenSSL Project", "see http://mozilla.org/MPL/1.1/",
+        "All advertising materials mentioning features or use of this software must display", "the X11 license",
+        "All rights reserved. Copyright", "commercial license", "all rights reserved", "creativecommons.org/licenses/by",
+        "Creative Commons Attribution ShareAlike 4.0", "plain words", "php.net/license/3_01", "wtfpl.net/about",
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(
+        list(enumerate(notices)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(notices):
+        plain = " " + re.sub("[^0-9a-z]+", " ", text.lower()).strip() + " "
+        want = {r["id"] for r in licenses.rules() if re.search(r["regex"], plain)}
+        assert {d["rule"] for d in got[i]["detections"]} == want, text
+    assert [got[i]["labels"] for i in range(4)] == [["gpl-2.0"], ["gpl-3.0"], ["gpl-2.0"], ["gpl-3.0"]]
+    assert all(got[i]["labels"] for i in range(13)) and not got[13]["labels"]
+
+
 def test_token_counts(docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     pieces = token_counts.piece_vocabulary(path)
