@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample (``SAMPLE`` rows, chosen by hash): the la
 split by k-means until there are enough leaves. Every row is filed in the leaf it descends to. A query walks the tree
 best bin first: a priority queue of nodes by distance to their centre gives the leaves in order. How
 many leaves a query visits is calibrated: for ``CALIBRATION`` of the queries the true neighbours are
-found by comparison with all rows, and visits are widened until the wanted share of them is reached.
+found by comparison with all rows, and visits are widened until the wanted share of them is reached. A walk
+goes on past that count until the leaves it has met hold k rows besides the query's own.
 
 A query meets its leaves in two steps. The first, as many as the root of its visits, give k rows whose
 farthest bounds the others: from a later leaf only rows within that distance leave their task. Leaves
@@ -231,12 +232,19 @@ def search(rows: DataFrame, is_query, k: int = 10, recall: float = RECALL, id_co
     queries = filed.filter(is_query).select("_row", "vec_id", "vector")
     visits = calibrate(tree, queries, filed, k, recall)
 
+    held = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             leaves = []
             for point in matrix(batch["vector"]):
-                walk = shared.value.walk(point)
-                leaves.append([leaf for _, leaf in zip(range(visits), walk)])
+                met, seen = [], 0
+                for leaf in shared.value.walk(point):
+                    if len(met) >= visits and seen > k:  # the query's own row is in one of them
+                        break
+                    met.append(leaf)
+                    seen += held.get(leaf, 0)
+                leaves.append(met)
             yield batch.assign(leaves=leaves)
 
     asked = materialize(queries.mapInPandas(
@@ -247,7 +255,7 @@ def search(rows: DataFrame, is_query, k: int = 10, recall: float = RECALL, id_co
         "bound", F.lit(float("inf"))).drop("leaves")
     found = materialize(compared(filed, near, sizes, k), "near")
     bounds = found.filter(F.col("rank") == k).select(F.col("_query").alias("_row"), F.col("score").alias("bound"))
-    far = asked.withColumn("leaf", F.explode(F.slice("leaves", first + 1, max(1, visits - first)))).drop("leaves")
+    far = asked.withColumn("leaf", F.explode(F.slice("leaves", F.lit(first + 1), F.size("leaves")))).drop("leaves")
     far = far.join(bounds, "_row", "left").fillna({"bound": float("inf")})
     both = found.unionByName(compared(filed, far, sizes, k)).drop("rank")
     return ranked(both, k).select("query_id", "rank", "vec_id", "score")

@@ -251,6 +251,16 @@ def test_neighbours(spark):
     assert len(few) == 4
 
 
+def test_neighbours_of_small_leaves(spark):
+    rng = np.random.default_rng(5)
+    groups = np.repeat(rng.normal(size=(20, 8)), 200, axis=0)  # copies: one leaf holds all neighbours
+    rows = [(i, p.tolist()) for i, p in enumerate(groups)]
+    rows += [(4000 + i, [50.0 + i / 10] * 8) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.search(df, F.col("vec_id") % 100 == 0).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == dict.fromkeys(range(0, 4001, 100), 10)
+
+
 def test_toxicity(spark, docs, table):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.fit(table, labels)
