@@ -41,3 +41,22 @@ def apply_kept(docs: DataFrame, kept: DataFrame, id_column: str = "doc_id",
     keyed = plain.select("*", *row_keys(plain, at[id_column], at[text_column]))
     rows = keyed.join(kept.select("_rid", "_rhash").distinct(), ["_rid", "_rhash"], "left_semi")
     return rows.dropDuplicates(["_rid", "_rhash"]).drop("_rid", "_rhash").toDF(*names)
+
+
+def picked(docs: DataFrame, **names: str) -> DataFrame:
+    """The named columns alone, as ``alias=name``, found by place.
+
+    A column of exactly that name is taken, so another one that differs in case does no harm; without one,
+    the only column that differs in case is.
+    """
+    columns = docs.columns
+
+    def place(name: str) -> int:
+        same = [i for i, c in enumerate(columns) if c == name] or [
+            i for i, c in enumerate(columns) if c.lower() == name.lower()]
+        if len(same) != 1:
+            raise ValueError(f"{len(same)} columns are named {name}")
+        return same[0]
+
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
+    return plain.select(*[plain[f"_c{place(name)}"].alias(alias) for alias, name in names.items()])

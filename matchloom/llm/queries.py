@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import (exact_dedup, langid, licenses, mixing, neighbours, packing, simhash, suffix_tree,
-                           token_counts, toxicity)
+from matchloom.llm import (exact_dedup, langid, licenses, mixing, neighbours, packing, periodic_runs, simhash,
+                           suffix_tree, token_counts, toxicity)
 from matchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_periods(table(spark, sf_dir, "documents"))
+    rows = periodic_runs.find_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = rows.withColumn("_best", longest).withColumn("_lines", lines)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"),
+        F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
+        F.expr("1000 * _best.length div -_best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join("_lines", "\n"), F.when(F.size("_lines") > 0, F.lit("\n")).otherwise("")).cast(
+            "binary"), 256).alias("runs_sha256"),
+        F.coalesce(F.sha2(F.col("collapsed").cast("binary"), 256), "words_sha256").alias("collapsed_sha256"), "n_words")
+
+
 ORACLE = {"op1_exact_dedup": r"""
     with d as (
         select doc_id, length(coalesce(text, '')) as n,
