@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import (exact_dedup, langid, licenses, mixing, neighbours, packing, periodic_runs, simhash,
-                           suffix_tree, token_counts, toxicity)
+from matchloom.llm import (exact_dedup, fingerprints, langid, licenses, mixing, neighbours, packing, periodic_runs,
+                           simhash, suffix_tree, token_counts, toxicity)
 from matchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.sha2(F.col("collapsed").cast("binary"), 256), "words_sha256").alias("collapsed_sha256"), "n_words")
 
 
+@query
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
+
+
 ORACLE = {"op1_exact_dedup": r"""
     with d as (
         select doc_id, length(coalesce(text, '')) as n,
