@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import (exact_dedup, fingerprints, langid, licenses, mixing, neighbours, packing, periodic_runs,
+from matchloom.llm import (alignment, exact_dedup, fingerprints, langid, licenses, mixing, neighbours, packing, periodic_runs,
                            simhash, suffix_tree, token_counts, toxicity)
 from matchloom.llm.common import table
 
@@ -103,6 +103,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.sha2(F.col("collapsed").cast("binary"), 256), "words_sha256").alias("collapsed_sha256"), "n_words")
 
 
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
