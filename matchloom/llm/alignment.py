@@ -30,6 +30,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ CUT = re.compile(r"(?<=\S)(?= )")
 WIDE = 4096  # pairs of a group beyond which equal ids are taken together
 BLOCK_UNITS = 500_000  # units of a block, or one document
 SLICE_CHARS = 1_000_000  # characters whose units are learned together, or one document
-MOST_UNITS, MOST_CHARS = 300_000, 32_000_000  # units a worker remembers
+MOST_UNITS, MOST_CHARS = 200_000, 32_000_000  # units a worker remembers
 BLOCK_PARTS = ("ids", "n_a", "n_b", "n_groups", "n_links", "digest", "length", "seq", "links", "pair", "times", "pair_a")
 ROWS = ("kind int, block long, place int, a long, b long, n long, " + ", ".join(f"{p} binary" for p in BLOCK_PARTS))
 BLOCK, PAIR, SAME = 0, 1, 2
@@ -107,15 +108,27 @@ class Tokenizers:
             if not (self.b.is_control(i) or self.b.is_unknown(i)) and (data not in same or self.b.is_byte(same[data])):
                 same[data] = i
         self.same = np.array([same.get(data, -1) if data else -1 for data in self.bytes_a], np.int64)
+        self.names = [str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of units, each of which begins with the space that B adds itself."""
+    def each(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of units one by one; each begins with the space that B adds itself."""
         a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         b = self.b.encode([u[1:] for u in units], num_threads=1)
         return a, [ids if ids or u != " " else [self.space] for ids, u in zip(b, units)]
 
+    def together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of units that follow each other as one text, or None if bytes come back changed."""
+        texts = ["".join(units[i:i + 500]) for i in range(0, len(units), 500)]
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in self.each(texts))
+        data = "".join(texts).encode()
+        return (a, b) if self.joined(self.bytes_a, a) == data == self.joined(self.bytes_b, b) else None
+
+    @staticmethod
+    def joined(known: list[bytes], ids: np.ndarray) -> bytes:
+        return b"".join([known[i] for i in ids.tolist()])
+
 
 @lru_cache(maxsize=1)
 def tokenizers(path_a: str, path_b: str) -> Tokenizers:
@@ -134,14 +147,37 @@ class Units:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.chars = 0
-        self.text: list[bytes | None] = []  # None: bytes come back changed
+        self.used = np.zeros(0, np.int64)
+        self.text: list[bytes] = []
+        self.wrong: set[str] = set()  # their bytes come back changed
         self.sizes = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links
         self.links, self.times = Ragged(np.int64), Ragged(np.int64)  # a << 32 | b, and how often
 
+    def forget(self) -> None:
+        """Keep the units met most often, at most half of ``MOST_UNITS``, under new numbers."""
+        kept = np.flatnonzero(self.used > 1)
+        kept = np.sort(kept[np.argsort(-self.used[kept], kind="stable")[:MOST_UNITS // 2]])
+        names, text = list(self.at), self.text
+        links, times, sizes, used, wrong = self.links, self.times, self.sizes, self.used, self.wrong
+        self.clear()
+        names = [names[i] for i in kept.tolist()]
+        self.at = {u: i for i, u in enumerate(names)}
+        self.chars = sum(map(len, names))
+        if self.chars > MOST_CHARS // 2:
+            return self.clear()
+        self.text = [text[i] for i in kept.tolist()]
+        self.wrong = wrong.intersection(self.at)
+        self.links.extend(*links.take(kept))
+        self.times.extend(*times.take(kept))
+        self.sizes, self.used = sizes[kept], used[kept] // 2
+
     def learn(self, units: set[str]) -> None:
-        fresh = list(units.difference(self.at))
-        for some in range(0, len(fresh), 50_000):
-            self._learn(fresh[some:some + 50_000])
+        fresh = units.difference(self.at)
+        open_ended = [u for u in fresh if u[-1].isspace()]  # what follows could join their last token
+        closed = list(fresh.difference(open_ended))
+        for some in range(0, len(closed), 20_000):
+            self._learn(closed[some:some + 20_000])
+        self._learn(open_ended)
 
     def _learn(self, fresh: list[str]) -> None:
         if not fresh:
@@ -150,20 +186,21 @@ class Units:
         first = len(self.at)
         self.at.update(zip(fresh, range(first, first + len(fresh))))
         self.chars += sum(map(len, fresh))
-        a, b = t.encode(fresh)
-        right = [b"".join([t.bytes_a[i] for i in x]) == (data := u.encode()) and b"".join(
-            [t.bytes_b[i] for i in y]) == data for u, x, y in zip(fresh, a, b)]
-        a = [x if r else [] for x, r in zip(a, right)]
-        b = [y if r else [] for y, r in zip(b, right)]
-        flat_a = np.array([i for x in a for i in x], np.int64)
-        flat_b = np.array([i for y in b for i in y], np.int64)
+        right = [True] * len(fresh)
+        found = t.together(fresh) if t.cuts and not any(u[-1].isspace() for u in fresh) else None
+        if found is None:  # one by one, leaving out those whose bytes come back changed
+            a, b = t.each(fresh)
+            right = [t.joined(t.bytes_a, np.array(x)) == u.encode() == t.joined(t.bytes_b, np.array(y))
+                     for u, x, y in zip(fresh, a, b)]
+            found = [np.fromiter(chain.from_iterable(x for x, r in zip(ids, right) if r), np.int64) for ids in (a, b)]
+        flat_a, flat_b = found
+        sizes = np.array([len(u.encode()) if r else 0 for u, r in zip(fresh, right)], np.int64)
         # units stand one after the other, so places in bytes tell units apart
         end_a, end_b = np.cumsum(t.size_a[flat_a]), np.cumsum(t.size_b[flat_b])
         _, cut_a, cut_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
         n_a, n_b = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)
         start_a, start_b = cut_a + 1 - n_a, cut_b + 1 - n_b
-        unit_a = np.repeat(np.arange(len(fresh)), [len(x) for x in a])
-        unit = unit_a[cut_a]  # of each group
+        unit = np.searchsorted(np.cumsum(sizes), end_a[cut_a])  # of each group
         groups = np.bincount(unit, minlength=len(fresh))
         wide = n_a * n_b > WIDE
         n_links = np.where(wide, 0, n_a * n_b)
@@ -190,24 +227,32 @@ class Units:
         self.sizes = np.concatenate([self.sizes, np.stack([
             np.bincount(unit, n_a, len(fresh)), np.bincount(unit, n_b, len(fresh)), groups,
             np.bincount(unit, n_a * n_b, len(fresh))], 1).astype(np.int64)])
-        names_a, names_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        shown = [",".join(names_a[i:i + m]) + "|" + ",".join(names_b[j:j + n]) for i, m, j, n in zip(
-            start_a.tolist(), n_a.tolist(), start_b.tolist(), n_b.tolist())]
+        names_a, names_b = [t.names[i] for i in flat_a.tolist()], [t.names[i] for i in flat_b.tolist()]
+        shown = [names_a[i] + b"|" + names_b[j] if m == n == 1 else
+                 b",".join(names_a[i:i + m]) + b"|" + b",".join(names_b[j:j + n]) for i, m, j, n in zip(
+                     start_a.tolist(), n_a.tolist(), start_b.tolist(), n_b.tolist())]
         ends = np.cumsum(groups).tolist()
-        self.text += [";".join(shown[x:y]).encode() if r else None for x, y, r in zip([0] + ends, ends, right)]
+        self.text += [b";".join(shown[x:y]) for x, y in zip([0] + ends, ends)]
+        self.wrong.update(u for u, r in zip(fresh, right) if not r)
+
+    def full(self) -> bool:
+        return len(self.at) > MOST_UNITS or self.chars > MOST_CHARS
 
     def sequences(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The units of each text, none if it has no tokens; what is new is learned for all texts together."""
-        if len(self.at) > MOST_UNITS or self.chars > MOST_CHARS:
-            self.clear()
+        if self.full():
+            self.forget()
         cut = [(CUT.split(" " + t) if self.pair.cuts else [" " + t]) if t else [] for t in texts]
         self.learn(set().union(*cut))
-        for text, names in zip(texts, cut):
-            rows = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
-            if any(self.text[u] is None for u in rows.tolist()):
+        every = np.array([self.at[u] for names in cut for u in names], np.int64)
+        self.used = np.append(self.used, np.zeros(len(self.at) - len(self.used), np.int64))
+        self.used += np.bincount(every, minlength=len(self.used))
+        ends = np.cumsum([len(names) for names in cut])
+        for text, names, end in zip(texts, cut, ends.tolist()):
+            rows = every[end - len(names):end]
+            if self.wrong and not self.wrong.isdisjoint(names):
                 self.learn({" " + text})
-                rows = np.array([self.at[" " + text]])
-                rows = rows if self.text[rows[0]] is not None else rows[:0]
+                rows = np.array([self.at[" " + text]] if " " + text not in self.wrong else [], np.int64)
             yield rows
 
 
@@ -284,7 +329,7 @@ def blocks_of(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         number, ids, seqs, n = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for some in slices(batch["text"]):
-                if ids and (len(units.at) > MOST_UNITS or units.chars > MOST_CHARS):  # they are forgotten next
+                if ids and units.full():  # some are forgotten next, the others get new numbers
                     yield from block(number, ids, seqs, units, same)
                     number, ids, seqs, n = number + 1, [], [], 0
                 found = units.sequences(batch["text"].iloc[some].tolist())
