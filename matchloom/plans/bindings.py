@@ -488,3 +488,54 @@ def archives(spark, sf) -> DataFrame:
                 F.array_join(F.transform(F.sequence(F.lit(0), last), frame), ","), '],"logs":[',
                 F.array_join(F.transform(F.sequence(F.lit(0), last), log), ","), "]}")
     return table(spark, sf, "orders").select(o.alias("game_id"), body.alias("body"))
+
+
+def ability_archives(spark, sf) -> DataFrame:
+    """One replay archive per part: nine frames with an ability whose card comes late, prompts, a song, a challenge."""
+    o = F.col("p_partkey")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    named = F.when(_mod(o, 7) == 0, F.lit('"cardId":"9-9","cardName":"Known"')).otherwise("")
+    at = F.least(_mod(o, 5), F.lit(3)) + 2  # the frame whose logs name the ability
+    hand = ",".join(f'{{"id":"1-{i}","instanceId":"h{i}","fullName":"Card {i}","cost":{i},"inkable":true}}' for i in range(7))
+    fields = ('{"id":"3-1","instanceId":"a1","name":"Att","strength":3,"willpower":4,"exerted":false}',
+              '{"id":"3-2","instanceId":"d1","name":"Def","strength":2,"willpower":2,"damage":1}')
+    frames = [
+        text('"player":1,"actionType":"', F.when(_mod(o, 10) == 9, "LATE_START").otherwise("CHOOSE_STARTING_PLAYER"),
+             '","takenAction":{},"patch":[{"op":"replace","path":"/firstPlayer","value":', _mod(o, 2) + 1,
+             '},{"op":"replace","path":"/status","value":"playing"},{"op":"replace","path":"/turnNumber","value":1},'
+             '{"op":"replace","path":"/currentPlayer","value":1}]'),
+        F.lit('"player":1,"actionType":"MULLIGAN","takenAction":{},"patch":[]'),
+        text('"player":1,"actionType":"ACTIVATE_ABILITY","takenAction":{', named, '},"patch":[]'),
+        F.lit('"player":2,"actionType":"RESPOND_TO_PROMPT","takenAction":{},"patch":[]'),
+        text('"player":1,"actionType":"', F.when(_mod(o, 5) == 4, "QUEST").otherwise("RESPOND_TO_PROMPT"),
+             '","takenAction":{"loreGained":2,"newLoreTotal":5},"patch":[]'),
+        F.lit('"player":2,"actionType":"RESPOND_TO_PROMPT","takenAction":{},"patch":[]'),
+        F.lit('"player":1,"actionType":"PLAY_CARD","takenAction":{"source":"hand","cardType":"song"},"patch":[]'),
+        text('"player":1,"actionType":"ATTACK","takenAction":{"attackerCardId":"3-1","attackerInstanceId":"a1","attackerName":"Att",'
+             '"defenderCardId":"3-2","defenderInstanceId":"d1","defenderName":"Def","damageToDefender":3,"damageToAttacker":2,'
+             '"defenderBanished":', F.when(_mod(o, 2) == 0, "true").otherwise("false"), '},"patch":[', F.when(_mod(o, 2) == 0, text(
+                 '{"op":"remove","path":"/opponent/field/0"},{"op":"add","path":"/opponent/discard/-","value":', fields[1], "}")
+             ).otherwise('{"op":"replace","path":"/opponent/field/0/damage","value":2}'), "]"),
+        F.lit('"player":1,"actionType":"END_TURN","takenAction":{},"patch":[{"op":"replace","path":"/turnNumber","value":2},'
+              '{"op":"replace","path":"/currentPlayer","value":2},{"op":"replace","path":"/winner","value":1}]')]
+    choice = lambda i: text('"type":"CHOICE_RESOLVED","message":"Bob chose \\"Left ', F.lit(i), '\\"","cardRefs":[',
+                            F.when(_mod(o, 3) != 0, text('{"id":"7-', F.lit(i), '","name":"Pick"}')).otherwise(""), "]")
+    ability = text('"type":"ABILITY_ACTIVATED","player":1,"message":"Ann activated Glow on Lamp","cardRefs":[{"id":"8-',
+                   _mod(o, 3), '","name":"Lamp"}]')
+    logs = [F.lit('"type":"NOTE"'), text('"type":"MULLIGAN","player":1,"data":{"mulliganCount":',
+                                         F.when(_mod(o, 6) == 0, 1).otherwise(0), "}")]
+    logs += [F.when(at == i, ability).otherwise(choice(i) if i > 2 else F.lit('"type":"NOTE"')) for i in range(2, 6)]
+    logs += [F.lit('"type":"CARD_PLAYED","message":"Ann sang it","cardRefs":[{"id":"5-6","name":"Song"},{"id":"5-7","name":"Singer"}]'),
+             text('"type":"CARD_ATTACK","message":"hit","data":{"attackerBaseStrength":3,"attackerChallengerBonus":', _mod(o, 4),
+                  ',"actualDamageToDefender":3,"defenderTotalDamage":', _mod(o, 4) + 3, "}"), F.lit('"type":"NOTE"')]
+    prompt = ('{"id":"q1","type":"CHOOSE","message":"Pick","required":true,"minSelect":1,"maxSelect":2,'
+              '"validTargets":["h1"],"sourceAbility":"Glow"}')
+    body = text('{"format":"duels-replay-v1","gameId":"', o, '","perspective":1,"winner":', F.when(_mod(o, 4) == 0, 2).otherwise(1),
+                ',"victoryReason":"lore","turnCount":2,"playerNames":{"1":"Ann","2":"Bob"},"decklist":["1-0","3-1"],'
+                '"baseSnapshotLogCount":0,"baseSnapshot":{"status":"mulligan","turnNumber":0,"firstPlayer":2,"replayId":"rp', o,
+                f'","promptSourceCard":{{"id":"9-1","name":"Src"}},"pendingPrompts":[{prompt}],"opponentHasPendingPrompts":true,'
+                f'"myPlayer":{{"lore":3,"deckCount":53,"hand":[{hand}],"field":[{fields[0]}],"inkwell":[]}},'
+                f'"opponent":{{"lore":1,"handCount":6,"field":[{fields[1]}],"discard":[]}}}},"frames":[',
+                F.concat_ws(",", *[text('{"seq":', F.lit(i), ',"logCountAfter":', F.lit(i + 1), ",", f, "}") for i, f in enumerate(frames)]),
+                '],"logs":[', F.concat_ws(",", *[text('{"id":"l', F.lit(i), '",', log, "}") for i, log in enumerate(logs)]), "]}")
+    return table(spark, sf, "part").select(o.alias("game_id"), body.alias("body"))

@@ -14,8 +14,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
 
 from matchloom.session import spread
 
@@ -38,21 +36,50 @@ ACTION_TYPES = {
 }
 
 REF = "struct<id:string,name:string>"
-BODY = f"""format string, gameId string, perspective int, winner int, turnCount int,
- playerNames map<string,string>, decklist array<string>, baseSnapshotLogCount int,
+# What a challenge log records, under the names the action table uses.
+COMBAT = {
+    "attacker_base_strength": "attackerBaseStrength",
+    "attacker_challenger_bonus": "attackerChallengerBonus",
+    "raw_damage_to_defender": "rawDamageToDefender",
+    "actual_damage_to_defender": "actualDamageToDefender",
+    "defender_resist_reduction": "defenderResistReduction",
+    "defender_willpower": "defenderWillpower",
+    "defender_total_damage": "defenderTotalDamage",
+    "raw_damage_to_attacker": "rawDamageToAttacker",
+    "actual_damage_to_attacker": "actualDamageToAttacker",
+    "attacker_resist_reduction": "attackerResistReduction",
+    "attacker_willpower": "attackerWillpower",
+    "attacker_total_damage": "attackerTotalDamage",
+}
+BODY = f"""format string, gameId string, createdAt string, perspective int, winner int, victoryReason string, turnCount int,
+ fromPlayground boolean, playerNames map<string,string>, decklist array<string>,
  frames array<struct<seq:long,actionType:string,player:int,turnNumber:int,logCountAfter:int,
   takenAction:struct<cardId:string,cardInstanceId:string,cardName:string,cardType:string,source:string,
    abilityName:string,loreGained:int,newLoreTotal:int,attackerCardId:string,attackerInstanceId:string,
    attackerName:string,defenderCardId:string,defenderInstanceId:string,defenderName:string,
    damageToDefender:int,damageToAttacker:int,defenderBanished:boolean,attackerBanished:boolean>>>,
- logs array<struct<id:string,type:string,player:int,message:string,cardRefs:array<{REF}>,
-  data:struct<mulliganCount:int,attackerBaseStrength:int,actualDamageToDefender:int,
-   actualDamageToAttacker:int,defenderTotalDamage:int,attackerTotalDamage:int>>>"""
-
-CARD = "struct<id:string,instance_id:string,name:string,inkable:boolean>"
-STATE = f"""struct<status:string,turn_number:int,current_player:int,first_player:int,
- lore:int,hand_count:int,hand:array<{CARD}>,ink_count:int,ready_ink:int,opponent_lore:int,
- opponent_hand_count:int,hand_after:array<{CARD}>,first_log:int,end_log:int,warning:string>"""
+ logs array<struct<id:string,type:string,player:int,turnNumber:int,message:string,cardRefs:array<{REF}>,
+  data:struct<mulliganCount:int,{",".join(f"{name}:int" for name in COMBAT.values())}>>>"""
+
+# Names of a card's facts in the archive.
+CARD_FACTS = {"id": "id", "instance_id": "instanceId", "type": "type", "colors": "colors", "cost": "cost",
+              "inkable": "inkable", "strength": "strength", "willpower": "willpower", "lore": "lore",
+              "damage": "damage", "exerted": "exerted", "just_played": "justPlayed"}
+CARD = ("struct<id:string,instance_id:string,name:string,type:string,colors:array<string>,cost:int,inkable:boolean,"
+        "strength:int,willpower:int,lore:int,damage:int,exerted:boolean,just_played:boolean,cards_under:int>")
+PLACED = f"struct<owner:string,zone:string,card:{CARD}>"
+INK = f"struct<hidden:boolean,exerted:boolean,card:{CARD}>"
+PROMPT = (f"struct<source_card:{CARD},opponent_pending:boolean,prompts:array<struct<id:string,type:string,message:string,"
+          "required:boolean,min_select:int,max_select:int,valid_targets:string,source_card_instance_id:string,"
+          "source_ability:string,params:string>>>")
+ZONES = ",".join(f"{who}{zone}:array<{CARD}>" for who in ("", "opponent_") for zone in ("field", "items", "discard"))
+STATE = f"""struct<status:string,turn_number:int,current_player:int,first_player:int,has_inked:boolean,
+ lore:int,hand_count:int,deck_count:int,ink_count:int,ready_ink:int,opponent_lore:int,opponent_hand_count:int,
+ opponent_deck_count:int,opponent_ink_count:int,opponent_ready_ink:int,hand:array<{CARD}>,{ZONES},inkwell:array<{INK}>,
+ opponent_inkwell:array<{INK}>,hand_after:array<{CARD}>,attacker_before:{PLACED},attacker_after:{PLACED},
+ defender_before:{PLACED},defender_after:{PLACED},prompt:{PROMPT},first_log:int,end_log:int,warning:string>"""
+GAME = (f"struct<replay_id:string,starting_hand:array<{CARD}>,winner:int,first_player:int,warnings:array<string>,"
+        f"final_state:{STATE}>")
 
 
 # --- bytes -------------------------------------------------------------------------------
@@ -141,48 +168,128 @@ def set_path(state, op: str, path: str, value):
     return state
 
 
-def _hand(state) -> list[dict]:
-    cards = (state.get("myPlayer") or {}).get("hand") or []
-    return [{"id": c.get("id"), "instance_id": c.get("instanceId"),
-             "name": c.get("fullName") or c.get("name"), "inkable": c.get("inkable")}
-            for c in cards if isinstance(c, dict)]
+def _card(card: dict) -> dict:
+    found = {name: card.get(key) for name, key in CARD_FACTS.items()}
+    found["name"] = card.get("fullName") or card.get("name")
+    found["cards_under"] = len(card.get("cardsUnder") or [])
+    return {name: value for name, value in found.items() if value is not None}
 
 
-def _facts(state) -> dict:
-    mine, other = state.get("myPlayer") or {}, state.get("opponent") or {}
-    ink = [e for e in mine.get("inkwell") or [] if isinstance(e, dict)]
-    exerted = [e.get("exerted", (e.get("card") or {}).get("exerted")) for e in ink]
-    return {"status": state.get("status"), "turn_number": state.get("turnNumber"),
-            "current_player": state.get("currentPlayer"), "lore": mine.get("lore"),
-            "hand_count": len(mine.get("hand") or []), "ink_count": len(ink), "ready_ink": exerted.count(False),
-            "opponent_lore": other.get("lore"), "opponent_hand_count": other.get("handCount")}
+class _Table:
+    """What a player sees of the state; a zone is read again only after a patch touched it."""
 
+    def __init__(self, state):
+        self.state, self.seen = state, {}
 
-def _fold(body: dict) -> list[dict]:
-    state, total = body.get("baseSnapshot") or {}, len(body.get("logs") or [])
-    seen, out = body.get("baseSnapshotLogCount") or 0, []
-    seat = body.get("perspective")
+    def patch(self, op, path, value) -> None:
+        self.state = set_path(self.state, op, path, value)
+        steps = path.split("/")
+        if len(steps) < 3:
+            self.seen.clear()
+        else:
+            self.seen.pop((steps[1], steps[2]), None)
+
+    def player(self, who: str) -> dict:
+        return self.state.get(who) or {}
+
+    def zone(self, who: str, zone: str) -> list[dict]:
+        if (who, zone) not in self.seen:
+            cards = [c for c in self.player(who).get(zone) or [] if isinstance(c, dict)]
+            if zone == "inkwell":
+                cards = [{"hidden": c.get("hidden"), "exerted": c.get("exerted", (c.get("card") or {}).get("exerted")),
+                          "card": _card(c["card"]) if isinstance(c.get("card"), dict) else None} for c in cards]
+            else:
+                cards = [_card(c) for c in cards]
+            self.seen[who, zone] = cards
+        return self.seen[who, zone]
+
+    def facts(self, zones: bool) -> dict:
+        out = {"status": self.state.get("status"), "turn_number": self.state.get("turnNumber"),
+               "current_player": self.state.get("currentPlayer"), "has_inked": self.state.get("hasInkedThisTurn")}
+        for who, prefix in (("myPlayer", ""), ("opponent", "opponent_")):
+            ink = self.zone(who, "inkwell")
+            out |= {prefix + "lore": self.player(who).get("lore"), prefix + "deck_count": self.player(who).get("deckCount"),
+                    prefix + "ink_count": len(ink), prefix + "ready_ink": sum(e["exerted"] is False for e in ink)}
+            if zones:
+                out |= {prefix + z: self.zone(who, z) for z in ("field", "items", "inkwell", "discard")}
+        out["hand_count"] = len(self.player("myPlayer").get("hand") or [])
+        out["opponent_hand_count"] = self.player("opponent").get("handCount")
+        if zones:  # an opponent's frame never shows the hand
+            out["hand"] = self.zone("myPlayer", "hand")
+        return out
+
+    def placed(self, instance: str | None) -> dict | None:
+        """Where a card lies; a challenge may have moved it."""
+        if instance:
+            for who, owner in (("myPlayer", "perspective"), ("opponent", "opponent")):
+                for zone in ("field", "items", "hand", "discard", "inkwell"):
+                    for c in self.zone(who, zone):
+                        card = c["card"] if zone == "inkwell" else c
+                        if card and card.get("instance_id") == instance:
+                            return {"owner": owner, "zone": zone, "card": card}
+        return None
+
+    def prompt(self, visible: bool) -> dict:
+        source, text = self.state.get("promptSourceCard"), lambda v: None if v is None else json.dumps(v)
+        return {"source_card": _card(source) if isinstance(source, dict) else None,
+                "opponent_pending": self.state.get("opponentHasPendingPrompts"),
+                "prompts": [{"id": p.get("id"), "type": p.get("type"), "message": p.get("message"),
+                             "required": p.get("required"), "min_select": p.get("minSelect"),
+                             "max_select": p.get("maxSelect"), "valid_targets": text(p.get("validTargets")),
+                             "source_card_instance_id": p.get("sourceCardInstanceId"),
+                             "source_ability": p.get("sourceAbility"), "params": text(p.get("params"))}
+                            for p in self.state.get("pendingPrompts") or [] if visible and isinstance(p, dict)]}
+
+
+def _fold(body: dict) -> dict:
+    """States before each frame, and what only the whole game tells (first of all its warnings)."""
+    table, logs = _Table(body.get("baseSnapshot") or {}), body.get("logs") or []
+    seen, states, warnings = body.get("baseSnapshotLogCount") or 0, [], []
+    seat, chosen = body.get("perspective"), False
+    start = {"replay_id": table.state.get("replayId"), "starting_hand": table.zone("myPlayer", "hand")}
+    logged = next((log.get("data") or {} for log in logs if log.get("type") == "MULLIGAN" and log.get("player") == seat), {})
+    logged = logged.get("mulliganCount")
     for frame in body.get("frames") or []:
-        row, warning, count = _facts(state), None, frame.get("logCountAfter")
-        own = frame.get("player") == seat  # an opponent's frame never shows the hand
-        row["hand"] = _hand(state) if own else None
-        first = end = seen
+        kind, taken, count = frame.get("actionType"), frame.get("takenAction") or {}, frame.get("logCountAfter")
+        own = frame.get("player") == seat
+        row, warning = table.facts(own), None
+        if kind == "ATTACK":
+            sides = {s: taken.get(f"{s}InstanceId") for s in ("attacker", "defender")}
+            row |= {f"{s}_before": table.placed(i) for s, i in sides.items()}
+        if kind == "RESPOND_TO_PROMPT":
+            row["prompt"] = table.prompt(own)
+        row["first_log"] = row["end_log"] = seen
         if isinstance(count, int):
             if count < seen:
                 warning, seen = "log_count_decreased", count
             else:
-                warning = "log_count_clamped" if count > total else None
-                end = seen = min(count, total)
+                warning = "log_count_clamped" if count > len(logs) else None
+                row["end_log"] = seen = min(count, len(logs))
+        if warning:
+            warnings.append(warning)
         for p in frame.get("patch") or []:
-            state = set_path(state, p.get("op"), p.get("path"), p.get("value"))
-        swapped = own and frame.get("actionType") == "MULLIGAN"
-        out.append({**row, "first_player": state.get("firstPlayer"),
-                    "hand_after": _hand(state) if swapped else None, "first_log": first, "end_log": end, "warning": warning})
-    return out
+            table.patch(p.get("op"), p.get("path"), p.get("value"))
+        if kind == "ATTACK":
+            row |= {f"{s}_after": table.placed(i) for s, i in sides.items()}
+        if own and kind == "MULLIGAN":
+            row["hand_after"] = table.zone("myPlayer", "hand")
+            held = {c["instance_id"] for c in row["hand"] if c.get("instance_id")}
+            sent = held - {c.get("instance_id") for c in row["hand_after"]}
+            if type(logged) is int and logged != len(sent):
+                warnings.append("mulligan_count_differs")
+        chosen = chosen or kind == "CHOOSE_STARTING_PLAYER"
+        states.append(row | {"first_player": table.state.get("firstPlayer"), "warning": warning})
+    winner = table.state.get("winner")
+    if not chosen:
+        warnings.append("no_starting_player")
+    if winner is not None and body.get("winner") is not None and winner != body["winner"]:
+        warnings.append("winner_differs")
+    return {"states": states, "game": start | {"winner": winner, "first_player": table.state.get("firstPlayer"),
+                                               "warnings": warnings, "final_state": table.facts(True)}}
 
 
 def replay_states(archives: DataFrame) -> DataFrame:
-    """Add ``states``: what the game looked like before each frame (one entry per frame).
+    """Add ``states``, what the game looked like before each frame, and ``game``, what only the whole game tells.
 
     ``state_error`` is set when the format is unknown or a patch cannot be applied.
     """
@@ -191,62 +298,120 @@ def replay_states(archives: DataFrame) -> DataFrame:
             body = json.loads(text)
             if body.get("format") != FORMAT:
                 return None, "unsupported_format"
-            return _fold(body), None
+            return json.dumps(_fold(body)), None
         except Exception as error:
             return None, f"patch_failed: {type(error).__name__}"
 
-    schema = StructType.fromDDL(
-        f"game_id long, body string, states array<{STATE}>, state_error string")
-    target = to_arrow_type(schema["states"].dataType)
-
     def run(batches):
         for batch in batches:
             rows = [one(t) for t in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("game_id"), batch.column("body"),
-                 pa.array([r[0] for r in rows], type=target),
+                [batch.column("game_id"), batch.column("body"), pa.array([r[0] for r in rows], type=pa.string()),
                  pa.array([r[1] for r in rows], type=pa.string())],
-                names=["game_id", "body", "states", "state_error"])
+                names=["game_id", "body", "folded", "state_error"])
     kept = spread(archives.select("game_id", "body"), "game_id")
-    return kept.mapInArrow(run, schema)
+    out = kept.mapInArrow(run, "game_id long, body string, folded string, state_error string")
+    return out.withColumn("_f", F.from_json("folded", f"states array<{STATE}>, game {GAME}")).select(
+        "game_id", "body", "_f.states", "_f.game", "state_error")
 
 
 # --- actions -----------------------------------------------------------------------------
 
-def _first_log(kind: str) -> Column:
-    return F.get(F.filter("frame_logs", lambda l: l["type"] == kind), F.lit(0))
+def _log(logs: Column, kind: str) -> Column:
+    return F.get(F.filter(logs, lambda log: log["type"] == kind), F.lit(0))
 
 
-def normalize_actions(states: DataFrame) -> DataFrame:
-    """One row per frame with type, actor, turn, card, outcome, undo and mulligan facts.
+def _ref(log: Column, i: int = 0) -> Column:
+    return F.get(log["cardRefs"], F.lit(i))
+
+
+def _ability(log: Column) -> Column:
+    return _filled(F.trim(F.regexp_extract(log["message"], r"(?i)\bactivated\s+(.+?)\s+on\s+", 1)))
+
+
+def _filled(c: Column) -> Column:
+    return F.when(c != "", c)
 
-    Turn and active player come from the state before the frame. Missing card facts are
-    inferred from the frame's logs. ``undone`` uses the row's own undo frames.
-    ``segment_player`` also knows the active player of own undo frames, which border turns.
+
+def _parsed(states: DataFrame) -> DataFrame:
+    """One row per game: body ``b``, ``game``, ``undos`` and ``framed``, its frames with state, logs and what follows.
+
+    Logs are cut out for each frame while the game is one row. ``next`` holds, for the three
+    frames that follow, whether they answer a prompt and the ability their logs name.
     """
-    b = states.filter(F.col("state_error").isNull()).select(
-        "game_id", F.from_json("body", BODY).alias("b"), "states")
     undo_of = lambda f: F.regexp_extract(f["actionType"], r"^FREE_UNDO:(\d+)$", 1)
-    undos = F.transform(F.filter("b.frames", lambda f: undo_of(f) != ""), lambda f: F.struct(
-        f["seq"].alias("at"), undo_of(f).cast("long").alias("target")))
+    rows = states.filter(F.col("state_error").isNull()).select(
+        "game_id", F.from_json("body", BODY).alias("b"), "states", "game")
+    rows = rows.withColumn("undos", F.transform(F.filter("b.frames", lambda f: undo_of(f) != ""), lambda f: F.struct(
+        f["seq"].alias("at"), undo_of(f).cast("long").alias("target"))))
     zipped = F.arrays_zip(F.col("b.frames").alias("f"), F.col("states").alias("s"))
-    b = b.withColumn("undos", undos).withColumn("zipped", zipped)
+    rows = rows.withColumn("zipped", F.transform(zipped, lambda z: F.struct(
+        z["f"].alias("f"), z["s"].alias("s"), F.coalesce(F.slice(
+            "b.logs", z["s"]["first_log"] + 1, z["s"]["end_log"] - z["s"]["first_log"]), F.array()).alias("logs"))))
+    look = F.transform("zipped", lambda z: F.struct(
+        z["f"]["seq"].alias("seq"), (z["f"]["actionType"] == "RESPOND_TO_PROMPT").alias("reply"),
+        _log(z["logs"], "ABILITY_ACTIVATED").alias("log")))
+    look = F.transform(look, lambda n: F.struct(
+        n["seq"], n["reply"], n["log"].isNotNull().alias("names"), _ability(n["log"]).alias("ability"),
+        _ref(n["log"])["id"].alias("id"), _ref(n["log"])["name"].alias("name")))
+    rows = rows.withColumn("look", look)
+    return rows.withColumn("framed", F.arrays_zip(
+        F.col("zipped").alias("z"), *[F.slice("look", i + 1, F.size("look")).alias(f"n{i}") for i in (1, 2, 3)]))
+
+
+def _first_player() -> Column:
     chosen = F.filter("zipped", lambda z: z["f"]["actionType"] == "CHOOSE_STARTING_PLAYER")
-    first = F.coalesce(F.get(chosen, F.size(chosen) - 1)["s"]["first_player"],
-                       F.get("zipped", F.size("zipped") - 1)["s"]["first_player"])
+    return F.coalesce(F.get(chosen, F.size(chosen) - 1)["s"]["first_player"], F.col("game.first_player"))
+
+
+def _player(names: Column, player: Column) -> Column:
+    return F.when(player.isNotNull(), F.coalesce(
+        _filled(F.element_at(names, player.cast("string"))), F.concat(F.lit("Player "), player.cast("string"))))
+
+
+def normalize_games(states: DataFrame) -> DataFrame:
+    """One row per game: who played, who won, opening hand, logged mulligan, undos, last state, warnings."""
+    log = F.get(F.filter("b.logs", lambda x: (x["type"] == "MULLIGAN") & (x["player"] == F.col("b.perspective"))), F.lit(0))
+    count = F.col("_log.data.mulliganCount")
+    rows = _parsed(states).withColumn("_log", log)
+    cards = lambda first: F.coalesce(F.slice("_log.cardRefs", first, F.greatest(count, F.lit(0))), F.array())
+    return rows.select(
+        "game_id", "game.replay_id", F.col("b.createdAt").alias("created_at"), "b.perspective",
+        _player(F.col("b.playerNames"), F.col("b.perspective")).alias("perspective_name"),
+        F.col("b.playerNames").alias("player_names"), _first_player().alias("first_player"), "b.winner",
+        F.col("b.victoryReason").alias("victory_reason"), F.col("b.turnCount").alias("turn_count"),
+        F.col("b.fromPlayground").alias("from_playground"), "game.starting_hand",
+        F.coalesce("b.decklist", F.array()).alias("decklist"),
+        F.when(count.isNotNull(), F.struct(count.alias("count"), cards(F.lit(1)).alias("sent_back"),
+                                           cards(F.greatest(count, F.lit(0)) + 1).alias("drawn"))).alias("mulligan_log"),
+        F.transform("undos", lambda u: F.struct(u["at"].alias("undo_seq"), u["target"].alias("target_seq"),
+                                                (u["at"] - 1).alias("invalidated_through_seq"))).alias("undo_ranges"),
+        "game.final_state", "game.warnings")
+
+
+def normalize_actions(states: DataFrame) -> DataFrame:
+    """One row per frame with type, actor, turn, card, outcome, board, prompt, choices, undo and mulligan facts.
+
+    Turn and active player come from the state before the frame. Missing card facts are inferred from the frame's logs;
+    an ability without a card takes it from the next three frames, as long as they answer prompts. ``undone`` uses the
+    row's own undo frames. ``segment_player`` also knows the active player of own undo frames, which border turns.
+    A game with any warning, wherever in the game it arises, has no eligible opening.
+    """
+    b = _parsed(states)
+    covers = lambda seq: lambda u: (u["target"] <= seq) & (seq < u["at"])
     opened = F.exists("zipped", lambda z: (z["f"]["actionType"] == "MULLIGAN")
-                      & z["f"]["player"].eqNullSafe(F.col("b.perspective")))
-    clean = (F.size(chosen) > 0) & ~F.exists("states", lambda x: x["warning"].isNotNull())
+                      & z["f"]["player"].eqNullSafe(F.col("b.perspective"))
+                      & ~F.exists("undos", covers(z["f"]["seq"])))
     seats = F.coalesce(F.size("b.playerNames"), F.lit(0)).isin(-1, 0, 2)
     b = b.select(
-        "game_id", F.col("b.perspective").alias("perspective"), F.col("b.logs").alias("logs"), "undos",
-        F.col("b.playerNames").alias("names"), first.alias("game_first_player"),
-        (opened & clean & seats & F.col("b.perspective").isNotNull()).alias("opening_eligible"),
-        F.posexplode("zipped").alias("pos", "z"))
-    rows = b.select("game_id", "pos", "perspective", "undos", "names", "logs", "game_first_player",
-                    "opening_eligible", "z.f.*", F.col("z.s").alias("s"))
-    logs = F.slice("logs", F.col("s.first_log") + 1, F.col("s.end_log") - F.col("s.first_log"))
-    rows = rows.withColumn("frame_logs", F.coalesce(logs, F.array())).drop("logs")
+        "game_id", F.col("b.perspective").alias("perspective"), "undos", F.col("b.playerNames").alias("names"),
+        _first_player().alias("game_first_player"), F.size("game.warnings").alias("game_warnings"),
+        (opened & (F.size("game.warnings") == 0) & seats & F.col("b.perspective").isNotNull()).alias("opening_eligible"),
+        # the outer form: a plain explode would first filter on the array's size and so parse every body twice
+        F.posexplode_outer("framed").alias("pos", "x")).filter(F.col("pos").isNotNull())
+    rows = b.select("game_id", "pos", "perspective", "undos", "names", "game_first_player", "game_warnings",
+                    "opening_eligible", "x.z.f.*", F.col("x.z.s").alias("s"), F.col("x.z.logs").alias("frame_logs"),
+                    *[f"x.n{i}" for i in (1, 2, 3)])
     raw, taken = F.coalesce("actionType", F.lit("UNKNOWN")), F.col("takenAction")
     kind = F.lower(raw)
     for name, plain in ACTION_TYPES.items():
@@ -254,69 +419,105 @@ def normalize_actions(states: DataFrame) -> DataFrame:
     undo_target = F.regexp_extract(raw, r"^FREE_UNDO:(\d+)$", 1)
     is_undo = undo_target != ""
     playing = F.col("s.status").eqNullSafe(F.lit("playing"))
-    played, boosted = _first_log("CARD_PLAYED"), _first_log("CARD_BOOSTED")
-    ability = _first_log("ABILITY_ACTIVATED")
-    ref = lambda log, i=0: F.get(log["cardRefs"], F.lit(i))
-    attack = raw == "ATTACK"
+    rows = rows.withColumns({
+        "_played": _log(F.col("frame_logs"), "CARD_PLAYED"), "_boosted": _log(F.col("frame_logs"), "CARD_BOOSTED"),
+        "_ability": _log(F.col("frame_logs"), "ABILITY_ACTIVATED")})
+    played, ability = F.col("_played"), F.col("_ability")
+    attack, activates = raw == "ATTACK", raw == "ACTIVATE_ABILITY"
     named = F.coalesce(taken["cardName"], F.lit("")) != ""
-    source_log = F.when((raw == "PLAY_CARD") & ~named, ref(played)).when(
-        (raw == "BOOST") & ~named, ref(boosted)).when(raw == "ACTIVATE_ABILITY", ref(ability))
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    source_log = F.when((raw == "PLAY_CARD") & ~named, _ref(played)).when(
+        (raw == "BOOST") & ~named, _ref(F.col("_boosted"))).when(activates, _ref(ability))
+    # the first of the next frames whose logs name an ability, before any that answers no prompt
+    later, found = F.lit(True), []
+    for i in (1, 2, 3):
+        later = later & F.coalesce(F.col(f"n{i}.reply"), F.lit(False))
+        found.append(F.when(later & F.col(f"n{i}.names"), F.col(f"n{i}")))
+    rows = rows.withColumn("_then", F.when(activates & ~named & blank(_ref(ability)["name"]), F.coalesce(*found)))
+    then = F.col("_then")
 
     def card(field, attacker, log_field):
         own = F.when(attack, taken[attacker]).otherwise(taken[field])
         inferred = source_log[log_field]
-        replace = (raw.isin("PLAY_CARD", "BOOST") & ~named & inferred.isNotNull()) | (
-            (raw == "ACTIVATE_ABILITY") & (F.coalesce(own, F.lit("")) == ""))
-        return F.when(replace, F.coalesce(inferred, own)).otherwise(own)
+        replace = (raw.isin("PLAY_CARD", "BOOST") & ~named & inferred.isNotNull()) | (activates & blank(own))
+        return F.coalesce(then[log_field], F.when(replace, F.coalesce(inferred, own)).otherwise(own))
+
     sang = F.concat(F.lit(" "), F.lower(F.coalesce(played["message"], F.lit(""))), F.lit(" ")).contains(" sang ")
-    ability_text = F.regexp_extract(ability["message"], r"(?i)\bactivated\s+(.+?)\s+on\s+", 1)
-    filled = lambda c: F.when(c != "", c)
-    choice = F.get(F.filter("frame_logs", lambda l: l["type"] == "CHOICE_RESOLVED"), F.lit(0))
-    picked = F.regexp_extract(choice["message"], r"(?i)\bchose\s+(.+)$", 1)
-    combat = F.filter("frame_logs", lambda l: (l["type"] == "CARD_ATTACK")
-                      & l["data"]["attackerBaseStrength"].isNotNull())
+    infers_play = (raw == "PLAY_CARD") & ~named & (F.size(played["cardRefs"]) > 0)
+    infers = infers_play | ((raw == "BOOST") & ~named & (F.size(F.col("_boosted.cardRefs")) > 0)) | (
+        activates & (ability.isNotNull() | then.isNotNull()))
+    option = lambda m: _filled(F.trim(F.regexp_replace(F.trim(
+        F.regexp_extract(m, r"(?i)\bchose\s+(.+)$", 1)), '^"+|"+$', "")))
+    no_refs = lambda log: F.coalesce(F.size(log["cardRefs"]), F.lit(0)) <= 0
+    choices = F.transform(F.filter("frame_logs", lambda log: log["type"] == "CHOICE_RESOLVED"), lambda log: F.struct(
+        log["message"].alias("message"), F.coalesce(log["cardRefs"], F.array()).alias("cards"),
+        F.when(no_refs(log), option(log["message"])).alias("option")))
+    answers = raw == "RESPOND_TO_PROMPT"
+    combat = F.filter("frame_logs", lambda log: (log["type"] == "CARD_ATTACK")
+                      & log["data"]["attackerBaseStrength"].isNotNull())
     fight = F.get(combat, F.size(combat) - 1)
     gone = lambda c: F.coalesce(taken[c], F.lit(False))
     outcome = F.when(gone("attackerBanished") & gone("defenderBanished"), "mutual_banish").when(
         gone("defenderBanished"), "defender_banished").when(
         gone("attackerBanished"), "attacker_banished").otherwise("neither_banished")
+    side = lambda who: F.struct(
+        taken[f"{who}CardId"].alias("card_id"), taken[f"{who}InstanceId"].alias("instance_id"),
+        taken[f"{who}Name"].alias("name"), F.col(f"s.{who}_before").alias("before"), F.col(f"s.{who}_after").alias("after"))
     own = F.col("player").eqNullSafe(F.col("perspective"))
     before = F.filter(F.col("s.hand.instance_id"), lambda i: i.isNotNull())
     after = F.filter(F.col("s.hand_after.instance_id"), lambda i: i.isNotNull())
     swap = (raw == "MULLIGAN") & own
     with_instance = lambda cards, keep: F.filter(cards, lambda c: F.array_contains(keep, c["instance_id"]))  # noqa: E731,E501
-    logged = F.get(F.filter("frame_logs", lambda l: (l["type"] == "MULLIGAN")
-                            & (l["player"] == F.col("perspective"))), F.lit(0))["data"]["mulliganCount"]
-    cover = F.filter("undos", lambda u: (u["target"] <= F.col("seq")) & (F.col("seq") < u["at"]))
+    logged = F.get(F.filter("frame_logs", lambda log: (log["type"] == "MULLIGAN")
+                            & (log["player"] == F.col("perspective"))), F.lit(0))["data"]["mulliganCount"]
+    cover = F.filter("undos", covers(F.col("seq")))
+    active = F.when(playing & ~is_undo, F.col("s.current_player"))
     return rows.select(
-        "game_id", "pos", "seq", F.when(is_undo, "undo").otherwise(kind).alias("type"),
+        "game_id", "pos", "seq", raw.alias("raw_type"), F.when(is_undo, "undo").otherwise(kind).alias("type"),
         F.col("player").alias("actor"), own.alias("actor_is_perspective"),
-        F.coalesce(F.element_at("names", F.col("player").cast("string")),
-                   F.concat(F.lit("Player "), F.col("player").cast("string"))).alias("actor_name"),
-        F.when(playing & ~is_undo, F.col("s.current_player")).alias("active_player"),
+        _player(F.col("names"), F.col("player")).alias("actor_name"),
+        active.alias("active_player"), _player(F.col("names"), active).alias("active_player_name"),
         F.when(playing & (own | ~is_undo), F.col("s.current_player")).alias("segment_player"),
-        F.when(playing, F.col("s.turn_number")).alias("gameplay_turn"),
-        "perspective", "game_first_player", "opening_eligible",
+        F.when(playing, F.col("s.turn_number")).alias("gameplay_turn"), F.col("turnNumber").alias("frame_turn"),
+        "perspective", "game_first_player", "game_warnings", "opening_eligible",
         card("cardId", "attackerCardId", "id").alias("card_id"),
         card("cardName", "attackerName", "name").alias("card_name"),
+        F.when(attack, taken["attackerInstanceId"]).otherwise(taken["cardInstanceId"]).alias("card_instance_id"),
+        taken["cardType"].alias("card_type"), taken["source"].alias("source"),
         F.when(attack, taken["defenderCardId"]).alias("target_card_id"),
-        F.coalesce(filled(taken["abilityName"]), F.when(raw == "ACTIVATE_ABILITY", filled(F.trim(ability_text))))
+        F.when(attack, taken["defenderInstanceId"]).alias("target_instance_id"),
+        F.when(attack, taken["defenderName"]).alias("target_name"),
+        F.coalesce(then["ability"], _filled(taken["abilityName"]), F.when(activates, _ability(ability)))
         .alias("ability_name"),
-        F.when((raw == "PLAY_CARD") & ~named & ref(played)["id"].isNotNull(),
-               F.when(sang, "sing").otherwise("play")).alias("play_method"),
-        F.when((raw == "RESPOND_TO_PROMPT") & (F.coalesce(F.size(choice["cardRefs"]), F.lit(0)) <= 0),
-               filled(F.trim(F.regexp_replace(F.trim(picked), '^"+|"+$', "")))).alias("choice_option"),
-        taken["loreGained"].alias("lore_gained"),
+        F.when(infers_play, F.when(sang, "sing").otherwise("play")).alias("play_method"),
+        F.when(infers_play & sang, _ref(played, 1)).alias("singer"),
+        infers.alias("derived_from_logs"), then["seq"].alias("derived_from_followup_seq"),
+        F.when(answers, choices).alias("choices"),
+        F.when(answers, F.get(choices, F.lit(0))["option"]).alias("choice_option"),
+        F.when(answers, F.col("s.prompt")).alias("prompt"),
+        taken["loreGained"].alias("lore_gained"), taken["newLoreTotal"].alias("new_lore_total"),
         F.when(attack, outcome).alias("challenge_outcome"),
         F.when(attack, fight["data"]["actualDamageToDefender"]).alias("damage_dealt"),
+        F.when(attack, F.struct(
+            side("attacker").alias("attacker"), side("defender").alias("defender"),
+            *[taken[c].alias(n) for n, c in (
+                ("damage_to_defender", "damageToDefender"), ("damage_to_attacker", "damageToAttacker"),
+                ("defender_banished", "defenderBanished"), ("attacker_banished", "attackerBanished"))],
+            F.when(fight.isNotNull(), F.struct(*[fight["data"][c].alias(n) for n, c in COMBAT.items()])).alias("combat"),
+            fight["message"].alias("resolution_message"))).alias("challenge"),
         F.when(is_undo, undo_target.cast("long")).alias("target_seq"),
         (F.size(cover) > 0).alias("undone"),
         F.array_max(F.transform(cover, lambda u: u["at"])).alias("undone_by_seq"),
         F.when(raw == "CHOOSE_STARTING_PLAYER", F.col("s.first_player")).alias("first_player"),
-        F.when(own, F.col("s.lore")).alias("lore"), F.when(own, F.col("s.hand_count")).alias("hand_count"),
-        F.when(own, F.col("s.hand")).alias("hand"),
-        F.when(own, F.col("s.ink_count")).alias("ink_count"),
-        F.when(own, F.col("s.ready_ink")).alias("ready_ink"),
+        *[F.when(own, F.col(f"s.{c}")).alias(c) for c in ("lore", "hand_count", "hand", "ink_count", "ready_ink")],
+        F.when(own, F.struct(*[F.col(f"s.{c}").alias(c) for c in (
+            "status", "current_player", "turn_number", "has_inked", "deck_count", "field", "items", "inkwell", "discard",
+            "opponent_lore", "opponent_hand_count", "opponent_deck_count", "opponent_field", "opponent_items",
+            "opponent_inkwell", "opponent_ink_count", "opponent_ready_ink", "opponent_discard")])).alias("board"),
+        F.transform("frame_logs", lambda log: F.struct(
+            log["id"].alias("id"), log["type"].alias("type"), log["player"].alias("player"),
+            log["turnNumber"].alias("turn_number"), log["message"].alias("message"),
+            F.coalesce(log["cardRefs"], F.array()).alias("cards"))).alias("logs"),
         F.when(swap, F.col("s.hand")).alias("mulligan_hand"),
         F.when(swap, with_instance(F.col("s.hand"), F.array_intersect(before, after))).alias("mulligan_kept"),
         F.when(swap, with_instance(F.col("s.hand"), F.array_except(before, after))).alias("mulligan_sent"),

@@ -94,7 +94,7 @@ def flatten_teams(docs: DataFrame, id_field: str = "player_id") -> DataFrame:
     slug, name = _text(F.lower("t.team.slug")), _text("t.team.name")
     rows = t.select(*docs.columns, slug.alias("slug"), name.alias("team_name"),
                     F.col(f"t.members.{id_field}").alias("_ids"),
-                    F.posexplode("t.members").alias("pos", "m"))
+                    F.posexplode_outer("t.members").alias("pos", "m")).filter(F.col("pos").isNotNull())
     number = F.expr(f"try_cast(m.{id_field} as bigint)")
     role = F.trim(F.coalesce(F.when(F.col("m.role") != "", F.col("m.role")), F.lit("member")))
     shown = _text("m.preferred_display_name")

@@ -67,7 +67,7 @@ def flatten_events(docs: DataFrame) -> dict[str, DataFrame]:
         F.col("settings.event_lifecycle_status").alias("lifecycle_status"),
         F.col("starting_player_count").alias("player_count"), "registered_user_count",
         "capacity", "event_is_online")
-    phase = e.select("event_id", F.posexplode("tournament_phases").alias("phase_pos", "p")).filter(
+    phase = e.select("event_id", F.posexplode_outer("tournament_phases").alias("phase_pos", "p")).filter(
         F.col("p.id").isNotNull())
     phases = phase.select(
         F.col("p.id").alias("phase_id"), "event_id", F.col("p.phase_name").alias("phase_name"),
@@ -75,7 +75,7 @@ def flatten_events(docs: DataFrame) -> dict[str, DataFrame]:
         F.col("p.status").alias("status"))
     rounds = phase.select(
         "event_id", F.col("p.id").alias("phase_id"), F.col("p.phase_name").alias("phase_name"),
-        "phase_pos", F.posexplode("p.rounds").alias("round_pos", "r")).filter(
+        "phase_pos", F.posexplode_outer("p.rounds").alias("round_pos", "r")).filter(
         F.col("r.id").isNotNull()).select(
         F.col("r.id").alias("round_id"), "event_id", "phase_id", "phase_name",
         F.col("r.round_number").alias("round_number"), F.col("r.round_type").alias("round_type"),
@@ -104,7 +104,7 @@ def flatten_standings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Rows without a player are skipped; a row without a registration keeps its player. The
     last row of a player wins.
     """
-    rows = docs.select("event_id", F.posexplode(F.from_json("body", STANDINGS)).alias("pos", "s"))
+    rows = docs.select("event_id", F.posexplode_outer(F.from_json("body", STANDINGS)).alias("pos", "s"))
     rows = rows.filter(F.col("s.player.id").isNotNull())
     status = "s.user_event_status"
     players = top_per_key(rows.select(

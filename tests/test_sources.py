@@ -287,3 +287,62 @@ def test_folded_keys_and_titles(spark):
     from matchloom.functions.labels import colors_label
     row = spark.sql("select 'STRAßE  Σς' k, array('ruby-steel') c").select(tx.card_key(F.col("k")), colors_label("c")).first()
     assert tuple(row) == ("strasse σσ", "Ruby-Steel")
+
+
+def test_follow_up_stops_at_a_frame_that_answers_nothing(spark):
+    import json
+    from matchloom.sources import archives as a
+    ability = {"type": "ABILITY_ACTIVATED", "message": "Ann activated Glow on Lamp", "cardRefs": [{"id": "8-1", "name": "Lamp"}]}
+
+    def game(game_id, kinds, log_at):
+        frames = [{"seq": i, "player": 1, "actionType": k, "logCountAfter": i + 1, "patch": []} for i, k in enumerate(kinds)]
+        logs = [ability if i == log_at else {"type": "NOTE"} for i in range(len(kinds))]
+        return game_id, json.dumps({"format": a.FORMAT, "perspective": 1, "frames": frames, "logs": logs})
+    reply, act = "RESPOND_TO_PROMPT", "ACTIVATE_ABILITY"
+    rows = [game(1, [act, reply, reply, reply, reply], 3), game(2, [act, reply, reply, reply, reply], 4),
+            game(3, [act, reply, "QUEST", reply], 3), game(4, [act], 9), game(5, [act, act, reply], 2),
+            (6, json.dumps({"format": a.FORMAT, "frames": []}))]
+    docs = spark.createDataFrame(rows, "game_id long, body string")
+    got = a.normalize_actions(a.replay_states(docs)).filter("type = 'activate_ability'").select(
+        "game_id", "seq", "card_name", "derived_from_followup_seq", "game_warnings").orderBy("game_id", "seq").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "Lamp", 3, 1), (2, 0, None, None, 1), (3, 0, None, None, 1), (4, 0, None, None, 1),
+                                       (5, 0, None, None, 1), (5, 1, "Lamp", 2, 1)]
+    assert [r.warnings for r in a.normalize_games(a.replay_states(docs)).collect()] == [["no_starting_player"]] * 6
+
+
+def test_board_is_read_again_after_a_patch(spark):
+    import json
+    from matchloom.sources import archives as a
+    frames = [
+        {"seq": 0, "player": 1, "actionType": "QUEST", "patch": [{"op": "replace", "path": "/myPlayer/field/0/damage", "value": 2}]},
+        {"seq": 1, "player": 1, "actionType": "QUEST", "patch": [{"op": "replace", "path": "/myPlayer", "value": {"hand": [{"id": "1-1"}]}}]},
+        {"seq": 2, "player": 2, "actionType": "QUEST", "patch": []}, {"seq": 3, "player": 1, "actionType": "QUEST", "patch": []}]
+    body = {"format": a.FORMAT, "perspective": 1, "frames": frames, "logs": [],
+            "baseSnapshot": {"myPlayer": {"field": [{"id": "3-1", "instanceId": "a", "cardsUnder": [1, 2]}], "inkwell": [
+                {"exerted": False, "card": {"id": "i"}}, {"card": {"exerted": True}}, "odd"]}}}
+    rows = a.normalize_actions(a.replay_states(spark.createDataFrame([(1, json.dumps(body))], "game_id long, body string")))
+    got = rows.orderBy("seq").collect()
+    assert [(c.damage, c.cards_under) for r in got[:2] for c in r.board.field] == [(None, 2), (2, 2)]
+    assert got[0].ink_count == 2 and got[0].ready_ink == 1 and got[2].board is None
+    assert got[3].board.field == [] and [c.id for c in got[3].hand] == ["1-1"]
+
+
+def test_pages_and_requests_meet_in_blocks_of_any_size(spark):
+    from matchloom.plans.retrieval import retrieve_pages
+    pages = [(i, f"common words Page{i % 7} {'special treasure' if i % 3 == 0 else 'plain'} number{i}") for i in range(60)]
+    asks = [(i, f"common treasure number{i}", [f"Page{i % 7}", ""]) for i in range(25)] + [(99, "nothing fits", ["Absent"])]
+    p = spark.createDataFrame(pages, "page_id long, text string")
+    r = spark.createDataFrame(asks, "request_id long, text string, names array<string>")
+    want = {}
+    for rid, text, names in asks:
+        terms = {w for w in text.lower().split() if len(w) >= 5 and w.isalpha()}
+        scored = sorted((-(len(terms & {w for w in t.lower().split() if w.isalpha()}) + 20 * sum(
+            n.lower() in t.lower() for n in names if n)), pid) for pid, t in pages)
+        want[rid] = [(pid, -s) for s, pid in scored[:3] if s]
+    for kw in ({}, {"terms_per_pass": 7, "block_bytes": 100}):
+        got = {}
+        for row in retrieve_pages(r, p, 3, **kw).orderBy("request_id", "rank").collect():
+            got.setdefault(row.request_id, []).append((row.page_id, row.score))
+        assert got == {k: v for k, v in want.items() if v}
+    empty = spark.createDataFrame([], p.schema)
+    assert retrieve_pages(r, empty).collect() == [] and retrieve_pages(spark.createDataFrame([], r.schema), p).collect() == []
