@@ -43,7 +43,7 @@ from matchloom.session import materialize
 
 CUT = re.compile(r"(?<=\S)(?= )")
 WIDE = 4096  # pairs of a group beyond which equal ids are taken together
-BLOCK_UNITS = 500_000  # units of a block, or one document
+BLOCK_UNITS = 200_000  # units of a block, or one document
 SLICE_CHARS = 1_000_000  # characters whose units are learned together, or one document
 MOST_UNITS, MOST_CHARS = 200_000, 32_000_000  # units a worker remembers
 BLOCK_PARTS = ("ids", "n_a", "n_b", "n_groups", "n_links", "digest", "length", "seq", "links", "pair", "times", "pair_a")
@@ -302,6 +302,7 @@ def blocks_of(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         at = np.cumsum(n) - n
         held = np.unique(np.repeat(of, n[unit]) * max(len(pairs), 1) + pair[spans(at[unit], n[unit])])
         docs_with = np.bincount(held % max(len(pairs), 1), minlength=len(pairs))
+        del held, each, of, unit, link, doc
         a, b = pairs >> 32, pairs & 0xFFFFFFFF
         regular = units.pair.same[a] == b
         np.add.at(same, a[regular], docs_with[regular])
