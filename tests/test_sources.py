@@ -335,8 +335,8 @@ def test_pages_and_requests_meet_in_blocks_of_any_size(spark):
     r = spark.createDataFrame(asks, "request_id long, text string, names array<string>")
     want = {}
     for rid, text, names in asks:
-        terms = {w for w in text.lower().split() if len(w) >= 5 and w.isalpha()}
-        scored = sorted((-(len(terms & {w for w in t.lower().split() if w.isalpha()}) + 20 * sum(
+        found = lambda t: set(re.findall("[a-z]{5,}", t.lower()))
+        scored = sorted((-(len(found(text) & found(t)) + 20 * sum(
             n.lower() in t.lower() for n in names if n)), pid) for pid, t in pages)
         want[rid] = [(pid, -s) for s, pid in scored[:3] if s]
     for kw in ({}, {"terms_per_pass": 7, "block_bytes": 100}):
