@@ -295,65 +295,6 @@ def test_suffix_tree(docs):
     assert all(r["score"] < 0 for r in got)
 
 
-def brute_tree(texts, depth, least, start, base, weights):
-    """Log share of each text's symbols, from dictionaries."""
-    counts = defaultdict(Counter)
-    for t, c in zip(texts, weights):
-        led = (start, *t)
-        for i in range(1, len(led)):
-            for d in range(min(depth, i) + 1):
-                counts[led[i - d:i]][led[i]] += c
-    size = {k: sum(v.values()) for k, v in counts.items()}
-    passed = {()} | {k for k, v in counts.items() if k and size[k] >= least and sum(
-        n * math.log(n / size[k] * size[k[1:]] / counts[k[1:]][x]) for x, n in v.items() if n) >= suffix_tree.LEAST_GAIN}
-
-    def share(k, x):
-        above = share(k[1:], x) if k else base(x)
-        return (counts[k][x] + suffix_tree.SMOOTHING * above) / (size.get(k, 0) + suffix_tree.SMOOTHING)
-
-    out = []
-    for t in texts:
-        led = (start, *t)
-        out.append(sum(math.log(share(next(led[i - d:i] for d in range(min(depth, i), -1, -1)
-                                           if led[i - d:i] in passed), led[i])) for i in range(1, len(led))))
-    return out
-
-
-def test_suffix_tree_contexts(spark, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "BLOCK_WORDS", 300)
-    rng = np.random.default_rng(8)
-    names = ["red", "green", "blue", "grün", "x"]
-    rows = []
-    for i in range(120):
-        at, text = int(rng.integers(5)), []
-        for _ in range(30):  # each word mostly tells the next
-            text.append(names[at] if rng.random() < 0.95 else f"odd{rng.integers(50)}")
-            at = (at + 1) % 5 if rng.random() < 0.9 else int(rng.integers(5))
-        rows.append((i, " ".join(text)))
-    rows += [(1000 + i, " ".join(t.split()[::-1])) for i, t in rows[:20]]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(df, F.col("doc_id") >= 1000).collect()}
-    train = Counter(w for i, t in rows if i < 1000 for w in words(t) + [b""])
-    every = sorted({w for _, t in rows for w in words(t) + [b""]})
-    spelled = dict(zip(every, brute_tree([(*w.decode(), "end") for w in every], suffix_tree.DEPTH,
-                                         suffix_tree.LEAST_COUNT, "start", lambda x: 1 / suffix_tree.SYMBOLS,
-                                         [train[w] for w in every])))
-    want = brute_tree([words(t) + [b""] for _, t in rows], suffix_tree.WORDS, suffix_tree.LEAST_COUNT, "start",
-                      lambda x: math.exp(spelled[x]), [int(i < 1000) for i, _ in rows])
-    for (i, _), score in zip(rows, want):
-        assert math.isclose(got[i], score / math.log(10), rel_tol=1e-9)
-    assert all(got[1000 + i] < got[i] - 1 for i in range(20))  # the same words in another order
-
-
-def test_suffix_tree_shares_sum_to_one():
-    tree = suffix_tree.SuffixTree([("", "a", 6), ("", "b", 2), ("a", "b", 3), ("a", "a", 1), ("\x01a", "a", 2)])
-    for context in tree.counts:
-        seen = sum(tree.share(context, s) for s in "ab")
-        rest = tree.share(context, "z") * (suffix_tree.SYMBOLS - 2)
-        assert math.isclose(seen + rest, 1.0, rel_tol=1e-9)
-    assert tree.state("ba") == "a" and tree.state("\x01a") == "\x01a" and tree.state("x") == ""
-
-
 def test_language(docs, table):
     model = langid.fit(table.filter(~langid.held_out(table)))
     got = langid.predict(table, model).join(table.select("doc_id", "lang"), "doc_id")
