@@ -3,12 +3,14 @@
 A text becomes a TF-IDF vector of its byte n-grams (letters only), hashed to a fixed number of dimensions
 and normalised. Each language is described by several centroids, found by spherical k-means on a
 bounded sample of its training documents, and a text gets the language of the centroid with the largest
-cosine. A text whose best cosine lies below what nearly all training documents of that language
-reach is marked as rejected.
+cosine. A text whose best cosine lies well below what nearly all training documents of that language
+reach, leaving out those that made the centroids, is marked as rejected.
 
-The fit takes at most ``DOCS_PER_LANGUAGE`` training documents of a language, chosen by hash; each
-language is fitted in its own task. The model has ``CENTROIDS`` vectors per language. Prediction is a
-projection over whole texts without a shuffle.
+Document frequencies are counted over all training documents, a vector per task. The centroids take at most
+``DOCS_PER_LANGUAGE`` training documents of a language, chosen by hash, and the bound of rejection as many others: first
+the documents of each language are counted, then only those whose hash lies in the first few thousand are read, ordered
+and written, so no task sees more of them. Each language is fitted in its own task. The model has ``CENTROIDS`` vectors
+per language. Prediction is a projection over whole texts without a shuffle.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; rows without a
 language are never learned from; with nothing to learn from everything is ``und``; a null doc_id
@@ -27,14 +29,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import remainder, text_of
+from matchloom.llm.common import picked, remainder, text_of
+from matchloom.session import materialize
 
 DOCS_PER_LANGUAGE = 400
 CENTROIDS = 3
 BITS = 13
 DIMENSIONS = 256 + (1 << BITS)
 TEMPERATURE = 0.05
-REJECTED_SHARE = 0.002
+REJECTED_SHARE = 0.01
+OVERDRAWN = 4  # documents whose hashes are looked at for each one taken
 UNKNOWN = "und"
 NO_LETTER = re.compile(r"[\W\d_]+")
 CHUNK = 1 << 20
@@ -113,29 +117,43 @@ class Languages:
 def fit(docs: DataFrame, lang_column: str = "lang", id_column: str = "doc_id",
         text_column: str = "text") -> Languages:
     """Learn from the given training rows."""
-    rows = docs.select(docs[lang_column].cast("string").alias("lang"), text_of(docs, text_column).alias("text"),
-                       F.xxhash64(docs[id_column], text_of(docs, text_column)).alias("_h")).filter(
-        F.col("lang").isNotNull() & (F.col("text") != ""))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))  # limited in each task first
-    sample = rows.withColumn("_n", first).filter(F.col("_n") <= DOCS_PER_LANGUAGE).select("lang", "text")
-
-    def seen_in(group: pd.DataFrame) -> pd.DataFrame:
-        df = sum((term_counts(t) > 0).astype(np.int64) for t in group["text"])
-        return pd.DataFrame({"n": [len(group)], "df": [df.tolist()]})
-
-    per_language = sample.groupBy("lang").applyInPandas(seen_in, "n long, df array<long>").collect()
-    total = sum(r["n"] for r in per_language)
+    plain = picked(docs, lang=lang_column, doc_id=id_column, text=text_column)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = plain.select(F.col("lang").cast("string").alias("lang"), text.alias("text"),
+                        F.xxhash64("doc_id", text).alias("_h")).filter(F.col("lang").isNotNull() & (F.col("text") != ""))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    unit = F.col("_h").cast("double") / F.lit(float(1 << 64)) + 0.5
+    drawn = rows.join(sizes, "lang").filter(unit * F.col("_rows") <= 2 * OVERDRAWN * DOCS_PER_LANGUAGE).drop("_rows")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    sample = materialize(drawn.withColumn("_n", nth).filter(F.col("_n") <= 2 * DOCS_PER_LANGUAGE).select(
+        "lang", "text", (F.col("_n") % 2 == 0).alias("aside")), "language-sample")
+
+    def seen_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n = np.zeros(DIMENSIONS, np.int64), 0
+        for batch in batches:
+            for t in batch["text"]:
+                df += term_counts(t) > 0
+            n += len(batch)
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"at": np.append(at, -1), "n": np.append(df[at], n)})
+
+    seen = {r["at"]: r["n"] for r in rows.select("text").mapInPandas(seen_in, "at int, n long").groupBy("at").agg(
+        F.sum("n").alias("n")).collect()}  # one number per dimension
+    total = seen.pop(-1, 0)
     if not total:
         return Languages([], np.zeros(0, int), np.zeros((0, DIMENSIONS)), np.zeros(0), np.ones(DIMENSIONS))
-    df = np.sum([np.array(r["df"]) for r in per_language], axis=0)
+    df = np.zeros(DIMENSIONS)
+    df[list(seen)] = list(seen.values())
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
 
     def centre(group: pd.DataFrame) -> pd.DataFrame:
-        points = vectors(group.sort_values("text")["text"].tolist(), idf)
+        group = group.sort_values("text")
+        points, other = (vectors(group.loc[group["aside"] == a, "text"].tolist(), idf) for a in (False, True))
         centres = spherical_means(points, CENTROIDS)
-        own = np.max(points @ centres.T, axis=1)
+        own = np.max((other if len(other) else points) @ centres.T, axis=1)  # documents that made no centroid
+        low, middle = np.quantile(own, [REJECTED_SHARE, 0.5])
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.tolist() for c in centres],
-                             "least": float(np.quantile(own, REJECTED_SHARE))})
+                             "least": float(low - (middle - low) / 2 - 1e-4)})  # and what rounding may take
 
     found = sorted(sample.groupBy("lang").applyInPandas(
         centre, "lang string, centre array<float>, least double").collect())

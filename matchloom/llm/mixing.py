@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import row_keys, text_of
+from matchloom.operators.ordered import number, running
 from matchloom.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,6 +63,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS,
         "quota", F.floor(F.col("target") + 1e-6).cast("long"))
 
 
+def numbered_copies(rows: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``_nth``: 1, 2, ... for rows equal in id, text and source, so that equal rows are spread too."""
+    keys = ["_rid", "_rhash", "_has", "_name"]
+    named = rows.withColumn("_has", F.col("source").isNotNull()).withColumn("_name", F.coalesce("source", F.lit("")))
+    placed = number(named.withColumn("_one", F.lit(1)), keys, [*keys, *order], ROWS_PER_BLOCK)
+    return running(placed, keys, {"_nth": ("sum", "_one")}, ROWS_PER_BLOCK).select(*rows.columns, "_nth")
+
+
 def shuffled_queue(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                    source_column: str = "source") -> DataFrame:
     """Every row with its size, its source's figures and the words of its source before and with it."""
@@ -69,8 +78,8 @@ def shuffled_queue(docs: DataFrame, id_column: str = "doc_id", text_column: str
     base = materialize(docs.select(
         docs[id_column].cast("long").alias("doc_id"), *row_keys(docs, id_column, text_column),
         docs[source_column].cast("string").alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
-        .withColumn("_u", F.xxhash64(F.lit(SEED), "_rid", "_rhash")), "sizes")
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")), "sizes")
+    base = numbered_copies(base).withColumn("_u", F.xxhash64(F.lit(SEED), "_rid", "_rhash", "_nth"))
     sources = materialize(source_targets(base.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))), "sources")
     ranked = base.join(sources, base["source"].eqNullSafe(sources["source"])).select(
@@ -83,7 +92,7 @@ def shuffled_queue(docs: DataFrame, id_column: str = "doc_id", text_column: str
     before = Window.partitionBy("rank").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = materialize(blocks.select(
         "rank", "_block", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before")), "blocks")
-    inside = Window.partitionBy("rank", "_block").orderBy("_u", "_rid", "_rhash", "size").rowsBetween(
+    inside = Window.partitionBy("rank", "_block").orderBy("_u", "_rid", "_rhash", "_nth").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     queue = placed.join(blocks, ["rank", "_block"]).withColumn(
         "cum_end", F.col("_before") + F.sum("size").over(inside))
@@ -171,14 +180,21 @@ def mixed_rows(docs: DataFrame, **columns: str) -> DataFrame:
     plain = docs.toDF(*at.values())
     id_column, text_column = columns.get("id_column", "doc_id"), columns.get("text_column", "text")
     keyed = plain.select("*", *row_keys(plain, at[id_column], at[text_column]))
+    # rows equal in id, text and source share their takes, one each in turn; they may differ in other columns
     times = materialize(taken.groupBy("_rid", "_rhash", F.col("source").alias("_source")).agg(
-        F.sum("_times").alias("_times")).filter("_times > 0"), "times")
+        F.sum("_times").alias("_times"), F.count(F.lit(1)).alias("_copies")).filter("_times > 0"), "times")
     source = F.col(at[columns.get("source_column", "source")]).cast("string")
-    rows = keyed.withColumn("_has", source.isNotNull()).withColumn("_name", F.coalesce(source, F.lit("")))
+    rows = keyed.withColumn("source", source).withColumn("_has", source.isNotNull()).withColumn(
+        "_name", F.coalesce(source, F.lit("")))
     times = times.withColumn("_has", F.col("_source").isNotNull()).withColumn(
         "_name", F.coalesce("_source", F.lit(""))).drop("_source")
     joined = rows.join(times, ["_rid", "_rhash", "_has", "_name"])
-    # equal rows (same id, text and source) share their takes: one each in turn, so none is lost
-    one = joined.dropDuplicates(["_rid", "_rhash", "_has", "_name"])
-    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(
+    single = joined.filter("_copies = 1").withColumn("_nth", F.lit(1).cast("long"))
+    repeated = materialize(joined.filter("_copies > 1"), "repeated")
+    if not repeated.isEmpty():
+        single = single.unionByName(numbered_copies(repeated).select(*single.columns))
+    share = F.floor(F.col("_times") / F.col("_copies")) + F.when(
+        F.col("_nth") <= F.col("_times") % F.col("_copies"), 1).otherwise(0)
+    dealt = single.withColumn("_share", share.cast("int")).filter("_share > 0")
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_share")))).select(
         *at.values()).toDF(*names)

@@ -1,6 +1,7 @@
 """Packing documents into training sequences, first-fit decreasing in random groups (operator 10).
 
-Documents are dealt to groups of about ``GROUP_BYTES`` of text by a hash. A group's documents are
+Documents are dealt to groups of about ``GROUP_BYTES`` of text by a hash of the row and its number, which spreads rows
+that are equal too. A group's documents are
 tokenized and cut into pieces of at most the sequence length; pieces go, longest first, to the
 first sequence with room. A tournament tree over the sequences holds the largest free room of every
 subtree, so finding that sequence takes a walk from the root. What first-fit leaves free in a group
@@ -244,7 +245,7 @@ def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str
     groups = max(1, -(-total // group_bytes))
     dealt = docs.select(docs[id_column].cast("long").alias("doc_id"), text.alias("text"),
                         *row_keys(docs, id_column, text_column)).withColumn(
-        "_group", F.pmod(F.xxhash64(F.lit(SEED), "_rid", "_rhash"), F.lit(groups)))
+        "_group", F.pmod(F.xxhash64(F.lit(SEED), "_rid", "_rhash", F.monotonically_increasing_id()), F.lit(groups)))
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         return pack_group(group, path)
