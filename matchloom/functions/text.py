@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from matchloom.session import materialize
+
 # Characters folded to a plain dash or quote.
 CARD_KEY_DASHES = "–—−"
 NAME_DASHES, NAME_QUOTES = "–—", "’"
@@ -18,11 +21,39 @@ def _squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+@lru_cache(maxsize=1)
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Full case folding as Unicode has it: letters that fold to one letter, from and to, and those that fold to more."""
+    one, many = [], {}
+    for i in range(0x80, 0x110000):
+        c = chr(i)
+        if not 0xD800 <= i < 0xE000 and c.casefold() != c:
+            if len(c.casefold()) == 1:
+                one.append(c)
+            else:
+                many[c] = c.casefold()
+    return "".join(one), "".join(c.casefold() for c in one), many
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding: equal to Python's for every text.
+
+    Expressions only, as keys are made inside lambdas. ASCII texts are lower-cased; only texts with a letter that folds
+    to several are taken apart.
+    """
+    one, folded, many = _folding()
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    single = F.translate(c, upper + one, upper.lower() + folded)
+    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    spelled = F.array_join(F.transform(F.regexp_extract_all(single, F.lit("(?s)(.)"), F.lit(1)), lambda x: F.coalesce(
+        F.try_element_at(table, x), x)), "")
+    return F.when(~c.rlike(r"[^\x00-\x7F]"), F.lower(c)).when(
+        c.rlike("[" + "".join(many) + "]"), spelled).otherwise(single)
+
+
 def card_key(c: Column) -> Column:
     """Dash-folded, case-folded, whitespace-squeezed key of an id or a name."""
-    # lower case is case folding but for these letters; the key is used inside lambdas, so no UDF
-    folded = F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
-    return _squeeze(F.translate(folded, CARD_KEY_DASHES, "---"))
+    return _squeeze(F.translate(casefold(c), CARD_KEY_DASHES, "---"))
 
 
 @F.pandas_udf(StringType())
@@ -100,6 +131,40 @@ def card_ids(json_text: Column) -> Column:
         r'"(?:id|card_id|target_card_id)"\s*:\s*"(\d+-\d+)"'), F.lit(1))))
 
 
+def id_name_pairs(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """Distinct (key, id, name) of every object, at any depth of a JSON document, that holds both.
+
+    The id is under ``card_id`` or ``id``, the name under ``card_name`` or ``name``; both must be texts and the name not
+    blank. Documents are taken apart level by level as variants: a level is one pass over what the last one left.
+    """
+    spark = docs.sparkSession
+    level = docs.select(F.col(key).alias("_key"), F.try_parse_json(body).alias("_v"))
+    found = None
+    while True:
+        level = materialize(level.withColumn("_kind", F.substring(F.schema_of_variant("_v"), 1, 6)), "json-level")
+        objects = level.filter(F.col("_kind") == "OBJECT")
+
+        def text(*names):
+            """The first of the members that is neither absent nor empty, if it is a text."""
+            out = F.lit(None).cast("string")
+            for name in reversed(names):
+                value = F.try_variant_get("_v", f"$.{name}", "variant")
+                kind = F.schema_of_variant(value)
+                shown = F.try_variant_get("_v", f"$.{name}", "string")
+                blank = value.isNull() | F.coalesce(kind == "VOID", F.lit(True)) | shown.isin("", "0", "false") | (
+                    F.substring(kind, 1, 5).isin("OBJEC", "ARRAY") & shown.isin("{}", "[]"))
+                out = F.when(~F.coalesce(blank, F.lit(True)), F.when(kind == "STRING", shown)).otherwise(out)
+            return out
+        pairs = objects.select("_key", text("card_id", "id").alias("id"), text("card_name", "name").alias("name")).filter(
+            F.col("id").isNotNull() & (F.trim("name") != ""))
+        found = pairs if found is None else found.unionByName(pairs)
+        nested = level.filter(F.col("_kind").isin("OBJECT", "ARRAY<"))
+        if nested.isEmpty():
+            return found.distinct().withColumnRenamed("_key", key)
+        level = nested.select("_key", "_v").lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(
+            "_key", F.col("value").alias("_v"))
+
+
 def long_words(c: Column, shortest: int = 5) -> Column:
     """Distinct runs of at least ``shortest`` lower-case letters."""
     return F.array_distinct(F.regexp_extract_all(
@@ -123,6 +188,13 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
         F.concat(fixed, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
 
 
+def request_allowed(body: Column, input_rate: float, output_rate: float, max_output: int, max_cost: float,
+                    max_tokens: int = 272_000, framing: int = 1024) -> Column:
+    """Whether a request stays within its cost and its bound of input tokens."""
+    tokens = F.octet_length(body) + framing
+    return (cost_bound(body, input_rate, output_rate, max_output, framing) <= max_cost) & (tokens <= max_tokens)
+
+
 def cost_bound(body: Column, input_rate: float, output_rate: float, max_output: int,
                framing: int = 1024) -> Column:
     """Upper cost of a serialised request from its byte length; rates are per million."""

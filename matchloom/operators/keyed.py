@@ -79,6 +79,23 @@ def merge_upsert(target: DataFrame, updates: DataFrame, keys: list[str],
     return joined.select(*made)
 
 
+def merge_changes(target: DataFrame, updates: DataFrame, keys: list[str], rules: dict[str, str],
+                  order: list[Column]) -> DataFrame:
+    """The result of ``merge_upsert`` with ``change``: inserted, changed, untouched or absent from the updates.
+
+    ``untouched`` rows were updated with what they already held. One join gives table and changes.
+    """
+    marked = target.withColumn("_was", F.struct(*target.columns))
+    fresh = latest_per_key(updates, keys, order).withColumn("_seen", F.lit(True)).withColumn(
+        "_was", F.lit(None).cast(marked.schema["_was"].dataType))
+    merged = merge_upsert(marked.withColumn("_seen", F.lit(None).cast("boolean")), fresh, keys,
+                          {**rules, "_seen": "overwrite"}, order)
+    same = F.col("_was").eqNullSafe(F.struct(*target.columns))
+    return merged.withColumn("change", classify([
+        ("absent", F.col("_seen").isNull()), ("inserted", F.col("_was").isNull()), ("untouched", same)],
+        "changed")).drop("_was", "_seen")
+
+
 def content_addressed_append(existing: DataFrame, rows: DataFrame, payload: list[str],
                              sha: str = "sha") -> DataFrame:
     """Give each row its content hash; ``created`` is false when the hash is already stored.

@@ -51,6 +51,28 @@ def finding_problem(findings: DataFrame, actions: DataFrame) -> DataFrame:
     ], "valid").alias("problem"))
 
 
+def held_for_review(findings: DataFrame, durations: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Games whose advice speaks of lore in the next turn while one of their cards has an effect that ends before it.
+
+    ``durations``: game_id of cards whose effects expire at the start of the next turn; ``summaries``: game_id, summary.
+    Words may stand in different findings of a game, so a game is looked at as a whole; flags combine before the shuffle.
+    """
+    said = findings.select("game_id", F.lower(F.concat_ws(" ", "observation", "recommendation")).alias("_text"))
+    if summaries is not None:
+        said = said.unionByName(summaries.select("game_id", F.lower("summary").alias("_text")))
+    return said.groupBy("game_id").agg(
+        F.bool_or(F.col("_text").contains("next turn")).alias("_turn"), F.bool_or(F.col("_text").contains("lore")).alias("_lore")
+    ).filter("_turn and _lore").select("game_id").join(durations.select("game_id").distinct(), "game_id")
+
+
+def bundle_dates(bundles: DataFrame) -> DataFrame:
+    """Problem of each bundle's own facts: its dates in order, and something to cite."""
+    return bundles.select("bundle_id", classify([
+        ("no_dates", F.col("effective_from").isNull() | F.col("verified_through").isNull()),
+        ("dates_reversed", F.coalesce(F.col("verified_through") < F.col("effective_from"), F.lit(False))),
+        ("no_citations", F.coalesce(F.col("citations"), F.lit(0)) <= 0)], "valid").alias("problem"))
+
+
 def bundle_problem(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """Integrity of a reference bundle per passage: document known, text present, hash right."""
     docs = documents.select("document_id", F.lit(True).alias("_known"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import normalized_status
 from matchloom.functions.times import instant, same_local_day
-from matchloom.operators.keyed import top_per_key
+from matchloom.operators.keyed import latest_per_key, merge_upsert, top_per_key
+from matchloom.session import path_exists
 
 # Spellings of running and finished states after separators are removed.
 RUNNING = ["LIVE", "ACTIVE", "RUNNING", "STARTED", "INPROGRESS", "EVENTINPROGRESS"]
@@ -138,6 +140,62 @@ def pending_projection(sources: DataFrame, models: DataFrame, key: str, version:
     return sources.join(ready, key, "left_anti")
 
 
+class ReadModel:
+    """A derived table, one row per source key, made of another version of its sources.
+
+    Each refresh appends the rows it made under its own number; the newest row of a key counts. A refresh takes the
+    sources that lack a row of the wanted version, in key order, at most ``limit`` of them. It can be stopped and
+    started again: what was written is not made twice, and a new version makes all rows anew.
+    """
+
+    def __init__(self, spark, root: str, schema: str, key: str):
+        self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
+
+    def _all(self) -> DataFrame:
+        schema = f"{self.schema}, version int, refresh int"
+        if not path_exists(self.spark, self.root):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.root).parquet(f"{self.root}/refresh=*")
+
+    def read(self) -> DataFrame:
+        """The newest row of each key, with its version."""
+        return latest_per_key(self._all(), [self.key], [F.col("refresh").desc()]).drop("refresh")
+
+    def refresh(self, sources: DataFrame, project: Callable[[DataFrame], DataFrame], version: int, limit: int) -> int:
+        """Make and store the next rows; returns how many."""
+        rows = self._all()
+        due = pending_projection(sources, rows.select(self.key, "version").distinct(), self.key, version)
+        number = (rows.agg(F.max("refresh")).first()[0] or 0) + 1
+        made = project(due.orderBy(self.key).limit(limit)).withColumn("version", F.lit(version))
+        path = f"{self.root}/refresh={number}"
+        made.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path).count()
+
+
+def sync_state(current: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Sync state per event after some attempts: state and error are the newest, a success outlives later failures.
+
+    ``attempts``: event_id, attempt_at, state, error, success_at, revision; a failed attempt has no success or revision.
+    """
+    newest = attempts.groupBy("event_id").agg(
+        *[F.max_by(c, F.struct("attempt_at", "state")).alias(c) for c in ("state", "error")],
+        F.max("attempt_at").alias("attempt_at"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("attempt_at"))).alias(c) for c in ("success_at", "revision")])
+    return merge_upsert(current, newest, ["event_id"], {
+        "state": "overwrite", "error": "overwrite", "attempt_at": "prefer_new", "success_at": "prefer_new",
+        "revision": "prefer_new"}, [F.col("attempt_at").desc()])
+
+
+def finish_attempts(log: DataFrame) -> DataFrame:
+    """One row per import attempt from its append-only start and finish rows; unfinished attempts are ``running``."""
+    ended = F.when(F.col("kind") == "finish", F.struct("at", "status", "rows", "error"))
+    return log.groupBy("attempt_id").agg(
+        F.min(F.when(F.col("kind") == "start", F.col("at"))).alias("started_at"), F.max(ended).alias("_end")).select(
+        "attempt_id", "started_at", F.col("_end.at").alias("finished_at"),
+        F.coalesce("_end.status", F.lit("running")).alias("status"), F.col("_end.rows").alias("rows"),
+        F.substring("_end.error", 1, 1000).alias("error"))
+
+
 def pending_by_key(requests: DataFrame, runs: DataFrame, payload: list[str]) -> DataFrame:
     """Decide per request: cached result, restart of a failed run, or a new run.
 
@@ -234,6 +292,14 @@ def latest_error(log: DataFrame, keys: list[str], order: str, error: str) -> Dat
         F.max(order).alias("last_id"), F.max_by(error, order).alias("last_error"))
 
 
+def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Append the rows whose key is not stored yet, one per key: decklists, findings, reports."""
+    spark, fresh = rows.sparkSession, rows.dropDuplicates(keys)
+    if path_exists(spark, path):
+        fresh = fresh.join(spark.read.schema(rows.schema).parquet(path).select(*keys), keys, "left_anti")
+    fresh.select(*rows.columns).write.mode("append").parquet(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Append-only facts: usage, observations, import attempts."""
     rows.write.mode("append").parquet(path)

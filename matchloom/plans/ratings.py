@@ -213,6 +213,14 @@ def run_invariants(run: Run) -> DataFrame:
         (F.col("players") == F.col("seen")).alias("current_matches_players"))
 
 
+def run_counts(run: Run, minimum_matches: int = 0) -> DataFrame:
+    """One row: inputs, history rows, rated players, and players with at least ``minimum_matches`` matches."""
+    return one_row(
+        run.inputs.agg(F.count(F.lit(1)).alias("inputs")), run.history.agg(F.count(F.lit(1)).alias("history")),
+        run.current.agg(F.count(F.lit(1)).alias("players"),
+                        F.count_if(F.col("matches_played") >= minimum_matches).alias("eligible_players")))
+
+
 # --- reads -----------------------------------------------------------------------------
 
 DEEP_PAGE = 10_000

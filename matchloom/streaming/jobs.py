@@ -63,7 +63,14 @@ class KeyedTable:
 
     def __init__(self, spark: SparkSession, root: str, schema: str, keys: list[str], buckets: int = 64):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self.keys, self.buckets = keys, buckets
+        self.keys, self.buckets = keys, self._layout(buckets)
+
+    def _layout(self, wanted: int) -> int:
+        """The number of buckets the table was made with; ``wanted`` counts for a new table only."""
+        path = f"{self.root}/layout"
+        if not path_exists(self.spark, path):
+            self.spark.createDataFrame([(wanted,)], "buckets int").coalesce(1).write.parquet(path)
+        return self.spark.read.schema("buckets int").parquet(path).first()[0]
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
@@ -91,7 +98,7 @@ class KeyedTable:
         staged = materialize(batch, "batch")
         only = self.touched(staged)
         merged = merge_upsert(self.read(version, only), staged, self.keys, rules, order)
-        merged.withColumn("_bucket", self.bucket()).write.mode("overwrite").partitionBy(
+        merged.withColumn("_bucket", self.bucket()).repartition("_bucket").write.mode("overwrite").partitionBy(
             "_bucket").parquet(f"{self.root}/data/version={version}")
         self.spark.createDataFrame([(b,) for b in only], "bucket int").coalesce(1).write.mode(
             "overwrite").parquet(f"{self.root}/manifest/version={version}")

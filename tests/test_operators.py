@@ -139,3 +139,35 @@ def test_insert_ignore_and_content_addressing(spark):
     first = k.content_addressed_append(spark.createDataFrame([], "sha string"), u, ["id", "v"])
     assert first.filter("created").count() == 3
     assert k.content_addressed_append(first, u, ["v", "id"]).filter("created").count() == 0
+
+
+def test_case_folding_equals_the_standard_on_every_code_point(spark):
+    from matchloom.functions.text import casefold
+    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(every[i:i + 1000]) for i in range(0, len(every), 1000)] + ["", "ΟΔΟΣ Σ", "ﬁx ŉ µ ϐ", "STRASSE ß ẞ", "İ", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for r in df.select("t", casefold(F.col("t")).alias("f")).collect():
+        assert r.f == (None if r.t is None else r.t.casefold())
+
+
+def test_pairs_of_ids_and_names_at_any_depth(spark):
+    import json
+    from matchloom.functions.text import id_name_pairs
+    value = {"id": "a", "name": "A", "x": [{"card_id": "", "id": "b", "card_name": "B"}, [[{"card_id": "c", "name": "C", "id": "d"}]],
+             {"id": 5, "name": "n"}, {"id": "e", "name": "  "}, {"id": "f"}, {"card_id": 0, "id": "g", "name": "G", "y": {"id": "a", "name": "A"}},
+             {"card_id": {}, "id": "h", "name": "H"}, {"card_id": [1], "id": "i", "name": "I"}, None, "text"]}
+    docs = spark.createDataFrame([(1, json.dumps(value)), (2, "not json"), (3, None), (4, "[]")], "k long, body string")
+    got = sorted(tuple(r) for r in id_name_pairs(docs, "k", "body").collect())
+    assert got == [(1, "a", "A"), (1, "b", "B"), (1, "c", "C"), (1, "g", "G"), (1, "h", "H")]
+
+
+def test_keyed_table_keeps_its_bucket_count(spark):
+    from matchloom.session import scratch_path
+    from matchloom.streaming.jobs import KeyedTable
+    root = scratch_path(spark, "kept-buckets")
+    schema, order = "k long, v long", [F.col("v").desc()]
+    KeyedTable(spark, root, schema, ["k"], 5).upsert(spark.range(40).selectExpr("id k", "id v"), 0, {"v": "overwrite"}, order)
+    again = KeyedTable(spark, root, schema, ["k"])
+    assert again.buckets == 5
+    again.upsert(spark.range(10, 50).selectExpr("id k", "id * 10 v"), 1, {"v": "overwrite"}, order)
+    assert sorted(map(tuple, again.read().collect())) == [(k, k if k < 10 else k * 10) for k in range(50)]
