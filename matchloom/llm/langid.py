@@ -123,7 +123,8 @@ def fit(docs: DataFrame, lang_column: str = "lang", id_column: str = "doc_id",
                         F.xxhash64("doc_id", text).alias("_h")).filter(F.col("lang").isNotNull() & (F.col("text") != ""))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
     unit = F.col("_h").cast("double") / F.lit(float(1 << 64)) + 0.5
-    drawn = rows.join(sizes, "lang").filter(unit * F.col("_rows") <= 2 * OVERDRAWN * DOCS_PER_LANGUAGE).drop("_rows")
+    # one row per language, as the model has; without the hint all texts would be dealt by language first
+    drawn = rows.join(F.broadcast(sizes), "lang").filter(unit * F.col("_rows") <= 2 * OVERDRAWN * DOCS_PER_LANGUAGE).drop("_rows")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
     sample = materialize(drawn.withColumn("_n", nth).filter(F.col("_n") <= 2 * DOCS_PER_LANGUAGE).select(
         "lang", "text", (F.col("_n") % 2 == 0).alias("aside")), "language-sample")
