@@ -144,7 +144,8 @@ class WordIds:
 
     def document(self, words: list[bytes]) -> np.ndarray:
         """Ids of a document with its end; the words must have been learned."""
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        row = self.at
+        at = np.array([row[w] for w in words], np.int64)
         return np.append(self.parts.join(self.words.join(at)), np.uint32(END))
 
 
@@ -221,7 +222,7 @@ def pack_group(docs: pd.DataFrame, path: str) -> pd.DataFrame:
     coder = word_ids(path)
     docs = docs.sort_values(["_rid", "_rhash"], kind="stable")
     split = [words_of(t) for t in docs["text"]]
-    coder.learn({w for s in split for w in s})
+    coder.learn(set().union(*split))
     coded = [coder.document(s) for s in split]
     pieces = pack_lengths([len(c) for c in coded])
     ids, group = docs["doc_id"].tolist(), int(docs["_group"].iloc[0])
