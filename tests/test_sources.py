@@ -1,6 +1,7 @@
 import datetime as dt
 import gzip
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
