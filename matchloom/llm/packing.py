@@ -32,6 +32,7 @@ LENGTH = 4096
 END = 2
 GROUP_BYTES = 16 << 20
 SEED = 10
+STRETCH = 4 << 20
 MOST_WORDS = 1_000_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long")
@@ -217,13 +218,28 @@ def pack_lengths(lengths: list[int], room: int = LENGTH) -> list[tuple[int, int,
     return [(d, at, size, b) for b, h in enumerate([h for h in held if h]) for d, at, size in h]
 
 
+def stretches(texts: pd.Series) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``STRETCH`` characters: words take several times the room of their text."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= STRETCH:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def pack_group(docs: pd.DataFrame, path: str) -> pd.DataFrame:
     """Pieces of one group's documents (columns doc_id, text, group), in a fixed order."""
     coder = word_ids(path)
     docs = docs.sort_values(["_rid", "_rhash"], kind="stable")
-    split = [words_of(t) for t in docs["text"]]
-    coder.learn(set().union(*split))
-    coded = [coder.document(s) for s in split]
+    coded = []
+    for stretch in stretches(docs["text"]):
+        split = [words_of(t) for t in stretch]
+        coder.learn(set().union(*split))
+        coded += [coder.document(s) for s in split]
     pieces = pack_lengths([len(c) for c in coded])
     ids, group = docs["doc_id"].tolist(), int(docs["_group"].iloc[0])
     rows, at, last = [], 0, -1
