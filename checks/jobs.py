@@ -17,6 +17,7 @@ from matchloom.sources import archives as a
 from matchloom.sources import catalogs as cat
 from matchloom.sources import conform as cf
 from matchloom.sources import documents as doc
+from matchloom.sources import loads
 from matchloom.sources.history import parse_history
 from matchloom.sources.pages import extract_embedded_json
 
@@ -274,6 +275,43 @@ def load_and_reconcile(spark, sf):
                                  ["order_id", "state", "legacy_id", "ranked"])
 
 
+CUSTOMER_RULES = [
+    cf.Rule("customer_id", "c_custkey", nullable=False), cf.Rule("nation_id", "c_nationkey", nullable=False),
+    cf.Rule("name", "c_name"), cf.Rule("balance", "c_acctbal")]
+NATION_RULES = [cf.Rule("nation_id", "n_nationkey", nullable=False), cf.Rule("name", "n_name")]
+ORDER_RULES = [
+    cf.Rule("order_id", "o_orderkey", nullable=False), cf.Rule("customer_id", "o_custkey", nullable=False),
+    cf.Rule("window_start", "day", "boundary", nullable=False), cf.Rule("ranked", "flag", "flag", nullable=False)]
+
+
+@query("load_table_set", """with o as (select n as load_number, o_orderkey as k, case when n = 2 and o_orderkey % 11 = 0 then -o_custkey else o_custkey end as c, n = 2 and o_orderkey % 29 = 0 as bad from orders, (values (1), (2)) v(n)),
+ c as (select 1 as load_number, c_custkey as k, c_nationkey as p from customer union all select 2, c_custkey, c_nationkey from customer union all select 2, c_custkey, c_nationkey from customer where c_custkey % 7 = 0),
+ r as (select load_number, 'orders' as table_name, count(*) filter (not bad) as rows, count(*) filter (bad) as rejected_rows, 0 as duplicate_keys, count(*) filter (not bad and c not in (select c_custkey from customer)) as orphans from o group by 1
+  union all select load_number, 'customer', count(*), 0, count(*) - count(distinct k), count(*) filter (p not in (select n_nationkey from nation)) from c group by 1
+  union all select n, 'nation', (select count(*) from nation), 0, 0, 0 from (values (1), (2)) v(n)),
+ s as (select 'orders' as table_name, count(*) as visible_rows, sum(o_custkey)::bigint as visible_sum from orders union all select 'customer', count(*), sum(c_custkey)::bigint from customer union all select 'nation', count(*), sum(n_nationkey)::bigint from nation)
+ select load_number, table_name, rows as source_rows, rows as target_rows, true as digest_match, rejected_rows, duplicate_keys::bigint as duplicate_keys, orphans::bigint as orphans, rejected_rows + duplicate_keys + orphans = 0 as valid, visible_rows, visible_sum from r join s using (table_name)""")
+def load_table_set(spark, sf):
+    """A valid load of three tables, then one with rejected rows, repeated keys and orphans: the first stays visible."""
+    orders, customer, nation = (table(spark, sf, n) for n in ("orders", "customer", "nation"))
+    o = F.col("o_orderkey")
+    text = orders.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")).withColumn("flag", (o % 2).cast("int"))
+    broken = text.withColumn("o_custkey", F.when(o % 11 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))).withColumn(
+        "flag", F.when(o % 29 == 0, 2).otherwise(F.col("flag")))
+    repeated = customer.unionByName(customer.filter(F.col("c_custkey") % 7 == 0))
+    tables, reports = loads.TableSet(spark, scratch_path(spark, "table-set")), []
+    relations = [loads.Relation("orders", "customer_id", "customer", "customer_id"),
+                 loads.Relation("customer", "nation_id", "nation", "nation_id")]
+    for number, (some_orders, some_customers) in enumerate(((text, customer), (broken, repeated)), 1):
+        reports.append(tables.load([
+            loads.Table("orders", some_orders, ORDER_RULES, ["order_id"]),
+            loads.Table("customer", some_customers, CUSTOMER_RULES, ["customer_id"]),
+            loads.Table("nation", nation, NATION_RULES, ["nation_id"])], relations).withColumn("load_number", F.lit(number)))
+    seen = [tables.read(name).agg(F.count(F.lit(1)).alias("visible_rows"), F.sum(key).cast("long").alias("visible_sum")).select(
+        F.lit(name).alias("table_name"), "*") for name, key in (("orders", "customer_id"), ("customer", "customer_id"), ("nation", "nation_id"))]
+    return reports[0].unionByName(reports[1]).join(seen[0].unionByName(seen[1]).unionByName(seen[2]), "table_name")
+
+
 @query("normalize_catalog", """select p_partkey, case when p_partkey % 19 = 0 then null else 'B' || substr(p_brand, 7) || '-' || p_partkey end as card_id, p_name || case when p_partkey % 3 = 0 then ' - Gold' else '' end as name, case when p_partkey % 4 = 0 then 'ruby,steel' when p_partkey % 4 = 1 then 'amber' else '' end as colours,
  (p_size % 10)::int as cost, case when p_partkey % 2 = 0 then 'Action/Song' else 'Character' end as card_type, case when p_partkey % 19 = 0 then 'collector_number' else '' end as errors from part where p_partkey % 10 <> 1""")
 def normalize_catalog(spark, sf):

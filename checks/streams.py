@@ -46,14 +46,31 @@ def usage_stream(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("alert_once", "select distinct event_id // 50 as event_id, user_id % 5 as channel_id from events")
+@query("alert_once", "select distinct event_id // 50 as event_id, user_id % 5 as channel_id from events where ts is not null")
 def alert_once(spark, sf):
-    out = scratch_path(spark, "alerts")
     raw = source(spark, sf, "events").select(
         F.expr("event_id div 50").alias("event_id"), (F.col("user_id") % 5).alias("channel_id"),
         F.col("ts").alias("seen_at"))
-    s.once(raw, scratch_path(spark, "cp"), s.alert_once(out)).awaitTermination()
-    return spark.read.parquet(out).select("event_id", "channel_id")
+    table = s.reservations(spark, scratch_path(spark, "alerts"), 8)
+    s.once(raw, scratch_path(spark, "cp"), s.alert_once(table, "1000 days")).awaitTermination()
+    return table.read().select("event_id", "channel_id")
+
+
+@query("alert_batches", """with p as (select user_id as e, event_id % 5 as c, ts, event_id * 4 // (select max(event_id) + 1 from events) as n from events),
+ f as (select * from p where ts is not null qualify ts >= max(ts) over (partition by n) - interval 7 day),
+ g as (select e, c, n, min(ts) as ts from f group by all)
+ select e as event_id, c as channel_id, ts as seen_at, n::bigint as batch from g qualify row_number() over (partition by e, c order by n) = 1""")
+def alert_batches(spark, sf):
+    """All events as four batches, one of them run twice: stale alerts and reserved pairs are left out."""
+    raw = b.table(spark, sf, "events").select(
+        F.col("user_id").alias("event_id"), (F.col("event_id") % 5).alias("channel_id"), F.col("ts").alias("seen_at"),
+        F.col("event_id").alias("n"))
+    top = raw.agg(F.max("n")).first()[0]
+    table = s.reservations(spark, scratch_path(spark, "alerts"), 8)
+    handle, batches = s.alert_once(table, "7 days"), parts(raw, "n", top + 1, 0, 4)
+    for i in (0, 1, 2, 2, 3):
+        handle(batches[i], i)
+    return table.read()
 
 
 @query("incremental_upsert", "select account_id, game_id, min(ts) as first_seen, max(ts) as last_seen, arg_max(event_type, (ts, event_id)) as result from (select user_id as account_id, event_id // 40 as game_id, * from events) group by 1, 2")

@@ -24,24 +24,30 @@ def usage_stream(usage: DataFrame, window: str = "1 day", late: str = "1 day") -
                 "uses", "failures", "total_ms"))
 
 
-def alert_once(reserved: str, fresh_after=None, at: str = "seen_at") -> Callable:
+RESERVED = "event_id long, channel_id long, seen_at timestamp_ntz, batch long"
+
+
+def reservations(spark: SparkSession, root: str, buckets: int = 64) -> KeyedTable:
+    """The table that ``alert_once`` keeps, in buckets by (event, channel)."""
+    return KeyedTable(spark, root, RESERVED, ["event_id", "channel_id"], buckets)
+
+
+def alert_once(reserved: KeyedTable, fresh_for: str = "10 minutes") -> Callable:
     """Batch handler that reserves every (event, channel) once, for ``once``.
 
-    An alert counts if it was not seen before ``fresh_after`` (a timestamp; None: all count) and
-    its pair is not reserved yet, however late it comes. Reservations are kept per batch, and a
-    repeated batch replaces its own, so a batch that is run again reserves the same pairs.
+    An alert counts if it was seen at most ``fresh_for`` before the newest of its batch, which is the batch's
+    own time, and its pair is not reserved yet, however late it comes. A batch reads and rewrites only the
+    buckets of its pairs. Run again, it starts from the state before it and reserves the same pairs; the alerts
+    to send are the rows that carry its number. Alerts without a time are never fresh.
     """
-    keys = ["event_id", "channel_id"]
-
     def reserve(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if fresh_after is None else batch.filter(F.col(at) >= F.lit(fresh_after))
-        rows = rows.groupBy(*keys).agg(F.min(at).alias(at))
-        if path_exists(spark, reserved):
-            known = spark.read.option("basePath", reserved).parquet(f"{reserved}/batch=*").filter(
-                F.col("batch") != batch_id)
-            rows = rows.join(known.select(*keys), keys, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{reserved}/batch={batch_id}")
+        rows = materialize(batch.select(*[c.split()[0] for c in RESERVED.split(", ")[:3]]), "alerts")
+        now = rows.agg(F.max("seen_at")).first()[0]
+        if now is None:
+            return
+        fresh = rows.filter(F.col("seen_at") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {fresh_for}"))
+        reserved.upsert(fresh.withColumn("batch", F.lit(batch_id).cast("long")), batch_id,
+                        {"seen_at": "keep_first", "batch": "keep_first"}, [F.col("seen_at")])
 
     return reserve
 

@@ -48,21 +48,27 @@ def test_alert_is_sent_once_per_channel(spark, tmp_path):
     t = dt.datetime(2026, 1, 1)
     for rows in ([(1, 1, t), (1, 2, t), (1, 1, t)], [(1, 1, t + dt.timedelta(minutes=3)), (2, 1, t)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    out = str(tmp_path / "out")
+    out = s.reservations(spark, str(tmp_path / "out"), 4)
     s.once(stream(spark, tmp_path / "in", schema), str(tmp_path / "cp"), s.alert_once(out)).awaitTermination()
-    assert sorted((x.event_id, x.channel_id) for x in spark.read.parquet(out).collect()) == [(1, 1), (1, 2), (2, 1)]
+    assert sorted((x.event_id, x.channel_id) for x in out.read().collect()) == [(1, 1), (1, 2), (2, 1)]
 
 
 def test_late_and_repeated_alerts(spark, tmp_path):
     schema = "event_id long, channel_id long, seen_at timestamp_ntz"
     t = dt.datetime(2026, 1, 1)
-    handle = s.alert_once(str(tmp_path / "out"), fresh_after=t)
-    batches = [[(1, 1, t)], [(1, 1, t + dt.timedelta(minutes=70)), (9, 9, t - dt.timedelta(days=1))],
-               [(7, 7, t + dt.timedelta(minutes=5))]]
-    for n, rows in enumerate([*batches, batches[-1]]):
-        handle(spark.createDataFrame(rows, schema), min(n, 2))
-    got = spark.read.parquet(str(tmp_path / "out")).select("event_id", "channel_id", "batch").collect()
-    assert sorted(map(tuple, got)) == [(1, 1, 0), (7, 7, 2)]  # again: none; late: sent; stale: none
+    out = s.reservations(spark, str(tmp_path / "out"), 4)
+    handle = s.alert_once(out, "1 hour")
+    batches = [[(1, 1, t)], [(1, 1, t + dt.timedelta(minutes=70)), (9, 9, t - dt.timedelta(days=1)), (8, 8, None)],
+               [(7, 7, t + dt.timedelta(minutes=5)), (7, 7, t + dt.timedelta(minutes=2))], []]
+    for n in (0, 1, 2, 2, 3):
+        handle(spark.createDataFrame(batches[n], schema), n)
+    got = out.read().select("event_id", "channel_id", "batch", "seen_at").collect()
+    # reserved before: none again; a late first sighting: sent; stale or without a time: none
+    assert sorted(map(tuple, got)) == [(1, 1, 0, t), (7, 7, 2, t + dt.timedelta(minutes=2))]
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "data").rglob("*.parquet")}
+    handle(spark.createDataFrame([(7, 7, t)], schema), 4)
+    assert all(p.stat().st_mtime_ns == m for p, m in before.items())  # old versions stay as they are
+    assert len(list((tmp_path / "out" / "data" / "version=4").glob("_bucket=*"))) == 1
 
 
 def test_usage_windows(spark, tmp_path):
