@@ -171,3 +171,26 @@ def test_keyed_table_keeps_its_bucket_count(spark):
     assert again.buckets == 5
     again.upsert(spark.range(10, 50).selectExpr("id k", "id * 10 v"), 1, {"v": "overwrite"}, order)
     assert sorted(map(tuple, again.read().collect())) == [(k, k if k < 10 else k * 10) for k in range(50)]
+
+
+def test_components_of_long_chains_take_few_steps(spark, monkeypatch):
+    import random
+    from matchloom.operators import components
+    written = []
+    plain = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: written.append(label) or plain(df, label))
+    places = list(range(300))
+    random.Random(5).shuffle(places)
+    rows = [(s, a + 10 * s, b + 10 * s) for s in (1, 2) for a, b in zip(places, places[1:]) if (a + b) % 97]
+    rows += [(1, 5000, 5000), (2, None, 3), (2, 6000, 7000)]
+    rows += [(3, 0, 90)] + [(3, a, a - 1) for a in range(90, 1, -1)]  # the smallest node is far from the next
+    found = components.component_labels(spark.createDataFrame(rows, "s int, a long, b long"), ["s"], "a", "b").collect()
+    assert len(written) <= 60
+    group = {}
+    for s, a, b in rows:
+        if a is not None:
+            one, two = (group.setdefault((s, x), [x]) for x in (a, b))
+            if one is not two:
+                one += two
+                group.update({(s, x): one for x in two})
+    assert {(r.s, r.node): r.component for r in found} == {k: min(v) for k, v in group.items()}
