@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
-
-from matchloom.session import materialize
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Characters folded to a plain dash or quote.
 CARD_KEY_DASHES = "–—−"
 NAME_DASHES, NAME_QUOTES = "–—", "’"
+SOME_ROWS = 256  # texts of a batch that are Python objects at a time
 
 
 def _squeeze(c: Column) -> Column:
@@ -131,38 +133,65 @@ def card_ids(json_text: Column) -> Column:
         r'"(?:id|card_id|target_card_id)"\s*:\s*"(\d+-\d+)"'), F.lit(1))))
 
 
+def _unique_members(members: list[tuple]) -> dict:
+    found = dict(members)
+    if len(found) < len(members):
+        raise ValueError("a name comes twice in an object")
+    return found
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _decoder() -> json.JSONDecoder:
+    """Strict JSON; a zero with an exponent is not empty, as with Spark's variants."""
+    return json.JSONDecoder(object_pairs_hook=_unique_members, parse_constant=_no_constant,
+                            parse_float=lambda text: float(text) or "e" in text.lower())
+
+
+def _id_names(decoder: json.JSONDecoder, body: str | None) -> set[tuple[str, str]]:
+    """Pairs of one document; none if it is no JSON."""
+    def text(node, *names):
+        """The first of the members that is neither absent nor empty, if it is a text."""
+        value = next((node[n] for n in names if node.get(n) and node[n] not in ("0", "false")), None)
+        return value.encode("utf-8", "replace").decode() if isinstance(value, str) else None
+    try:
+        left = [decoder.raw_decode(body.lstrip(" \t\r\n"))[0]] if body else []
+    except (ValueError, RecursionError):
+        return set()
+    found = set()
+    while left:
+        node = left.pop()
+        if isinstance(node, dict):
+            pair = text(node, "card_id", "id"), text(node, "card_name", "name")
+            if pair[0] is not None and pair[1] is not None and pair[1].strip(" "):
+                found.add(pair)
+            node = node.values()
+        if not isinstance(node, (str, int, float, type(None))):
+            left += [x for x in node if isinstance(x, (dict, list))]
+    return found
+
+
 def id_name_pairs(docs: DataFrame, key: str, body: str) -> DataFrame:
     """Distinct (key, id, name) of every object, at any depth of a JSON document, that holds both.
 
     The id is under ``card_id`` or ``id``, the name under ``card_name`` or ``name``; both must be texts and the name not
-    blank. Documents are taken apart level by level as variants: a level is one pass over what the last one left.
+    blank. A document is read once, a few at a time, and leaves its task as its distinct pairs.
     """
-    spark = docs.sparkSession
-    level = docs.select(F.col(key).alias("_key"), F.try_parse_json(body).alias("_v"))
-    found = None
-    while True:
-        level = materialize(level.withColumn("_kind", F.substring(F.schema_of_variant("_v"), 1, 6)), "json-level")
-        objects = level.filter(F.col("_kind") == "OBJECT")
-
-        def text(*names):
-            """The first of the members that is neither absent nor empty, if it is a text."""
-            out = F.lit(None).cast("string")
-            for name in reversed(names):
-                value = F.try_variant_get("_v", f"$.{name}", "variant")
-                kind = F.schema_of_variant(value)
-                shown = F.try_variant_get("_v", f"$.{name}", "string")
-                blank = value.isNull() | F.coalesce(kind == "VOID", F.lit(True)) | shown.isin("", "0", "false") | (
-                    F.substring(kind, 1, 5).isin("OBJEC", "ARRAY") & shown.isin("{}", "[]"))
-                out = F.when(~F.coalesce(blank, F.lit(True)), F.when(kind == "STRING", shown)).otherwise(out)
-            return out
-        pairs = objects.select("_key", text("card_id", "id").alias("id"), text("card_name", "name").alias("name")).filter(
-            F.col("id").isNotNull() & (F.trim("name") != ""))
-        found = pairs if found is None else found.unionByName(pairs)
-        nested = level.filter(F.col("_kind").isin("OBJECT", "ARRAY<"))
-        if nested.isEmpty():
-            return found.distinct().withColumnRenamed("_key", key)
-        level = nested.select("_key", "_v").lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(
-            "_key", F.col("value").alias("_v"))
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = _decoder()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SOME_ROWS):
+                part = batch.slice(at, SOME_ROWS)
+                found = [(i, *p) for i, text in enumerate(part.column(1).to_pylist()) for p in _id_names(decoder, text)]
+                rows = pa.array([f[0] for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), *[pa.array([f[n] for f in found], pa.string()) for n in (1, 2)]],
+                    names=[key, "id", "name"])
+    some = docs.select(F.col(key), F.col(body).alias("_body"))
+    schema = StructType([some.schema[0], StructField("id", StringType()), StructField("name", StringType())])
+    return some.mapInArrow(pairs, schema).distinct()
 
 
 def long_words(c: Column, shortest: int = 5) -> Column:

@@ -161,6 +161,21 @@ def test_pairs_of_ids_and_names_at_any_depth(spark):
     assert got == [(1, "a", "A"), (1, "b", "B"), (1, "c", "C"), (1, "g", "G"), (1, "h", "H")]
 
 
+def test_pairs_of_ids_and_names_read_a_document_once(spark):
+    import glob
+    from matchloom.functions.text import id_name_pairs
+    from matchloom.session import shared_dir
+    bodies = ['{"id":"a","name":"A"} tail', '{"id":"b","id":"c","name":"B"}', '{"id":NaN,"x":{"id":"d","name":"D"}}',
+              '{"card_id":0.0,"id":"e","name":"E"}', '{"card_id":0e0,"id":"f","name":"F"}', '{"card_id":"0","id":"g","name":"G"}',
+              '{"id":"h","card_name":"false","name":"H"}', '{"id":"\\ud800","name":"I"}', '{"id":"j","name":"\\t"}', "", None]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "k int, body string").repartition(3)
+    levels = f"{shared_dir(spark)}/matchloom/{spark.sparkContext.applicationId}/json-level*"
+    before = len(glob.glob(levels))
+    found = id_name_pairs(docs, "k", "body")
+    assert sorted(map(tuple, found.collect())) == [(0, "a", "A"), (3, "e", "E"), (5, "g", "G"), (6, "h", "H"), (7, "?", "I"), (8, "j", "\t")]
+    assert len(glob.glob(levels)) == before and found.columns == ["k", "id", "name"]
+
+
 def test_keyed_table_keeps_its_bucket_count(spark):
     from matchloom.session import scratch_path
     from matchloom.streaming.jobs import KeyedTable
