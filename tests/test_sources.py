@@ -347,3 +347,14 @@ def test_pages_and_requests_meet_in_blocks_of_any_size(spark):
         assert got == {k: v for k, v in want.items() if v}
     empty = spark.createDataFrame([], p.schema)
     assert retrieve_pages(r, empty).collect() == [] and retrieve_pages(spark.createDataFrame([], r.schema), p).collect() == []
+
+
+def test_folded_states_leave_a_few_games_at_a_time():
+    import pyarrow as pa
+    bodies = [json.dumps({"format": a.FORMAT, "frames": [{"seq": i}]}) for i in range(1000)] + [None, "{}"]
+    batch = pa.RecordBatch.from_pydict({"game_id": list(range(len(bodies))), "body": bodies})
+    out = list(a._folded([batch]))
+    assert max(b.num_rows for b in out) <= a.GAMES_AT_ONCE < 1000
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["game_id"], r["body"]) for r in rows] == list(enumerate(bodies))
+    assert [r["state_error"] for r in rows[-3:]] == [None, "patch_failed: TypeError", "unsupported_format"]
