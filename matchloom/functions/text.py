@@ -121,9 +121,12 @@ def text_chunks(c: Column, limit: int) -> Column:
             rest = rest[at:].lstrip()
         return out + [rest] if rest else out
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def pieces(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else cut(v))
+    @F.arrow_udf(ArrayType(StringType()))
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            for at in range(0, len(values), SOME_ROWS):
+                yield pa.array([None if v is None else cut(v) for v in values.slice(at, SOME_ROWS).to_pylist()],
+                               pa.list_(pa.string()))
     return pieces(c)
 
 

@@ -358,3 +358,10 @@ def test_folded_states_leave_a_few_games_at_a_time():
     rows = [r for b in out for r in b.to_pylist()]
     assert [(r["game_id"], r["body"]) for r in rows] == list(enumerate(bodies))
     assert [r["state_error"] for r in rows[-3:]] == [None, "patch_failed: TypeError", "unsupported_format"]
+
+
+def test_text_chunks_of_more_rows_than_are_cut_at_once(spark):
+    texts = [None if i % 7 == 0 else ("word " * (i % 40)).strip() for i in range(700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for r in df.select("t", tx.text_chunks(F.col("t"), 50).alias("c")).collect():
+        assert r.c == r.t if r.t is None else " ".join(r.c) == r.t and all(len(x) <= 50 for x in r.c)
