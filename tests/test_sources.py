@@ -365,3 +365,26 @@ def test_text_chunks_of_more_rows_than_are_cut_at_once(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
     for r in df.select("t", tx.text_chunks(F.col("t"), 50).alias("c")).collect():
         assert r.c == r.t if r.t is None else " ".join(r.c) == r.t and all(len(x) <= 50 for x in r.c)
+
+
+def test_page_scores_of_a_block_are_held_a_few_pages_at_a_time():
+    import random
+    import tracemalloc
+
+    import pandas as pd
+    from matchloom.plans import retrieval
+    rnd = random.Random(3)
+    asked = [rnd.sample([f"w{i}" for i in range(40)], 4) for _ in range(3000)]
+    index = retrieval._Index(pd.DataFrame({"request_id": range(3000), "terms": asked, "names": [[]] * 3000}))
+    held = [rnd.sample([f"w{i}" for i in range(60)], 5) for _ in range(2000)]
+    numbers = rnd.sample(range(10_000), 2000)
+    tracemalloc.start()
+    found = retrieval._best(index, pd.DataFrame({"page_id": numbers, "text": "", "words": held}), 2)
+    found = found if isinstance(found, pd.DataFrame) else pd.concat(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    got = found.sort_values(["request_id", "score", "page_id"], ascending=[True, False, True]).groupby("request_id").head(2)
+    for i in range(0, 3000, 271):
+        want = sorted((-len(set(asked[i]) & set(w)), p) for p, w in zip(numbers, held) if set(asked[i]) & set(w))[:2]
+        assert [(-r.score, r.page_id) for r in got[got["request_id"] == i].itertuples()] == want
