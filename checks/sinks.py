@@ -13,7 +13,7 @@ from matchloom.plans import findings as fd
 from matchloom.plans import imports as im
 from matchloom.plans import ratings as r
 from matchloom.plans.bindings import table
-from matchloom.session import scratch_path
+from matchloom.session import materialize, scratch_path
 from matchloom.sources.catalogs import SnapshotStore
 
 
@@ -69,7 +69,8 @@ def decklist_rows(spark, sf):
     line = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").cast("long").alias("copies"))
     decks = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_partkey", "copies"))).alias("rows"))
     shown = F.array_join(F.transform("rows", lambda x: F.concat_ws("x", x["l_partkey"], x["copies"])), ",")
-    decks, root = decks.withColumn("sha", F.sha2(shown, 256)), scratch_path(spark, "decks")
+    root = scratch_path(spark, "decks")
+    decks = materialize(decks.select("l_orderkey", "rows", F.sha2(shown, 256).alias("sha")), "decks-read")  # read four times
     for part in ("l_orderkey % 3 <> 0", "l_orderkey % 3 <> 1"):
         some = decks.filter(part)
         im.append_new(some.select("sha"), f"{root}/decks", ["sha"])
