@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from checks.base import query
 from checks.evidence import OPENING, OWN, TARGETS, opening_rows
 from checks.jobs import TARGETS as CARDS
-from checks.jobs import actions
+from checks.jobs import HANDS, actions
 from matchloom.plans import bindings as b
 from matchloom.plans import openings as op
 from matchloom.plans import timeline as t
+from matchloom.session import materialize
 
 
 @query("report_practice_openings", """
@@ -21,7 +22,7 @@ from matchloom.plans import timeline as t
         count(*) filter (o_orderkey % 2 = 0) as three_uninkables_known
     from orders where o_orderkey % 17 <> 0 group by 1""")
 def report_practice_openings(spark, sf):
-    done = actions(spark, sf)
+    done = materialize(actions(spark, sf, HANDS).select(*t.OPENING_COLUMNS), "actions")  # folded once, read three times
     replays = done.select("game_id").distinct().withColumn("member_id", F.col("game_id") % 5)
     inspected = op.inspected_openings(replays, t.replay_own_turns(done, 4096))
     out = op.opening_hand_report(inspected, t.opening_hands(done, CARDS), ["member_id"])
