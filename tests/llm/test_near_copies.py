@@ -57,6 +57,36 @@ def test_no_pair_of_other_texts_is_linked(spark):
         assert similarity(shingles(rows[at[bytes(a)]][1]), shingles(rows[at[bytes(b)]][1])) >= 0.6
 
 
+def test_every_pair_at_the_threshold_is_linked(spark):
+    draw = random.Random(11)
+    texts = []
+    for n in range(150):  # five edits of 5-word shingles each, placed apart, at a similarity just above 0.8
+        size = draw.choice([225, 235, 250])
+        base = [f"w{draw.randrange(10 ** 9)}" for _ in range(size)]
+        texts.append(base)
+        other = list(base)
+        for i in range(5):
+            other[10 + 20 * i] = f"new{draw.randrange(10 ** 9)}"
+        texts.append(other)
+    texts = [" ".join(t) for t in texts]
+    of = [similarity(shingles(texts[i]), shingles(texts[i + 1])) for i in range(0, len(texts), 2)]
+    assert all(0.79 < s < 0.83 for s in of) and 20 < sum(s >= 0.8 for s in of)
+    kept = {r.doc_id for r in near_copies.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert not [i for i, s in enumerate(of) if s >= 0.8 and 2 * i + 1 in kept]
+
+
+def test_prefixes_of_similar_sets_share_a_shingle():
+    draw = np.random.default_rng(3)
+    for n in range(1, 200):
+        same = draw.choice(10 ** 6, n, replace=False)
+        more = 10 ** 6 + np.arange(n // 4)  # n of n + n // 4 shared: 0.8 or a little more
+        common = np.sort(draw.choice(same, n // 2, replace=False))
+        times = draw.integers(3, 9, len(common))
+        for cut in (0, len(more) // 2, len(more)):
+            a, b = (np.sort(np.append(same, x)) for x in (more[:cut], more[cut:]))
+            assert set(near_copies.prefix(a, common, times)) & set(near_copies.prefix(b, common, times))
+
+
 def test_large_group_and_shared_passage(spark):
     draw = random.Random(7)
     base = [f"w{i}" for i in range(300)]
