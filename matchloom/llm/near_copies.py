@@ -19,8 +19,11 @@ at no anchor.
 What it leaves out is found exactly. Of two texts at a similarity of 0.8 or more, each has one of the first fifth
 of its distinct 5-word shingles (and one more) in common with the other's first fifth, whatever order all texts share.
 The order puts rare shingles first, as told by a bounded sample; it decides how many pairs are looked at, never which
-links are found. Texts that share such a shingle and are in different groups so far are compared by their
-sets of shingle hashes. Groups are the components over all links: no pair at 0.8 or more is left in two groups.
+links are found. Texts that share such a shingle and are in different groups so far are compared by an odd sketch
+first: one bit for each of 2,048 places, set if an odd number of the shingles fall there. At a place that differs at least
+one shingle is in one of the texts only, so a pair with more such places than 0.8 allows is no link. Of the others, which
+are few, the sets of shingle hashes are compared; only those sets are made. Groups are the components over all links: no
+pair at 0.8 or more is left in two groups.
 
 Defined cases. Words are those between ASCII white space, A-Z in lower case; texts of fewer words than a shingle
 are one shingle; texts of equal words are copies, texts without words (null, empty, blank) too. A null
@@ -51,7 +54,7 @@ MOST_BITS = int(BITS * np.arccos(1.6 / 1.8) / np.pi)
 SIGNS = 4
 BATCH = 256
 SAMPLE, COMMON = 8192, 100_000  # texts that tell which shingles are common, shingles told
-SCHEMA = "words binary, anchors array<int>, bits array<long>, size int, prefix array<long>"
+SCHEMA = "words binary, anchors array<int>, bits array<long>, size int, prefix array<long>, odd array<long>"
 
 _PLACES = np.arange(1, 32)
 _CHECKS = np.array([_PLACES >> k & 1 for k in range(5)], np.int32).T  # which parity checks a bit is in
@@ -84,6 +87,11 @@ def prefix(keys: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarra
     return keys[np.lexsort((keys, seen))[:len(keys) - (4 * len(keys) + 4) // 5 + 1]]
 
 
+def odd_places(keys: np.ndarray) -> np.ndarray:
+    """The odd sketch of a text's shingles ``keys``."""
+    return np.packbits(np.bincount(keys & BITS - 1, minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def fingerprint_bits(vectors: np.ndarray) -> np.ndarray:
     """Signs of the Walsh-Hadamard transform of each row, exact as the counts are whole."""
     sums, step = vectors, 1
@@ -127,7 +135,7 @@ def common_shingles(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def described(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", common=None) -> DataFrame:
     """One row per row of ``docs``: doc_id, row keys, digest of the words, anchors and 5-word fingerprint, number of
-    distinct 5-word shingles and the first of them in the order that ``common`` gives."""
+    distinct 5-word shingles, the first of them in the order that ``common`` gives, and their odd sketch."""
     known, times = common or (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def some(texts: pd.Series) -> pd.DataFrame:
@@ -141,10 +149,10 @@ def described(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
                 decide.append(counts(hashes))
                 digests.append(xxhash.xxh128_digest(b" ".join(words)))
                 keys = np.unique(hashes)
-                firsts.append((len(keys), prefix(keys, known, times)))
+                firsts.append((len(keys), prefix(keys, known, times), odd_places(keys)))
             packed = np.packbits(fingerprint_bits(np.stack(decide)), axis=1).view(np.int64)
             rows += [(*row, *first) for *row, first in zip(digests, anchors(fingerprint_bits(np.stack(search))), packed, firsts)]
-        return pd.DataFrame(rows, columns=["words", "anchors", "bits", "size", "prefix"])
+        return pd.DataFrame(rows, columns=["words", "anchors", "bits", "size", "prefix", "odd"])
 
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from map(some, batches)
@@ -155,6 +163,11 @@ def described(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
         "doc_id", "_rid", "_rhash", "of.*")
 
 
+def _differing(a: str, b: str) -> Column:
+    """Number of bits that differ between two columns of whole numbers."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+
+
 def links(texts: DataFrame) -> DataFrame:
     """Links (a, b) between distinct texts (words, anchors, bits), found in rounds."""
     marks = materialize(texts.select("words", "bits"), "marks")
@@ -168,9 +181,8 @@ def links(texts: DataFrame) -> DataFrame:
         asked = met.join(first, "anchor").filter("words != a").select("a", F.col("words").alias("b")).distinct()
         one = marks.select(F.col("words").alias("a"), F.col("bits").alias("a_bits"))
         two = marks.select(F.col("words").alias("b"), F.col("bits").alias("b_bits"))
-        differing = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                                F.lit(0), lambda total, n: total + n)
-        new = materialize(asked.join(two, "b").join(one, "a").filter(differing <= MOST_BITS).select("a", "b"), "links")
+        new = materialize(asked.join(two, "b").join(one, "a").filter(_differing("a_bits", "b_bits") <= MOST_BITS).select(
+            "a", "b"), "links")
         if new.isEmpty():
             return new if found is None else found
         found = new if found is None else found.unionByName(new)
@@ -188,7 +200,7 @@ def links_left(docs: DataFrame, seen: DataFrame, groups: DataFrame, id_column: s
                text_column: str = "text") -> DataFrame:
     """Links (a, b) between ``groups`` (words, k, group) with texts at a similarity of 0.8 or more, all of them.
 
-    ``seen``: words, size and prefix of the texts; ``k`` has the row keys of one row of ``docs`` with these words.
+    ``seen``: words, size, prefix and odd sketch of the texts; ``k`` has the row keys of one row of ``docs`` with these words.
     """
     tag = F.xxhash64("words").alias("tag")  # narrower than the digest
     filed = seen.select(tag, "size", F.posexplode("prefix").alias("at", "key")).repartition("key")
@@ -208,8 +220,12 @@ def links_left(docs: DataFrame, seen: DataFrame, groups: DataFrame, id_column: s
     asked = side("a").join(side("b"), "key").filter((F.col("a_group") < F.col("b_group")) & enough(
         F.least("a_at", "b_at") + after)).groupBy("a", "b", "a_group", "b_group", "a_size", "b_size").agg(
         F.count(F.lit(1)).alias("n"), F.max("a_at").alias("a_at"), F.max("b_at").alias("b_at"))
-    asked = materialize(asked.filter(enough(F.col("n") - 1 + after)).select(
-        "a", "b", "a_group", "b_group", "a_size", "b_size"), "asked")
+    asked = asked.filter(enough(F.col("n") - 1 + after)).select("a", "b", "a_group", "b_group", "a_size", "b_size")
+    odd = seen.select("words", "odd").dropDuplicates(["words"])
+    asked = asked.join(odd.toDF("a", "a_odd"), "a").join(odd.toDF("b", "b_odd"), "b")
+    # what the texts do not share is at least what differs in the sketches
+    asked = materialize(asked.filter(9 * _differing("a_odd", "b_odd") <= F.col("a_size") + F.col("b_size")).drop(
+        "a_odd", "b_odd"), "asked")
     wanted = materialize(asked.select(F.col("a").alias("words")).union(asked.select("b")).distinct().join(
         groups, "words").select("words", F.col("k.i").alias("_rid"), F.col("k.h").alias("_rhash")), "wanted")
 

@@ -87,6 +87,32 @@ def test_prefixes_of_similar_sets_share_a_shingle():
             assert set(near_copies.prefix(a, common, times)) & set(near_copies.prefix(b, common, times))
 
 
+def test_odd_sketches_differ_at_no_more_places_than_sets():
+    draw = np.random.default_rng(5)
+    for n in (1, 3, 40, 700, 6000):
+        for more in (0, 1, n // 4, n):
+            keys = draw.integers(-2 ** 63, 2 ** 63, n + more, dtype=np.int64)
+            a, b = keys[:n], keys[more:]
+            differ = len(set(a.tolist()) ^ set(b.tolist()))
+            places = int(np.bitwise_count((near_copies.odd_places(a) ^ near_copies.odd_places(b)).view(np.uint64)).sum())
+            assert places <= differ and (places - differ) % 2 == 0
+
+
+def test_sets_are_made_only_of_texts_that_may_be_near_copies(spark, monkeypatch):
+    draw = random.Random(13)
+    rows = [(i, " ".join([f"p{i // 2}-{n}" for n in range(300)] + [f"u{draw.randrange(10 ** 9)}" for _ in range(300)]))
+            for i in range(12)]  # two texts have half of their words in common
+    made, write = {}, near_copies.materialize
+
+    def kept(df, label, *more):
+        made[label] = write(df, label, *more)
+        return made[label]
+
+    monkeypatch.setattr(near_copies, "materialize", kept)
+    assert near_copies.dedup(spark.createDataFrame(rows, "doc_id long, text string")).count() == 12
+    assert made["placed"].count() and made["asked"].count() == 0 and made["sets"].count() == 0
+
+
 def test_large_group_and_shared_passage(spark):
     draw = random.Random(7)
     base = [f"w{i}" for i in range(300)]
