@@ -12,6 +12,9 @@ Only distinct fingerprints are compared: documents with one fingerprint form one
 group of thousands of copies costs one comparison. Links never form copies x copies pairs; they
 are bounded by the 2,080 fingerprints within two bits of one.
 
+Tables with a row for each fingerprint are joined by sorting, so none of them passes through the driver, whatever
+size Spark would broadcast.
+
 Defined cases. Texts without words (null, empty, blank) have fingerprint zero and link like any
 other; texts of one or two words hash the whole sequence. A null doc_id is never a component's id unless
 all its documents have none. Repeated rows give repeated result rows. Extra columns
@@ -103,7 +106,7 @@ def links(values: DataFrame) -> DataFrame:
         anchors(F.col("fp"), 0, False), anchors(F.col("fp"), 1, False))).alias("anchor")), "filed")
     asked = spread.select(F.col("fp").alias("a"), F.explode(F.concat(
         anchors(F.col("fp"), 0, True), anchors(F.col("fp"), 1, True))).alias("anchor"))
-    met = asked.join(filed.withColumnRenamed("fp", "b"), "anchor").filter(
+    met = asked.join(filed.withColumnRenamed("fp", "b").hint("merge"), "anchor").filter(
         (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS))
     return met.select("a", "b").distinct()
 
@@ -116,12 +119,12 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     values = materialize(seen.groupBy("fp").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "values")
     labels = component_labels(links(values), [], "a", "b")
-    joined = materialize(values.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
+    joined = materialize(values.join(labels.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select(
         "fp", "first_id", "rows", F.coalesce("component", "fp").alias("component")), "labelled")
     totals = materialize(joined.groupBy("component").agg(
         F.min("first_id").alias("component_id"), F.sum("rows").alias("group_size")), "totals")
-    classes = materialize(joined.select("fp", "component").join(totals, "component"), "classes")
-    return seen.join(classes, "fp").select(
+    classes = materialize(joined.select("fp", "component").join(totals.hint("merge"), "component"), "classes")
+    return seen.join(classes.hint("merge"), "fp").select(
         "doc_id", "_rid", "_rhash", "fp", "component_id", "group_size", "component")
 
 

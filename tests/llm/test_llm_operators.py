@@ -209,6 +209,12 @@ def test_simhash(docs):
     assert kept.columns == docs.columns and kept.count() == len(set(roots.values()))
 
 
+def test_simhash_sends_no_table_of_fingerprints_through_the_driver(docs):
+    for made in (simhash.components(docs), simhash.links(simhash.components(docs).select("fp").distinct())):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_links_are_complete(spark):
     rng = np.random.default_rng(1)
     values = set()
