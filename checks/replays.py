@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import query
 from matchloom.plans import bindings as b
 from matchloom.plans import features as ft
+from matchloom.session import materialize
 from matchloom.sources import archives as a
 
 
@@ -111,7 +112,7 @@ def replay_games(spark, sf):
         6::int as turn_actions, case when p % 7 = 0 then '9-9' when p % 5 < 4 then '8-' || (p % 3) end as ability_card,
         0::int as mulligan, 7::int as kept, (select count(*) from (select unnest(string_split({WARNED}, ',')) as w) where w <> '')::int as warnings {P}""")
 def game_features(spark, sf):
-    folded = states(spark, sf)
+    folded = materialize(states(spark, sf), "states")  # folded once, read for actions and games
     rows = ft.extract_features(a.normalize_actions(folded), a.normalize_games(folded))
     turn = F.get("own_turns", F.lit(0))
     ability = F.get(F.filter("own_actions", lambda x: x["type"] == "activate_ability"), F.lit(0))
