@@ -129,3 +129,11 @@ def test_features_of_every_game_are_whole(spark):
     swap = one["mulligan"]
     assert (swap.mulligan, swap.kept, swap.went_first, swap.own_turns, swap.start_seq, swap.start_hand) == (1, 6, True, swap.own_turns, 1, 7)
     assert swap.own_turns >= 1 and sum(r.own_actions for r in one.values()) == swap.own_action_rows
+
+
+def test_highest_scores_come_in_order():
+    import numpy as np
+    from matchloom.plans import retrieval
+    scores = np.random.default_rng(2).integers(0, 4, (50, 30))
+    for k in (1, 2, 60):
+        assert (retrieval._highest(scores, k) == np.argsort(-scores, axis=0, kind="stable")[:k]).all()
