@@ -22,9 +22,9 @@ from matchloom.session import materialize
         count(*) filter (o_orderkey % 2 = 0) as three_uninkables_known
     from orders where o_orderkey % 17 <> 0 group by 1""")
 def report_practice_openings(spark, sf):
-    done = materialize(actions(spark, sf, HANDS).select(*t.OPENING_COLUMNS), "actions")  # folded once, read three times
+    done = materialize(t.opening_columns(actions(spark, sf, HANDS)), "actions")  # folded once, read three times
     replays = done.select("game_id").distinct().withColumn("member_id", F.col("game_id") % 5)
-    inspected = op.inspected_openings(replays, t.replay_own_turns(done, 4096))
+    inspected = op.inspected_openings(replays, t.replay_own_turns(done, 4096, written=True))
     out = op.opening_hand_report(inspected, t.opening_hands(done, CARDS), ["member_id"])
     return out.withColumn("mulligan_mean", F.round("mulligan_mean", 6))
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from matchloom.operators.keyed import top_per_key
 from matchloom.operators.ordered import ROWS_PER_BLOCK, number, running, shifted
@@ -29,25 +30,54 @@ def own_turns(actions: DataFrame, perspective, first_player,
     Rows without an active player or label are skipped. A game whose first row is not the
     first player's label 1 is incomplete and left out. ``own_turn`` is set on rows of the
     player's own segments; ``counts`` marks those that are decisions (undo frames only set a
-    border).
+    border). Games of up to a block of rows are dealt by game and sorted in their tasks; only longer ones
+    go through blocks, so ``actions`` are read three times.
     """
     perspective, first_player = _as_column(perspective), _as_column(first_player)
     rows = actions.filter(F.col("active_player").isNotNull() & F.col("turn_label").isNotNull())
+    long = materialize(rows.groupBy("game_id").agg(F.count(F.lit(1)).alias("_rows")).filter(
+        F.col("_rows") > rows_per_block).select(F.col("game_id").alias("_game")), "long-games")
+    same = F.col("game_id").eqNullSafe(F.col("_game"))
+    if long.isEmpty():
+        return _turns_in_tasks(rows, perspective, first_player).select(*actions.columns, "own_turn", "counts")
+    parts = (_turns_in_tasks(rows.join(long, same, "left_anti"), perspective, first_player),
+             _turns_in_blocks(rows.join(long, same, "left_semi"), perspective, first_player, rows_per_block))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).select(*actions.columns, "own_turn", "counts")
+
+
+def _turns_in_tasks(rows: DataFrame, perspective: Column, first_player: Column) -> DataFrame:
+    game = Window.partitionBy("game_id").orderBy("seq")
+    lagged = rows.select("*", F.lag("active_player").over(game).alias("_a"), F.lag("turn_label").over(game).alias("_t"),
+                         F.lag(F.lit(1)).over(game).alias("_seen"))
+    so_far = game.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    flagged = _turn_borders(lagged, perspective, first_player)
+    return _own_turns(flagged.select("*", F.sum("_own").over(so_far).alias("_n"), F.sum("_bad").over(so_far).alias("_wrong")),
+                      perspective)
+
+
+def _turns_in_blocks(rows: DataFrame, perspective: Column, first_player: Column, rows_per_block: int) -> DataFrame:
     lagged = shifted(
         number(rows, ["game_id"], ["seq"], rows_per_block).withColumn("_one", F.lit(1)), ["game_id"],
         {"_a": (-1, "active_player"), "_t": (-1, "turn_label"), "_seen": (-1, "_one")},
         rows_per_block)
+    out = running(_turn_borders(lagged, perspective, first_player), ["game_id"], {"_n": ("sum", "_own"), "_wrong": ("sum", "_bad")},
+                  rows_per_block)
+    return _own_turns(out, perspective)
+
+
+def _turn_borders(lagged: DataFrame, perspective: Column, first_player: Column) -> DataFrame:
     start = F.col("_seen").isNull()
     border = start | (F.col("_a") != F.col("active_player")) | (F.col("_t") != F.col("turn_label"))
     own = F.col("active_player") == perspective
-    flagged = lagged.withColumn("_own", F.when(border & own, 1).otherwise(0)).withColumn(
+    return lagged.withColumn("_own", F.when(border & own, 1).otherwise(0)).withColumn(
         "_bad", F.when(start & ~((F.col("active_player") == first_player)
                                  & (F.col("turn_label") == 1)), 1).otherwise(0))
-    out = running(flagged, ["game_id"], {"_n": ("sum", "_own"), "_wrong": ("sum", "_bad")},
-                  rows_per_block)
-    return out.filter(F.col("_wrong") == 0).select(
-        *actions.columns, F.when(own, F.col("_n")).alias("own_turn"),
-        (own & (F.col("type") != "undo")).alias("counts"))
+
+
+def _own_turns(rows: DataFrame, perspective: Column) -> DataFrame:
+    own = F.col("active_player") == perspective
+    return rows.filter(F.col("_wrong") == 0).select(
+        "*", F.when(own, F.col("_n")).alias("own_turn"), (own & (F.col("type") != "undo")).alias("counts"))
 
 
 def invalidate_ranges(actions: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -186,17 +216,33 @@ def validated_mulligan(hand: Column, kept: Column, sent: Column, drawn: Column,
     return F.when(F.coalesce(fine, F.lit(False)), count)
 
 
-def replay_own_turns(actions: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def opening_columns(actions: DataFrame) -> DataFrame:
+    """``OPENING_COLUMNS``, of their cards what the opening figures read."""
+    return actions.select(*[_told(actions, c).alias(c) for c in OPENING_COLUMNS])
+
+
+def _told(actions: DataFrame, name: str) -> Column:
+    """A column; of cards with many facts the id, the name and whether they make ink."""
+    kind = actions.schema[name].dataType
+    if not isinstance(kind, ArrayType) or not isinstance(kind.elementType, StructType):
+        return F.col(name)
+    facts = [f for f in ("id", "name", "inkable") if f in kind.elementType.names]
+    return F.transform(name, lambda c: F.struct(*[c[f].alias(f) for f in facts]))
+
+
+def replay_own_turns(actions: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, written: bool = False) -> DataFrame:
     """Own turns of normalised replays that are complete from the opening on.
 
-    Undone actions are left out. Only the player's own actions count as decisions. The rows are written before they are
-    sorted by range, which reads its input twice: once for the borders.
+    Undone actions are left out. Only the player's own actions count as decisions. The rows are written first, as
+    ``own_turns`` reads its input more than once, unless the actions are ``written``; of the hand, id, name and whether a
+    card makes ink are kept.
     """
     rows = actions.filter(F.col("opening_eligible") & ~F.col("undone")).select(
         "game_id", "seq", "type", "actor_is_perspective", "perspective", "game_first_player",
         F.col("segment_player").alias("active_player"), F.col("gameplay_turn").alias("turn_label"),
-        "card_id", "card_name", "hand", F.col("ink_count").alias("ink"), "ready_ink")
-    turns = own_turns(materialize(rows, "own-actions"), F.col("perspective"), F.col("game_first_player"), rows_per_block)
+        "card_id", "card_name", _told(actions, "hand").alias("hand"), F.col("ink_count").alias("ink"), "ready_ink")
+    rows = rows if written else materialize(rows, "own-actions")
+    turns = own_turns(rows, F.col("perspective"), F.col("game_first_player"), rows_per_block)
     return turns.withColumn("counts", F.col("counts") & F.col("actor_is_perspective"))
 
 

@@ -113,6 +113,17 @@ def test_untouched_cards_are_read_once(monkeypatch):
     assert len(made) == 7 + 5  # all cards once, though the hand changed in every frame
 
 
+def test_short_games_are_not_sorted_by_range(spark, monkeypatch):
+    rows = [(g, s, "undo" if s % 7 == 3 else "play", (s + g) // 2 % 2 + 1, (s + g) // 4 + 1 - g // 4) for g in range(12) for s in range(3 + 2 * g)]
+    rows += [(None, s, "play", 1, 1) for s in range(4)]
+    some = spark.createDataFrame(rows, "game_id long, seq long, type string, active_player int, turn_label int")
+    of = lambda size: sorted(map(repr, t.own_turns(some, 1, 1, size).collect()))
+    blocks = sorted(map(repr, t._turns_in_blocks(some, F.lit(1), F.lit(1), 5).select(*some.columns, "own_turn", "counts").collect()))
+    assert of(5) == blocks and blocks  # long games in blocks, short ones in tasks
+    monkeypatch.setattr(t, "number", lambda *x: 1 / 0)
+    assert of(100) == blocks
+
+
 def test_features_read_actions_once(spark):
     folded = a.replay_states(b.ability_archives(spark, SF))
     actions, seen = a.normalize_actions(folded).cache(), spark.sparkContext.accumulator(0)
