@@ -113,6 +113,38 @@ def test_untouched_cards_are_read_once(monkeypatch):
     assert len(made) == 7 + 5  # all cards once, though the hand changed in every frame
 
 
+def test_typed_states_equal_those_that_are_handed_on_as_text(spark):
+    bodies = [r.body for r in b.ability_archives(spark, SF).limit(30).collect()]
+    odd = json.loads(bodies[0])
+    odd["baseSnapshot"]["myPlayer"]["hand"][0] |= {"cost": "3", "colors": "Ruby", "inkable": 1, "lore": 2.0}
+    rows = list(enumerate(bodies))
+    of = lambda rows: {r.game_id: r for r in a.replay_states(spark.createDataFrame(
+        rows, "game_id long, body string").coalesce(1)).collect()}
+    typed, text = of(rows), of([*rows, (99, json.dumps(odd))])
+    assert all(typed[i] == text[i] for i in range(30))
+    card = text[99].states[1].hand[0]
+    assert (card.id, card.name, card.cost, card.inkable, card.lore) == ("1-0", "Card 0", None, None, None)
+
+
+def test_states_are_handed_on_with_their_types():
+    import pyarrow as pa
+    body = {"format": a.FORMAT, "perspective": 1, "baseSnapshot": {"myPlayer": {"hand": [{"id": "1-1", "cost": 2}]}},
+            "frames": [{"seq": i, "player": 1, "actionType": "QUEST"} for i in range(3)]}
+    batch = pa.RecordBatch.from_pydict({"game_id": [1, 2, 3], "body": [json.dumps(body), "{}", json.dumps(body | {"frames": []})]})
+    out = next(a._folded([batch]))
+    states = out.column("states").to_pylist()
+    assert out.column("folded").null_count == 3 and [len(x) if x is not None else None for x in states] == [3, None, 0]
+    assert [(c["id"], c["cost"], c["cards_under"]) for c in states[0][2]["hand"]] == [("1-1", 2, 0)]
+
+
+def test_large_bodies_are_folded_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(a, "BYTES_AT_ONCE", 100)
+    bodies = ["x" * 60, "x" * 30, "x" * 500, None, "x" * 99, "x"]
+    parts = [p.num_rows for p in a._portions(pa.RecordBatch.from_pydict({"game_id": list(range(6)), "body": bodies}))]
+    assert parts == [2, 1, 3]
+
+
 def test_short_games_are_not_sorted_by_range(spark, monkeypatch):
     rows = [(g, s, "undo" if s % 7 == 3 else "play", (s + g) // 2 % 2 + 1, (s + g) // 4 + 1 - g // 4) for g in range(12) for s in range(3 + 2 * g)]
     rows += [(None, s, "play", 1, 1) for s in range(4)]
